@@ -62,6 +62,15 @@ def top_level(raw: Column, names: tuple[str, ...]) -> Column:
     return F.when(parsed["_malformed"].isNull(), parsed)
 
 
+def once(value: Column) -> Column:
+    """The value as a generated column, at most one per ``select``.
+
+    The optimizer copies a projected expression into every filter and projection above that uses
+    it. It never copies a generator, so a parse wrapped here runs once per row.
+    """
+    return F.explode(F.array(value))
+
+
 def is_array(raw: Column) -> Column:
     return F.try_parse_json(F.when(opening(raw) == "[", raw)).isNotNull()
 

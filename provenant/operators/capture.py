@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from provenant import contract
-from provenant.functions.jsontypes import as_number, as_string, is_array, one_of, tag, top_level
+from provenant.functions.jsontypes import as_number, as_string, is_array, once, one_of, tag, top_level
 from provenant.operators.dedup import insert_if_absent
 
 KEY = ("site_id", "email_hash")
@@ -19,13 +19,10 @@ _NUMBERS = ("trigger_score", "trigger_confidence")
 def read_captures(bodies: DataFrame) -> DataFrame:
     """Parse capture bodies (``body`` JSON text) and name the first failed check in ``error``."""
     carried = bodies.columns
-    read = bodies.select(
+    members = top_level(F.col("body"), (*_STRINGS, *_NUMBERS, "trigger_reasons"))
+    read = bodies.select("*", once(members).alias("_j")).select(
         *carried,
-        top_level(F.col("body"), (*_STRINGS, *_NUMBERS, "trigger_reasons")).alias("_j"),
-        is_array(F.col("body")).alias("_array"),
-    ).select(
-        *carried,
-        (F.col("_j").isNotNull() | F.col("_array")).alias("_object"),
+        (F.col("_j").isNotNull() | is_array(F.col("body"))).alias("_object"),
         *[as_string(F.col(f"_j.{n}")).alias(n) for n in _STRINGS],
         *[as_number(F.col(f"_j.{n}")).alias(n) for n in _NUMBERS],
         F.try_variant_get("_j.trigger_reasons", "$", "array<string>").alias("trigger_reasons"),

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from provenant.functions.jsontypes import as_string, top_level
+from provenant.functions.jsontypes import as_string, once, top_level
 from provenant.operators.dedup import first_writer_wins
 
 SESSION = ("site_id", "session_id")
@@ -24,7 +24,7 @@ def _of_type(kind: str, value: Column) -> Column:
 def with_payload(ledger: DataFrame, *names: str) -> DataFrame:
     """Add string members of ``raw`` as columns."""
     return (
-        ledger.withColumn("_m", top_level(F.col("raw"), names))
+        ledger.select("*", once(top_level(F.col("raw"), names)).alias("_m"))
         .withColumns({n: as_string(F.col(f"_m.{n}")) for n in names})
         .drop("_m")
     )

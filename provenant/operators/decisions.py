@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from provenant import contract
-from provenant.functions.jsontypes import as_number, as_string, one_of, tag, top_level, truthy
+from provenant.functions.jsontypes import as_number, as_string, once, one_of, tag, top_level, truthy
 from provenant.operators.siteconfig import flag_of, list_of, number_of
 
 _REQUIRED = ("site_id", "session_id", "decision", "config_version", "probe_version")
@@ -21,7 +21,7 @@ def read_decisions(bodies: DataFrame) -> DataFrame:
     """
     carried = bodies.columns
     names = (*_REQUIRED, *_OPTIONAL, *_NUMBERS, "trigger_reasons")
-    read = bodies.select(*carried, top_level(F.col("body"), names).alias("_j"))
+    read = bodies.select("*", once(top_level(F.col("body"), names)).alias("_j"))
     complete = F.lit(True)
     for name in _REQUIRED:
         complete = complete & truthy(F.col(f"_j.{name}"))

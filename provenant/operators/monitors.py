@@ -24,7 +24,7 @@ def _past(days: int, date: str) -> Window:
 
 
 def _share(part: Column, whole: Column) -> Column:
-    return F.when(whole > 0, F.round(part / whole, 6)).otherwise(F.lit(0.0))
+    return F.when(whole > 0, part / whole).otherwise(F.lit(0.0))
 
 
 def fire_rates(log: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from provenant import contract
-from provenant.functions.jsontypes import as_string, non_empty, top_level
+from provenant.functions.jsontypes import as_string, non_empty, once, top_level
 from provenant.operators.ordering import with_ordinal
 from provenant.session import shared_dir
 
@@ -62,9 +62,8 @@ def replay_rows(ledger: DataFrame, start: str, end: str) -> DataFrame:
 
 def replay_meta(ledger: DataFrame, start: str, end: str) -> DataFrame:
     """One row per site; session and subject ids are read from the event itself."""
-    ids = in_window(ledger, start, end).withColumn(
-        "_m", top_level(F.col("raw"), ("anon_session_id", "anon_browser_id"))
-    ).select(
+    members = top_level(F.col("raw"), ("anon_session_id", "anon_browser_id"))
+    ids = in_window(ledger, start, end).select("*", once(members).alias("_m")).select(
         "site_id", "collector_version",
         as_string(F.col("_m.anon_session_id")).alias("session"),
         as_string(F.col("_m.anon_browser_id")).alias("subject"),

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from provenant import contract
 from provenant.contract import Registry
 from provenant.functions.jsontypes import (
-    as_number, as_string, field, is_array, non_empty, one_of, tag, top_level, truthy,
+    as_number, as_string, field, is_array, non_empty, once, one_of, tag, top_level, truthy,
 )
 from provenant.operators.pii import first_hit
 
@@ -56,7 +56,7 @@ _OUT_OF_RANGE = 2**31
 
 
 def _c(name: str) -> Column:
-    return F.col(f"_f_{name}")
+    return F.col(f"_f.{name}")
 
 
 def _members(strict: bool) -> tuple[str, ...]:
@@ -64,9 +64,9 @@ def _members(strict: bool) -> tuple[str, ...]:
     return names + ((*_STRICT_STRINGS, *_STRICT_PRESENT) if strict else ())
 
 
-def _fields(strict: bool) -> list[Column]:
-    """Every member a rule reads, once; a missing or wrongly typed one is NULL."""
-    kind = _c("event_type")
+def _fields(strict: bool) -> Column:
+    """Struct of every member a rule reads; a missing or wrongly typed one is NULL."""
+    kind = as_string(F.col("_j.event_type"))
 
     def only(types: tuple[str, ...] | None, value: Column) -> Column:
         return value if types is None else F.when(kind.isin(*types), value)
@@ -85,7 +85,7 @@ def _fields(strict: bool) -> list[Column]:
             f"has_{n}": F.coalesce(tag(F.col(f"_j.{n}")), F.lit("VOID")) != "VOID"
             for n in _STRICT_PRESENT
         }
-    return [value.alias(f"_f_{name}") for name, value in parts.items()]
+    return F.struct(kind.alias("event_type"), *[v.alias(n) for n, v in parts.items()])
 
 
 def _differs(value: Column, expected: str) -> Column:
@@ -210,17 +210,12 @@ def validate_events(events: DataFrame, registry: Registry, *, strict: bool = Fal
     ``pii_rejected`` and ``accepted``. ``strict`` appends the document-only codes.
     """
     carried = events.columns
-    parsed = events.select(
-        *carried,
-        top_level(F.col("raw"), _members(strict)).alias("_j"),
-        is_array(F.col("raw")).alias("_array"),
-    ).withColumn("_f_event_type", as_string(F.col("_j.event_type")))
+    parsed = events.select("*", once(top_level(F.col("raw"), _members(strict))).alias("_j"))
     read = parsed.select(
         *carried,
         # An array counts as an object without members, as it does for JavaScript.
-        (F.col("_j").isNotNull() | F.col("_array")).alias("_object"),
-        "_f_event_type",
-        *_fields(strict),
+        (F.col("_j").isNotNull() | is_array(F.col("raw"))).alias("_object"),
+        once(_fields(strict)).alias("_f"),
     )
     # The first candidate that is a number wins, even when it then fails the integer test.
     timed = read.withColumn(

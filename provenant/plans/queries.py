@@ -56,8 +56,7 @@ def _codes() -> Column:
 
 def _metric_row(dense: DataFrame) -> DataFrame:
     return dense.select(
-        "site_id", _day("metric_date").alias("metric_date"), *metrics.COUNTS,
-        F.round("reject_rate", 6).alias("reject_rate"),
+        "site_id", _day("metric_date").alias("metric_date"), *metrics.COUNTS, "reject_rate",
     )
 
 

@@ -76,7 +76,7 @@ def collect_epoch(batches: DataFrame, epoch: int, root: str, registry: Registry)
     admission = admit(spread(batches, "batch_id"))
     judged = validate_events(split_events(admission), registry)
     judged.write.partitionBy("accepted").parquet(f"{staged}/judged")
-    judged = spark.read.parquet(f"{staged}/judged")
+    judged = spark.read.schema(judged.schema).parquet(f"{staged}/judged")
 
     fresh = first_writer_wins(
         accepted_rows(judged.withColumn("event_id", F.lit(None).cast("bigint")), registry),
