@@ -1,5 +1,8 @@
 """JavaScript-style type tests on VARIANT fields.
 
+The ``*_sql`` forms are the same tests as SQL text: an expression of hundreds of nodes is built
+in one call that way.
+
 Casting a variant would turn ``true`` into 1 and ``"5"`` into 5, so each reader looks at the
 type tag first and yields NULL for a value of any other type.
 """
@@ -19,29 +22,40 @@ def tag(value: Column) -> Column:
     return F.schema_of_variant(value)
 
 
-def is_numeric_tag(type_tag: Column) -> Column:
-    return type_tag.isin("BIGINT", "DOUBLE", "FLOAT") | type_tag.startswith("DECIMAL")
+def string_sql(value: str) -> str:
+    return f"case when schema_of_variant({value}) = 'STRING' then try_variant_get({value}, '$', 'string') end"
 
 
-def as_string(value: Column) -> Column:
-    return F.when(tag(value) == "STRING", F.try_variant_get(value, "$", "string"))
+def number_sql(value: str) -> str:
+    kind = f"schema_of_variant({value})"
+    return (
+        f"case when {kind} in ('BIGINT', 'DOUBLE', 'FLOAT') or startswith({kind}, 'DECIMAL') "
+        f"then try_variant_get({value}, '$', 'double') end"
+    )
 
 
-def as_number(value: Column) -> Column:
-    return F.when(is_numeric_tag(tag(value)), F.try_variant_get(value, "$", "double"))
+def truthy_sql(value: str) -> str:
+    """JavaScript truthiness: absent, null, false, zero and the empty string are not."""
+    kind = f"schema_of_variant({value})"
+    return (
+        f"coalesce(case when {kind} is null or {kind} = 'VOID' then false "
+        f"when {kind} = 'STRING' then {string_sql(value)} <> '' "
+        f"when {kind} = 'BOOLEAN' then try_variant_get({value}, '$', 'boolean') "
+        f"when startswith({kind}, 'ARRAY') or startswith({kind}, 'OBJECT') then true "
+        f"else {number_sql(value)} <> 0 end, true)"
+    )
 
 
-def truthy(value: Column) -> Column:
-    """JavaScript truthiness."""
-    kind = tag(value)
-    return F.coalesce(
-        F.when(kind == "STRING", F.length(F.try_variant_get(value, "$", "string")) > 0)
-        .when(is_numeric_tag(kind), F.try_variant_get(value, "$", "double") != 0)
-        .when(kind == "BOOLEAN", F.try_variant_get(value, "$", "boolean"))
-        .when(kind == "VOID", F.lit(False))
-        .when(kind.isNotNull(), F.lit(True)),
-        F.lit(False),
-    )
+def list_sql(values: tuple[str, ...]) -> str:
+    return "(" + ", ".join(f"'{v}'" for v in values) + ")"
+
+
+def as_string(member: str) -> Column:
+    return F.expr(string_sql(member))
+
+
+def as_number(member: str) -> Column:
+    return F.expr(number_sql(member))
 
 
 def opening(raw: Column) -> Column:
@@ -52,14 +66,18 @@ def opening(raw: Column) -> Column:
 def top_level(raw: Column, names: tuple[str, ...]) -> Column:
     """Struct of the named members of a JSON object, each a variant, from one parse.
 
-    NULL unless the text is a well-formed object. Asking for the members by name lets the parser
-    skip the rest, which is far cheaper than a lookup per member in a whole parsed document.
+    All members are NULL unless the text is a well-formed object, see :func:`is_object`. Asking
+    for the members by name lets the parser skip the rest, which is far cheaper than a lookup per
+    member in a whole parsed document.
     """
     schema = ", ".join(f"`{n}` variant" for n in names) + ", `_malformed` string"
-    parsed = F.from_json(
-        F.when(opening(raw) == "{", raw), schema, {"columnNameOfCorruptRecord": "_malformed"}
-    )
-    return F.when(parsed["_malformed"].isNull(), parsed)
+    options = {"columnNameOfCorruptRecord": "_malformed"}
+    return F.from_json(F.when(opening(raw) == "{", raw), schema, options)
+
+
+def is_object(members: Column) -> Column:
+    """True when :func:`top_level` met a well-formed object."""
+    return members.isNotNull() & members["_malformed"].isNull()
 
 
 def once(value: Column) -> Column:
@@ -75,9 +93,5 @@ def is_array(raw: Column) -> Column:
     return F.try_parse_json(F.when(opening(raw) == "[", raw)).isNotNull()
 
 
-def non_empty(text: Column) -> Column:
-    return F.coalesce(F.length(text) > 0, F.lit(False))
-
-
 def one_of(text: Column, values: tuple[str, ...]) -> Column:
     return F.coalesce(text.isin(*values), F.lit(False))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from provenant import contract
-from provenant.functions.jsontypes import as_number, as_string, is_array, once, one_of, tag, top_level
+from provenant.functions.jsontypes import as_number, as_string, is_array, is_object, once, one_of, tag, top_level
 from provenant.operators.dedup import insert_if_absent
 
 KEY = ("site_id", "email_hash")
@@ -22,9 +22,9 @@ def read_captures(bodies: DataFrame) -> DataFrame:
     members = top_level(F.col("body"), (*_STRINGS, *_NUMBERS, "trigger_reasons"))
     read = bodies.select("*", once(members).alias("_j")).select(
         *carried,
-        (F.col("_j").isNotNull() | is_array(F.col("body"))).alias("_object"),
-        *[as_string(F.col(f"_j.{n}")).alias(n) for n in _STRINGS],
-        *[as_number(F.col(f"_j.{n}")).alias(n) for n in _NUMBERS],
+        (is_object(F.col("_j")) | is_array(F.col("body"))).alias("_object"),
+        *[as_string(f"_j.{n}").alias(n) for n in _STRINGS],
+        *[as_number(f"_j.{n}").alias(n) for n in _NUMBERS],
         F.try_variant_get("_j.trigger_reasons", "$", "array<string>").alias("trigger_reasons"),
     )
 

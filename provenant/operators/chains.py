@@ -25,7 +25,7 @@ def with_payload(ledger: DataFrame, *names: str) -> DataFrame:
     """Add string members of ``raw`` as columns."""
     return (
         ledger.select("*", once(top_level(F.col("raw"), names)).alias("_m"))
-        .withColumns({n: as_string(F.col(f"_m.{n}")) for n in names})
+        .withColumns({n: as_string(f"_m.{n}") for n in names})
         .drop("_m")
     )
 

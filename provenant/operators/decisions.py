@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from provenant import contract
-from provenant.functions.jsontypes import as_number, as_string, once, one_of, tag, top_level, truthy
+from provenant.functions.jsontypes import as_number, as_string, once, one_of, tag, top_level, truthy_sql
 from provenant.operators.siteconfig import flag_of, list_of, number_of
 
 _REQUIRED = ("site_id", "session_id", "decision", "config_version", "probe_version")
@@ -24,18 +24,18 @@ def read_decisions(bodies: DataFrame) -> DataFrame:
     read = bodies.select("*", once(top_level(F.col("body"), names)).alias("_j"))
     complete = F.lit(True)
     for name in _REQUIRED:
-        complete = complete & truthy(F.col(f"_j.{name}"))
+        complete = complete & F.expr(truthy_sql(f"_j.{name}"))
 
     def text(name: str) -> Column:
         value = F.col(f"_j.{name}")
-        return F.coalesce(as_string(value), F.when(tag(value) != "VOID", F.to_json(value)))
+        return F.coalesce(as_string(f"_j.{name}"), F.when(tag(value) != "VOID", F.to_json(value)))
 
     parsed = read.select(
         *carried,
         complete.alias("_complete"),
         *[text(n).alias(n) for n in _REQUIRED],
         F.coalesce(text("browser_id"), F.lit("")).alias("browser_id"),
-        *[F.coalesce(as_number(F.col(f"_j.{n}")), F.lit(0.0)).cast("float").alias(n) for n in _NUMBERS],
+        *[F.coalesce(as_number(f"_j.{n}"), F.lit(0.0)).cast("float").alias(n) for n in _NUMBERS],
         F.coalesce(
             F.try_variant_get("_j.trigger_reasons", "$", "array<string>"),
             F.array().cast("array<string>"),
@@ -59,11 +59,11 @@ def audit_decisions(log: DataFrame, config: DataFrame) -> DataFrame:
     """
     settings = config.select(
         "site_id",
-        number_of(F.col("config_750"), "trigger_threshold").alias("threshold"),
-        number_of(F.col("config_750"), "confidence_floor").alias("floor"),
-        list_of(F.col("config_750"), "eligible_page_groups").alias("groups"),
-        list_of(F.col("config_750"), "excluded_paths").alias("excluded"),
-        flag_of(F.col("config_750"), "kill_switch").alias("killed"),
+        number_of("config_750", "trigger_threshold").alias("threshold"),
+        number_of("config_750", "confidence_floor").alias("floor"),
+        list_of("config_750", "eligible_page_groups").alias("groups"),
+        list_of("config_750", "excluded_paths").alias("excluded"),
+        flag_of("config_750", "kill_switch").alias("killed"),
     )
     fired = F.col("decision") == "fire"
 

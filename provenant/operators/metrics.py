@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from provenant import contract
+from provenant.session import shared_dir
 
 KEY = ("site_id", "metric_date", "metrics_version")
 COUNTS = (
@@ -105,7 +106,13 @@ def dense_range(measured: DataFrame, sites: Sequence[str], start: str, end: str)
 
 
 def dense_span(measured: DataFrame, sites: Sequence[str]) -> DataFrame:
-    """As :func:`dense_range`, over the days from the first to the last one with events."""
+    """As :func:`dense_range`, over the days from the first to the last one with events.
+
+    The metrics are needed twice, for the span and for the values. They are one row per site and
+    day, so they are checkpointed instead of being computed again from the events.
+    """
+    shared_dir(measured.sparkSession)
+    measured = measured.checkpoint()
     span = measured.agg(F.min("metric_date").alias("a"), F.max("metric_date").alias("b"))
     days = span.filter("a is not null").select(F.explode(F.sequence("a", "b")).alias("metric_date"))
     return _filled(_on_every_site(days, sites), measured)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from provenant import contract
-from provenant.functions.jsontypes import as_string, non_empty, once, top_level
+from provenant.functions.jsontypes import as_string, once, top_level
 from provenant.operators.ordering import with_ordinal
 from provenant.session import shared_dir
 
@@ -65,13 +65,13 @@ def replay_meta(ledger: DataFrame, start: str, end: str) -> DataFrame:
     members = top_level(F.col("raw"), ("anon_session_id", "anon_browser_id"))
     ids = in_window(ledger, start, end).select("*", once(members).alias("_m")).select(
         "site_id", "collector_version",
-        as_string(F.col("_m.anon_session_id")).alias("session"),
-        as_string(F.col("_m.anon_browser_id")).alias("subject"),
+        as_string("_m.anon_session_id").alias("session"),
+        as_string("_m.anon_browser_id").alias("subject"),
     )
     return ids.groupBy("site_id").agg(
         F.count("*").alias("event_count"),
-        F.count_distinct(F.when(non_empty(F.col("session")), F.col("session"))).alias("session_count"),
-        F.count_distinct(F.when(non_empty(F.col("subject")), F.col("subject"))).alias("subject_count"),
+        F.count_distinct(F.nullif("session", F.lit(""))).alias("session_count"),
+        F.count_distinct(F.nullif("subject", F.lit(""))).alias("subject_count"),
         F.array_sort(F.collect_set("collector_version")).alias("collector_versions"),
     )
 

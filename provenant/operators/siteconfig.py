@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from provenant import contract
-from provenant.functions.jsontypes import as_number, tag
+from provenant.functions.jsontypes import as_number
 
 _JSON_MAP = "map<string,variant>"
 
@@ -55,21 +55,20 @@ def runtime_days(start: Column, now: Column) -> Column:
     return F.coalesce(F.floor(elapsed / 86_400_000), F.lit(0))
 
 
-def _required(bootstrap: Column, name: str, fallback: int) -> Column:
-    value = F.try_variant_get(bootstrap, f"$.{name}", "variant")
-    return F.coalesce(as_number(value), F.lit(float(fallback)))
+def _required(name: str, fallback: int) -> Column:
+    value = as_number(f"try_variant_get(try_parse_json(config_750['bootstrap']), '$.{name}', 'variant')")
+    return F.coalesce(value, F.lit(float(fallback)))
 
 
 def bootstrap_status(config: DataFrame, accepted: DataFrame, now: Column) -> DataFrame:
     sessions = eligible_sessions(accepted)
-    bootstrap = F.try_parse_json(F.element_at("config_750", "bootstrap"))
     gate = config.join(sessions, "site_id", "left").select(
         "site_id",
         runtime_days(F.col("deploy_start_date"), now).alias("runtime_days"),
         F.coalesce("eligible_sessions", F.lit(0)).alias("eligible_sessions"),
-        _required(bootstrap, "min_runtime_days", contract.DEFAULT_REQUIRED_DAYS)
+        _required("min_runtime_days", contract.DEFAULT_REQUIRED_DAYS)
         .alias("required_runtime_days"),
-        _required(bootstrap, "min_eligible_sessions", contract.DEFAULT_REQUIRED_SESSIONS)
+        _required("min_eligible_sessions", contract.DEFAULT_REQUIRED_SESSIONS)
         .alias("required_eligible_sessions"),
     )
     met = (F.col("runtime_days") >= F.col("required_runtime_days")) & (
@@ -78,19 +77,13 @@ def bootstrap_status(config: DataFrame, accepted: DataFrame, now: Column) -> Dat
     return gate.withColumn("bootstrap_met", met)
 
 
-def text_of(config: Column, key: str) -> Column:
-    """String value of a key; NULL when it is null or no string."""
-    value = F.try_parse_json(F.element_at(config, key))
-    return F.when(tag(value) == "STRING", F.try_variant_get(value, "$", "string"))
+def number_of(config: str, key: str) -> Column:
+    return as_number(f"try_parse_json({config}['{key}'])")
 
 
-def number_of(config: Column, key: str) -> Column:
-    return as_number(F.try_parse_json(F.element_at(config, key)))
-
-
-def flag_of(config: Column, key: str) -> Column:
+def flag_of(config: str, key: str) -> Column:
     return F.element_at(config, key) == "true"
 
 
-def list_of(config: Column, key: str) -> Column:
+def list_of(config: str, key: str) -> Column:
     return F.from_json(F.element_at(config, key), "array<string>")

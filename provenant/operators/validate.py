@@ -13,15 +13,10 @@ from pyspark.sql import functions as F
 from provenant import contract
 from provenant.contract import Registry
 from provenant.functions.jsontypes import (
-    as_number, as_string, field, is_array, non_empty, once, one_of, tag, top_level, truthy,
+    is_array, is_object, list_sql, number_sql, once, string_sql, top_level, truthy_sql,
 )
 from provenant.operators.pii import first_hit
 
-ENVELOPE = (
-    "site_id", "hostname", "event_type", "session_id", "browser_id", "client_timestamp_ms",
-    "client_event_id", "page_view_id", "previous_page_view_id", "event_sequence_index",
-    "event_contract_version",
-)
 STORAGE_TYPE_ERROR = "STORAGE_TYPE_ERROR"
 
 # Members read, and the event types that read them (None: all), so that the type tests of a
@@ -55,10 +50,6 @@ _ENGAGED = ("page_state", "session_summary")
 _OUT_OF_RANGE = 2**31
 
 
-def _c(name: str) -> Column:
-    return F.col(f"_f.{name}")
-
-
 def _members(strict: bool) -> tuple[str, ...]:
     names = ("event_type", *_STRINGS, *_NUMBERS, "engagement_proxy")
     return names + ((*_STRICT_STRINGS, *_STRICT_PRESENT) if strict else ())
@@ -66,140 +57,157 @@ def _members(strict: bool) -> tuple[str, ...]:
 
 def _fields(strict: bool) -> Column:
     """Struct of every member a rule reads; a missing or wrongly typed one is NULL."""
-    kind = as_string(F.col("_j.event_type"))
+    kind = string_sql("_j.event_type")
 
-    def only(types: tuple[str, ...] | None, value: Column) -> Column:
-        return value if types is None else F.when(kind.isin(*types), value)
+    def only(types: tuple[str, ...] | None, value: str) -> str:
+        return value if types is None else f"case when {kind} in {list_sql(types)} then {value} end"
 
     strings = _STRINGS | (_STRICT_STRINGS if strict else {})
-    parts = {n: only(types, as_string(F.col(f"_j.{n}"))) for n, types in strings.items()}
-    parts |= {
-        f"num_{n}": only(types, as_number(F.col(f"_j.{n}"))) for n, types in _NUMBERS.items()
-    }
+    parts = {"event_type": kind}
+    parts |= {n: only(types, string_sql(f"_j.{n}")) for n, types in strings.items()}
+    parts |= {f"num_{n}": only(types, number_sql(f"_j.{n}")) for n, types in _NUMBERS.items()}
     for name, allowed in _BUCKETS:
-        value = field(F.col("_j.engagement_proxy"), name)
-        bad = truthy(value) & ~one_of(as_string(value), allowed)
-        parts[f"bad_{name}"] = only(_ENGAGED, bad)
+        value = f"try_variant_get(_j.engagement_proxy, '$.{name}', 'variant')"
+        known = f"coalesce({string_sql(value)} in {list_sql(allowed)}, false)"
+        parts[f"bad_{name}"] = only(_ENGAGED, f"{truthy_sql(value)} and not {known}")
     if strict:
         parts |= {
-            f"has_{n}": F.coalesce(tag(F.col(f"_j.{n}")), F.lit("VOID")) != "VOID"
-            for n in _STRICT_PRESENT
+            f"has_{n}": f"coalesce(schema_of_variant(_j.{n}), 'VOID') <> 'VOID'" for n in _STRICT_PRESENT
         }
-    return F.struct(kind.alias("event_type"), *[v.alias(n) for n, v in parts.items()])
+    return F.expr("struct(" + ", ".join(f"{sql} as {name}" for name, sql in parts.items()) + ")")
 
 
-def _differs(value: Column, expected: str) -> Column:
-    return ~value.eqNullSafe(F.lit(expected))
+def _absent(name: str) -> str:
+    return f"coalesce(_f.{name}, '') = ''"
 
 
-def _rules(registry: Registry) -> list[tuple[Column, str]]:
-    """(predicate, code) in reporting order."""
-    kind = _c("event_type")
+def _on(*types: str) -> str:
+    return f"coalesce(_f.event_type in {list_sql(types)}, false)"
 
-    def on(*types: str) -> Column:
-        return one_of(kind, types)
 
-    def absent(name: str) -> Column:
-        return ~non_empty(_c(name))
+def _unlisted(name: str, values: tuple[str, ...]) -> str:
+    return f"not coalesce(_f.{name} in {list_sql(values)}, false)"
 
-    ts = F.col("_ts")
-    valid_ts = F.coalesce((ts == F.floor(ts)) & (ts > 0), F.lit(False))
-    now_ms = F.unix_millis("received_at").cast("double")
-    canonical = on(*contract.CANONICAL_TYPES)
-    engaged = on(*_ENGAGED)
 
+_VALID_TIME = "coalesce(_ts = floor(_ts) and _ts > 0, false)"
+
+
+def _rules(registry: Registry) -> list[tuple[str, str]]:
+    """(predicate, code) in reporting order."""
+    canonical = _on(*contract.CANONICAL_TYPES)
+    now = "cast(unix_millis(received_at) as double)"
     return [
-        (~one_of(kind, contract.EVENT_TYPES), "UNKNOWN_EVENT_TYPE"),
-        (_differs(_c("event_schema_version"), contract.SCHEMA_VERSION), "UNKNOWN_SCHEMA_VERSION"),
-        (_differs(_c("consent_signal"), contract.CONSENT_GRANTED), "CONSENT_NOT_GRANTED"),
-        (~one_of(_c("site_id"), registry.sites), "UNKNOWN_SITE_ID"),
-        (absent("anon_session_id"), "MISSING_SESSION_ID"),
-        (absent("anon_browser_id"), "MISSING_BROWSER_ID"),
-        (~valid_ts, "INVALID_TIMESTAMP"),
-        (valid_ts & (ts > now_ms + contract.FUTURE_TOLERANCE_MS), "FUTURE_TIMESTAMP"),
-        (valid_ts & (ts < now_ms - contract.STALE_AFTER_MS), "STALE_TIMESTAMP"),
-        (canonical & absent("client_event_id"), "MISSING_CLIENT_EVENT_ID"),
+        (_unlisted("event_type", contract.EVENT_TYPES), "UNKNOWN_EVENT_TYPE"),
+        (f"not (_f.event_schema_version <=> '{contract.SCHEMA_VERSION}')", "UNKNOWN_SCHEMA_VERSION"),
+        (f"not (_f.consent_signal <=> '{contract.CONSENT_GRANTED}')", "CONSENT_NOT_GRANTED"),
+        (_unlisted("site_id", registry.sites), "UNKNOWN_SITE_ID"),
+        (_absent("anon_session_id"), "MISSING_SESSION_ID"),
+        (_absent("anon_browser_id"), "MISSING_BROWSER_ID"),
+        (f"not {_VALID_TIME}", "INVALID_TIMESTAMP"),
+        (f"{_VALID_TIME} and _ts > {now} + {contract.FUTURE_TOLERANCE_MS}", "FUTURE_TIMESTAMP"),
+        (f"{_VALID_TIME} and _ts < {now} - {contract.STALE_AFTER_MS}", "STALE_TIMESTAMP"),
+        (f"{canonical} and {_absent('client_event_id')}", "MISSING_CLIENT_EVENT_ID"),
         (
-            canonical & _differs(_c("event_contract_version"), contract.CANONICAL_CONTRACT),
+            f"{canonical} and not (_f.event_contract_version <=> '{contract.CANONICAL_CONTRACT}')",
             "MISSING_OR_INVALID_EVENT_CONTRACT_VERSION",
         ),
-        (on("page_view", "form_start", "form_submit") & absent("page_view_id"), "MISSING_PAGE_VIEW_ID"),
-        (on("page_view") & absent("path"), "MISSING_PATH"),
         (
-            on("cta_click") & absent("cta_id") & absent("cta_label_bucket"),
+            f"{_on('page_view', 'form_start', 'form_submit')} and {_absent('page_view_id')}",
+            "MISSING_PAGE_VIEW_ID",
+        ),
+        (f"{_on('page_view')} and {_absent('path')}", "MISSING_PATH"),
+        (
+            f"{_on('cta_click')} and {_absent('cta_id')} and {_absent('cta_label_bucket')}",
             "MISSING_CTA_ID_OR_LABEL_BUCKET",
         ),
-        (on("cta_click") & absent("href_category"), "MISSING_HREF_CATEGORY"),
+        (f"{_on('cta_click')} and {_absent('href_category')}", "MISSING_HREF_CATEGORY"),
         (
-            on("cta_click") & _c("num_click_offset_ms").isNull() & _c("num_ms_since_page_load").isNull(),
+            f"{_on('cta_click')} and _f.num_click_offset_ms is null and _f.num_ms_since_page_load is null",
             "MISSING_CLICK_OFFSET",
         ),
-        (on("form_start", "form_submit") & absent("form_id"), "MISSING_FORM_ID"),
+        (f"{_on('form_start', 'form_submit')} and {_absent('form_id')}", "MISSING_FORM_ID"),
         (
-            on("form_start") & _c("num_ms_since_page_load").isNull()
-            & _c("num_form_start_offset_ms").isNull(),
+            f"{_on('form_start')} and _f.num_ms_since_page_load is null "
+            "and _f.num_form_start_offset_ms is null",
             "MISSING_FORM_START_OFFSET",
         ),
         (
-            on("form_submit") & ~one_of(_c("submit_outcome"), contract.SUBMIT_OUTCOMES),
+            f"{_on('form_submit')} and {_unlisted('submit_outcome', contract.SUBMIT_OUTCOMES)}",
             "MISSING_OR_INVALID_SUBMIT_OUTCOME",
         ),
-        (on("generate_lead") & absent("lead_type"), "MISSING_LEAD_TYPE"),
+        (f"{_on('generate_lead')} and {_absent('lead_type')}", "MISSING_LEAD_TYPE"),
         (
-            on("generate_lead") & ~one_of(_c("source_kind"), contract.SOURCE_KINDS),
+            f"{_on('generate_lead')} and {_unlisted('source_kind', contract.SOURCE_KINDS)}",
             "MISSING_OR_INVALID_SOURCE_KIND",
         ),
         # An empty id passes here: only the type is checked.
         (
-            on("generate_lead") & _c("source_page_view_id").isNull() & _c("page_view_id").isNull(),
+            f"{_on('generate_lead')} and _f.source_page_view_id is null and _f.page_view_id is null",
             "MISSING_SOURCE_PAGE_VIEW_ID",
         ),
         # One code per bad bucket, so the same code may appear up to three times.
-        *[(engaged & _c(f"bad_{name}"), "UNKNOWN_BUCKET_VALUE") for name, _ in _BUCKETS],
+        *[(f"coalesce(_f.bad_{name}, false)", "UNKNOWN_BUCKET_VALUE") for name, _ in _BUCKETS],
     ]
 
 
-def _strict_rules() -> list[tuple[Column, str]]:
+def _strict_rules() -> list[tuple[str, str]]:
     """Fields the contract document asks for and the base rules do not check (ours)."""
-    kind = _c("event_type")
-
-    def on(*types: str) -> Column:
-        return one_of(kind, types)
-
-    def absent(name: str) -> Column:
-        return ~non_empty(_c(name))
-
+    summary = _on("session_summary")
     return [
-        (on(*contract.DEPRECATED_TYPES), "STRICT_DEPRECATED_EVENT_TYPE"),
-        (on("session_start") & absent("path"), "STRICT_MISSING_PATH"),
-        (on("session_start") & absent("hostname"), "STRICT_MISSING_HOSTNAME"),
-        (on("session_start") & absent("event_contract_version"), "STRICT_MISSING_CONTRACT_VERSION"),
-        (on("page_state", "cta_click") & absent("page_view_id"), "STRICT_MISSING_PAGE_VIEW_ID"),
+        (_on(*contract.DEPRECATED_TYPES), "STRICT_DEPRECATED_EVENT_TYPE"),
+        (f"{_on('session_start')} and {_absent('path')}", "STRICT_MISSING_PATH"),
+        (f"{_on('session_start')} and {_absent('hostname')}", "STRICT_MISSING_HOSTNAME"),
         (
-            on("form_submit") & _c("error_bucket").isNotNull()
-            & ~one_of(_c("error_bucket"), contract.ERROR_BUCKETS),
-            "STRICT_UNKNOWN_ERROR_BUCKET",
+            f"{_on('session_start')} and {_absent('event_contract_version')}",
+            "STRICT_MISSING_CONTRACT_VERSION",
         ),
-        (on("session_summary") & ~_c("has_page_count"), "STRICT_MISSING_PAGE_COUNT"),
-        (on("session_summary") & ~_c("has_path_summary"), "STRICT_MISSING_PATH_SUMMARY"),
+        (f"{_on('page_state', 'cta_click')} and {_absent('page_view_id')}", "STRICT_MISSING_PAGE_VIEW_ID"),
         (
-            on("session_summary") & ~_c("has_timing_summary") & ~_c("has_timing_buckets"),
-            "STRICT_MISSING_TIMING",
+            f"{_on('form_submit')} and _f.error_bucket is not null "
+            f"and {_unlisted('error_bucket', contract.ERROR_BUCKETS)}",
+            "STRICT_UNKNOWN_ERROR_BUCKET",
         ),
+        (f"{summary} and not _f.has_page_count", "STRICT_MISSING_PAGE_COUNT"),
+        (f"{summary} and not _f.has_path_summary", "STRICT_MISSING_PATH_SUMMARY"),
         (
-            on("session_summary") & ~_c("has_interaction_density"),
-            "STRICT_MISSING_INTERACTION_DENSITY",
+            f"{summary} and not _f.has_timing_summary and not _f.has_timing_buckets",
+            "STRICT_MISSING_TIMING",
         ),
+        (f"{summary} and not _f.has_interaction_density", "STRICT_MISSING_INTERACTION_DENSITY"),
     ]
 
 
-def _contract_version() -> Column:
-    kind, supplied = _c("event_type"), _c("event_contract_version")
-    return (
-        F.when(one_of(kind, contract.CANONICAL_TYPES), F.lit(contract.CANONICAL_CONTRACT))
-        .when(one_of(kind, contract.LEGACY_TYPES) & non_empty(supplied), supplied)
-        .otherwise(F.lit(contract.LEGACY_CONTRACT))
-    )
+def _codes(rules: list[tuple[str, str]]) -> str:
+    broken = ", ".join(f"case when {test} then '{code}' end" for test, code in rules)
+    return f"case when _object then concat_ws('|', {broken}) else 'INVALID_EVENT_OBJECT' end"
+
+
+_CONTRACT_VERSION = (
+    f"case when {_on(*contract.CANONICAL_TYPES)} then '{contract.CANONICAL_CONTRACT}' "
+    f"when {_on(*contract.LEGACY_TYPES)} and _f.event_contract_version <> '' then _f.event_contract_version "
+    f"else '{contract.LEGACY_CONTRACT}' end"
+)
+# The ledger column is a 32-bit integer.
+_STORABLE = (
+    "coalesce(_f.num_event_sequence_index = floor(_f.num_event_sequence_index) "
+    f"and _f.num_event_sequence_index >= -{_OUT_OF_RANGE} "
+    f"and _f.num_event_sequence_index < {_OUT_OF_RANGE}, true)"
+)
+# Column name -> expression over the fields read.
+_ENVELOPE_SQL = {
+    "site_id": "_f.site_id",
+    "hostname": "_f.hostname",
+    "event_type": "_f.event_type",
+    "session_id": "_f.anon_session_id",
+    "browser_id": "_f.anon_browser_id",
+    "client_timestamp_ms": f"case when {_VALID_TIME} then try_cast(_ts as bigint) end",
+    "client_event_id": "nullif(_f.client_event_id, '')",
+    "page_view_id": "_f.page_view_id",
+    "previous_page_view_id": "_f.previous_page_view_id",
+    "event_sequence_index": f"case when {_STORABLE} then try_cast(_f.num_event_sequence_index as int) end",
+    "event_contract_version": _CONTRACT_VERSION,
+}
+ENVELOPE = tuple(_ENVELOPE_SQL)
 
 
 def validate_events(events: DataFrame, registry: Registry, *, strict: bool = False) -> DataFrame:
@@ -210,62 +218,33 @@ def validate_events(events: DataFrame, registry: Registry, *, strict: bool = Fal
     ``pii_rejected`` and ``accepted``. ``strict`` appends the document-only codes.
     """
     carried = events.columns
+    rules = _rules(registry) + (_strict_rules() if strict else [])
     parsed = events.select("*", once(top_level(F.col("raw"), _members(strict))).alias("_j"))
     read = parsed.select(
         *carried,
         # An array counts as an object without members, as it does for JavaScript.
-        (F.col("_j").isNotNull() | is_array(F.col("raw"))).alias("_object"),
+        (is_object(F.col("_j")) | is_array(F.col("raw"))).alias("_object"),
         once(_fields(strict)).alias("_f"),
     )
-    # The first candidate that is a number wins, even when it then fails the integer test.
-    timed = read.withColumn(
-        "_ts",
-        F.coalesce(*[_c(f"num_{n}") for n in ("client_timestamp_ms", "occurred_at", "timestamp")]),
-    )
-    rules = _rules(registry) + (_strict_rules() if strict else [])
-    judged = timed.withColumn(
-        "_codes",
-        F.when(
-            F.col("_object"),
-            F.concat_ws("|", *[F.when(broken, F.lit(code)) for broken, code in rules]),
-        ).otherwise(F.lit("INVALID_EVENT_OBJECT")),
-    ).withColumn("_pii", first_hit(F.col("raw")))
-
-    ordinal = _c("num_event_sequence_index")
-    storable = F.coalesce(
-        (ordinal == F.floor(ordinal)) & (ordinal >= -_OUT_OF_RANGE) & (ordinal < _OUT_OF_RANGE),
-        F.lit(True),
+    # The first clock that is a number wins, even when it then fails the integer test.
+    timed = read.selectExpr(
+        "*",
+        "coalesce(_f.num_client_timestamp_ms, _f.num_occurred_at, _f.num_timestamp) as _ts",
     )
-    # The ledger column is a 32-bit integer: an otherwise valid event that cannot be stored is
-    # set aside on its own rather than failing its batch.
-    codes = F.when(
-        (F.col("_codes") == "") & F.col("_pii").isNull() & ~storable, F.lit(STORAGE_TYPE_ERROR)
-    ).otherwise(F.col("_codes"))
-    ts = F.col("_ts")
-    valid_ts = (ts == F.floor(ts)) & (ts > 0)
-    plain = F.when(F.col("_codes") == "", F.array().cast("array<string>")).otherwise(
-        F.split("_codes", "[|]")
+    judged = timed.select("*", F.expr(_codes(rules)).alias("_rules"), first_hit(F.col("raw")).alias("_pii"))
+    # An otherwise valid event that cannot be stored is set aside on its own, not with its batch.
+    coded = judged.selectExpr(
+        "*",
+        f"case when _rules = '' and _pii is null and not {_STORABLE} then '{STORAGE_TYPE_ERROR}' "
+        "else _rules end as _codes",
+        "case when _object then _pii end as pii_code",
     )
-    pii = F.col("pii_code")
-    return (
-        judged.withColumn("_codes", codes)
-        .withColumn("pii_code", F.when(F.col("_object"), F.col("_pii")))
-        .select(
-            *carried,
-            _c("site_id").alias("site_id"),
-            _c("hostname").alias("hostname"),
-            _c("event_type").alias("event_type"),
-            _c("anon_session_id").alias("session_id"),
-            _c("anon_browser_id").alias("browser_id"),
-            F.when(valid_ts, ts).try_cast("bigint").alias("client_timestamp_ms"),
-            F.when(non_empty(_c("client_event_id")), _c("client_event_id")).alias("client_event_id"),
-            _c("page_view_id").alias("page_view_id"),
-            _c("previous_page_view_id").alias("previous_page_view_id"),
-            F.when(storable, ordinal).try_cast("int").alias("event_sequence_index"),
-            _contract_version().alias("event_contract_version"),
-            F.when(pii.isNull(), plain).otherwise(F.array_append(plain, pii)).alias("reason_codes"),
-            pii,
-            pii.isNotNull().alias("pii_rejected"),
-            ((F.col("_codes") == "") & pii.isNull()).alias("accepted"),
-        )
+    plain = "case when _codes = '' then cast(array() as array<string>) else split(_codes, '[|]') end"
+    return coded.selectExpr(
+        *carried,
+        *[f"{sql} as {name}" for name, sql in _ENVELOPE_SQL.items()],
+        f"case when pii_code is null then {plain} else array_append({plain}, pii_code) end as reason_codes",
+        "pii_code",
+        "pii_code is not null as pii_rejected",
+        "_codes = '' and pii_code is null as accepted",
     )
