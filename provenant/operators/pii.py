@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from provenant import contract
 from provenant.functions.jsontypes import field
@@ -109,7 +110,7 @@ def first_hit_in(raw: str | None) -> str | None:
         return None
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(StringType())
 def _walk(raw: pa.Array) -> pa.Array:
     if raw.null_count == len(raw):
         return pa.nulls(len(raw), pa.string())

@@ -89,7 +89,8 @@ def _unlisted(name: str, values: tuple[str, ...]) -> str:
     return f"not coalesce(_f.{name} in {list_sql(values)}, false)"
 
 
-_VALID_TIME = "coalesce(_ts = floor(_ts) and _ts > 0, false)"
+# rint keeps a double, where floor would saturate at the largest bigint.
+_VALID_TIME = "coalesce(_ts = rint(_ts) and _ts > 0 and _ts < double('Infinity'), false)"
 
 
 def _rules(registry: Registry) -> list[tuple[str, str]]:
@@ -189,7 +190,7 @@ _CONTRACT_VERSION = (
 )
 # The ledger column is a 32-bit integer.
 _STORABLE = (
-    "coalesce(_f.num_event_sequence_index = floor(_f.num_event_sequence_index) "
+    "coalesce(_f.num_event_sequence_index = rint(_f.num_event_sequence_index) "
     f"and _f.num_event_sequence_index >= -{_OUT_OF_RANGE} "
     f"and _f.num_event_sequence_index < {_OUT_OF_RANGE}, true)"
 )
