@@ -9,7 +9,9 @@ type tag first and yields NULL for a value of any other type.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -80,13 +82,16 @@ def is_object(members: Column) -> Column:
     return members.isNotNull() & members["_malformed"].isNull()
 
 
-def once(value: Column) -> Column:
-    """The value as a generated column, at most one per ``select``.
+def once(df: DataFrame, name: str, value: Column, keep: Sequence[str] | None = None) -> DataFrame:
+    """``df`` (or its ``keep`` columns) with ``value`` as a column that is evaluated once per row.
 
     The optimizer copies a projected expression into every filter and projection above that uses
-    it. It never copies a generator, so a parse wrapped here runs once per row.
+    it, but it never looks through a generator. The value is computed by a projection, which is
+    compiled, and only handed on by the generator.
     """
-    return F.explode(F.array(value))
+    kept = list(df.columns if keep is None else keep)
+    computed = df.select(*kept, value.alias("_value"))
+    return computed.select(*kept, F.explode(F.array("_value")).alias(name))
 
 
 def is_array(raw: Column) -> Column:

@@ -20,7 +20,7 @@ def read_captures(bodies: DataFrame) -> DataFrame:
     """Parse capture bodies (``body`` JSON text) and name the first failed check in ``error``."""
     carried = bodies.columns
     members = top_level(F.col("body"), (*_STRINGS, *_NUMBERS, "trigger_reasons"))
-    read = bodies.select("*", once(members).alias("_j")).select(
+    read = once(bodies, "_j", members).select(
         *carried,
         (is_object(F.col("_j")) | is_array(F.col("body"))).alias("_object"),
         *[as_string(f"_j.{n}").alias(n) for n in _STRINGS],

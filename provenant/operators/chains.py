@@ -24,7 +24,7 @@ def _of_type(kind: str, value: Column) -> Column:
 def with_payload(ledger: DataFrame, *names: str) -> DataFrame:
     """Add string members of ``raw`` as columns."""
     return (
-        ledger.select("*", once(top_level(F.col("raw"), names)).alias("_m"))
+        once(ledger, "_m", top_level(F.col("raw"), names))
         .withColumns({n: as_string(f"_m.{n}") for n in names})
         .drop("_m")
     )
@@ -128,32 +128,30 @@ def page_lineage(ledger: DataFrame) -> DataFrame:
     ``linked`` events name a previous page view seen in the session, ``orphans`` one that was
     not. ``sequence_gaps`` counts the missing values between the lowest and highest index.
 
-    Both sides of the link are counted per page-view id and meet in one aggregate, so neither a
-    join nor a busy page view moves single rows.
+    Each event becomes up to three marks: a page seen, a page referred to, an index used. Seen
+    pages and references are counted per id and meet in one aggregate, so there is one scan, no
+    join, and no busy page view or session that moves row by row.
     """
-    seen = ledger.filter("event_type = 'page_view' and page_view_id is not null").select(
-        *SESSION, F.col("page_view_id").alias("page"), F.lit(1).alias("seen"), F.lit(0).alias("refs")
+    def mark(kind: str, key: str, seen: int, refs: int) -> str:
+        return f"struct('{kind}' as kind, {key} as key, {seen} as seen, {refs} as refs)"
+
+    marks = ledger.select(*SESSION, F.explode(F.expr(f"""array(
+        if(event_type = 'page_view' and page_view_id is not null, {mark("page", "page_view_id", 1, 0)}, null),
+        if(previous_page_view_id is not null, {mark("page", "previous_page_view_id", 0, 1)}, null),
+        if(event_sequence_index is not null,
+           {mark("index", "cast(event_sequence_index as string)", 0, 0)}, null))""")).alias("m"))
+    per_key = (
+        marks.filter("m is not null").groupBy(*SESSION, "m.kind", "m.key")
+        .agg(F.max("m.seen").alias("seen"), F.sum("m.refs").alias("refs"))
     )
-    named = ledger.filter("previous_page_view_id is not null").select(
-        *SESSION, F.col("previous_page_view_id").alias("page"), F.lit(0).alias("seen"),
-        F.lit(1).alias("refs"),
-    )
-    links = (
-        seen.unionByName(named).groupBy(*SESSION, "page")
-        .agg(F.max("seen").alias("seen"), F.sum("refs").alias("refs"))
-        .groupBy(*SESSION).agg(
-            F.sum("seen").alias("pages"),
-            F.sum(F.when(F.col("seen") == 1, F.col("refs")).otherwise(F.lit(0))).alias("linked"),
-            F.sum(F.when(F.col("seen") == 0, F.col("refs")).otherwise(F.lit(0))).alias("orphans"),
-        )
-    )
-    index = F.col("event_sequence_index")
-    gaps = (
-        ledger.filter(index.isNotNull()).groupBy(*SESSION).agg(
-            (F.max(index) - F.min(index) + 1 - F.count_distinct(index)).alias("sequence_gaps")
-        )
-    )
-    return links.join(gaps, list(SESSION), "full").select(
-        *SESSION,
-        *[F.coalesce(n, F.lit(0)).alias(n) for n in ("pages", "linked", "orphans", "sequence_gaps")],
+    page, index = F.col("kind") == "page", F.when(F.col("kind") == "index", F.col("key").cast("bigint"))
+
+    def total(test: Column, value: Column) -> Column:
+        return F.sum(F.when(page & test, value).otherwise(F.lit(0)))
+
+    return per_key.groupBy(*SESSION).agg(
+        total(F.col("seen") == 1, F.col("seen")).alias("pages"),
+        total(F.col("seen") == 1, F.col("refs")).alias("linked"),
+        total(F.col("seen") == 0, F.col("refs")).alias("orphans"),
+        F.coalesce(F.max(index) - F.min(index) + 1 - F.count(index), F.lit(0)).alias("sequence_gaps"),
     )

@@ -21,7 +21,7 @@ def read_decisions(bodies: DataFrame) -> DataFrame:
     """
     carried = bodies.columns
     names = (*_REQUIRED, *_OPTIONAL, *_NUMBERS, "trigger_reasons")
-    read = bodies.select("*", once(top_level(F.col("body"), names)).alias("_j"))
+    read = once(bodies, "_j", top_level(F.col("body"), names))
     complete = F.lit(True)
     for name in _REQUIRED:
         complete = complete & F.expr(truthy_sql(f"_j.{name}"))

@@ -63,7 +63,7 @@ def replay_rows(ledger: DataFrame, start: str, end: str) -> DataFrame:
 def replay_meta(ledger: DataFrame, start: str, end: str) -> DataFrame:
     """One row per site; session and subject ids are read from the event itself."""
     members = top_level(F.col("raw"), ("anon_session_id", "anon_browser_id"))
-    ids = in_window(ledger, start, end).select("*", once(members).alias("_m")).select(
+    ids = once(in_window(ledger, start, end), "_m", members).select(
         "site_id", "collector_version",
         as_string("_m.anon_session_id").alias("session"),
         as_string("_m.anon_browser_id").alias("subject"),

@@ -220,19 +220,17 @@ def validate_events(events: DataFrame, registry: Registry, *, strict: bool = Fal
     """
     carried = events.columns
     rules = _rules(registry) + (_strict_rules() if strict else [])
-    parsed = events.select("*", once(top_level(F.col("raw"), _members(strict))).alias("_j"))
-    read = parsed.select(
-        *carried,
-        # An array counts as an object without members, as it does for JavaScript.
-        (is_object(F.col("_j")) | is_array(F.col("raw"))).alias("_object"),
-        once(_fields(strict)).alias("_f"),
-    )
+    parsed = once(events, "_j", top_level(F.col("raw"), _members(strict)))
+    # An array counts as an object without members, as it does for JavaScript.
+    typed = parsed.withColumn("_object", is_object(F.col("_j")) | is_array(F.col("raw")))
+    read = once(typed, "_f", _fields(strict), keep=[*carried, "_object"])
     # The first clock that is a number wins, even when it then fails the integer test.
     timed = read.selectExpr(
         "*",
         "coalesce(_f.num_client_timestamp_ms, _f.num_occurred_at, _f.num_timestamp) as _ts",
     )
-    judged = timed.select("*", F.expr(_codes(rules)).alias("_rules"), first_hit(F.col("raw")).alias("_pii"))
+    ruled = once(timed, "_rules", F.expr(_codes(rules)))
+    judged = ruled.select("*", first_hit(F.col("raw")).alias("_pii"))
     # An otherwise valid event that cannot be stored is set aside on its own, not with its batch.
     coded = judged.selectExpr(
         "*",

@@ -42,6 +42,14 @@ def _accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.accepted_ledger(_judged(spark, sf_dir), REGISTRY)
 
 
+def _stored(ledger_rows: DataFrame, label: str) -> DataFrame:
+    """The rows as a stored table, for jobs that read a ledger more than once."""
+    spark = ledger_rows.sparkSession
+    path = new_run_dir(spark, label)
+    ledger_rows.write.parquet(path)
+    return spark.read.schema(ledger_rows.schema).parquet(path)
+
+
 def _ms(name: str) -> Column:
     return F.unix_millis(name)
 
@@ -315,7 +323,7 @@ def decision_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def schema_evolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of an older layout and of the present one, read as one table."""
-    rows = ledger.accepted_rows(_judged(spark, sf_dir), REGISTRY)
+    rows = _stored(ledger.accepted_rows(_judged(spark, sf_dir), REGISTRY).drop("raw"), "layouts")
     split = F.lit("2024-01-15").cast("date")
     added = (
         "client_event_id", "page_view_id", "previous_page_view_id", "event_sequence_index",
@@ -348,7 +356,7 @@ def stream_collect(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- evidence chains and monitors -------------------------------------------------
 
 def lead_grade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    graded = chains.grade_leads(_accepted(spark, sf_dir))
+    graded = chains.grade_leads(_stored(_accepted(spark, sf_dir), "ledger"))
     flags = ("had_view", "had_click", "had_success")
     return graded.select("event_id", "source_kind", "grade", *[F.col(n).cast("int").alias(n) for n in flags])
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamReader
 
 from provenant import contract
-from provenant.functions.jsontypes import tag
+from provenant.functions.jsontypes import once, tag
 
 REFUSED = "INVALID_BATCH_FORMAT"
 BATCH_SCHEMA = "batch_id bigint, body string, received_at timestamp"
@@ -31,9 +31,8 @@ def admit(batches: DataFrame) -> DataFrame:
 
     A body is refused whole unless it is a JSON array of at most fifty elements.
     """
-    parsed = batches.withColumn(
-        "elements", F.try_variant_get(F.try_parse_json("body"), "$", "array<variant>")
-    ).withColumn("n_events", F.size("elements"))
+    elements = F.try_variant_get(F.try_parse_json("body"), "$", "array<variant>")
+    parsed = once(batches, "elements", elements).withColumn("n_events", F.size("elements"))
     refused = F.col("elements").isNull() | (F.col("n_events") > contract.MAX_BATCH_EVENTS)
     return parsed.withColumn("error", F.when(refused, F.lit(REFUSED)))
 

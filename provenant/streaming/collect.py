@@ -92,7 +92,9 @@ def collect_epoch(batches: DataFrame, epoch: int, root: str, registry: Registry)
         "event_id", F.lit(epoch).cast("bigint") * 2**ID_BITS + F.col("_n")
     ).drop("_n")
     _write_epoch(numbered, root, "accepted", epoch)
-    _write_epoch(rejected_rows(judged, registry), root, "rejected", epoch)
+    # Ranges of arrival time, so that a task writes few dates, as the numbered rows already do.
+    rejected = rejected_rows(judged, registry).repartitionByRange(*ARRIVAL)
+    _write_epoch(rejected, root, "rejected", epoch)
     refused = admission.filter("error is not null").select(
         "batch_id", "error", "n_events", "received_at", F.to_date("received_at").alias("received_date")
     )
