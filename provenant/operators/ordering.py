@@ -39,8 +39,11 @@ def with_ordinal(
         "_part", *within, "_first",
         F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"),
     )
-    return (
-        placed.join(offsets, ["_part", *within])
-        .withColumn(name, F.col("_before") + F.col("_at") - F.col("_first") + 1)
-        .drop("_part", "_at", "_first", "_before")
+    # Null-safe, so that rows of a NULL group keep their place too.
+    same = F.col("p._part") == F.col("o._part")
+    for column in within:
+        same = same & F.col(f"p.{column}").eqNullSafe(F.col(f"o.{column}"))
+    position = F.col("o._before") + F.col("p._at") - F.col("o._first") + 1
+    return placed.alias("p").join(offsets.alias("o"), same).select(
+        *[F.col(f"p.`{c}`") for c in df.columns], position.alias(name)
     )

@@ -19,6 +19,7 @@ from pyspark.sql.types import StringType
 
 from provenant import contract
 from provenant.functions.jsontypes import field
+from provenant.functions.personal_data import EMAIL_PROBE, PHONE_PROBE
 
 # The walk travels to the workers inside the plan, so they need no installed package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -27,14 +28,7 @@ def _first_letters(keys: tuple[str, ...]) -> str:
     return "".join(sorted({key[0] for key in keys}))
 
 
-# Screening patterns: each finds a match exactly where the full pattern or list would, at less
-# cost. A search needs only the last character of an email's local part, and the shortest form
-# of a phone's optional and variable ends; a look-ahead spares most quotes the key list.
-_EMAIL_PROBE = "[a-zA-Z0-9._%+-]" + contract.EMAIL_PATTERN.split("+", 2)[2]
-_PHONE_PROBE = (
-    rf"[0-9]{{2}}\)?[{contract.WHITESPACE_CLASS}.-]?[0-9]{{3,4}}"
-    rf"[{contract.WHITESPACE_CLASS}.-]?[0-9]{{3}}"
-)
+# A look-ahead on the first letter spares most quotes the whole key list.
 _STRUCTURAL_PAIR = (
     rf'"(?=[{_first_letters(contract.STRUCTURAL_KEYS)}])(?:{"|".join(contract.STRUCTURAL_KEYS)})"'
     r'\s*+:\s*+(?:"[^"]*+"|-?[0-9.]++)'
@@ -59,8 +53,8 @@ def suspect(raw: Column) -> Column:
     text = F.regexp_replace(raw, _STRUCTURAL_PAIR, "")
     return (
         raw.contains("\\")
-        | (raw.contains("@") & text.rlike(_EMAIL_PROBE))
-        | text.rlike(_PHONE_PROBE)
+        | (raw.contains("@") & text.rlike(EMAIL_PROBE))
+        | text.rlike(PHONE_PROBE)
         | text.rlike(_PII_KEY)
     )
 
