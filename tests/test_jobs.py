@@ -7,8 +7,9 @@ from datetime import datetime, timezone
 from pyspark.sql import functions as F
 
 from provenant import contract
-from provenant.operators import capture, decisions, monitors, replay, siteconfig
+from provenant.operators import capture, decisions, monitors, replay, sinks, siteconfig
 from provenant.session import new_run_dir
+from provenant.streaming import collect
 
 KEY = "a" * 64
 
@@ -137,3 +138,34 @@ def test_reconcile(spark):
         "site_id string, window_start int, subject_count int, sha256 string")
     found = {r.window_start: r.status for r in monitors.reconcile_runs(runs, exports).collect()}
     assert found == {1: "ok", 2: "digest_differs", 3: "totals_differ", 4: "no_run", 9: "no_export"}
+
+
+def test_sinks_replace_days_and_keep_versions(spark):
+    path = new_run_dir(spark, "sink-test")
+    schema = "site string, n int, metric_date date"
+
+    def rows(*days):
+        return spark.createDataFrame([("s", n, datetime(2024, 1, d).date()) for d, n in days], schema)
+
+    sinks.replace_days(rows((1, 1), (2, 2)), f"{path}/metrics")
+    for _ in range(2):
+        sinks.replace_days(rows((2, 20)), f"{path}/metrics")
+    stored = spark.read.schema(schema).parquet(f"{path}/metrics")
+    assert {(r.metric_date.day, r.n) for r in stored.collect()} == {(1, 1), (2, 20)} and stored.count() == 2
+    sinks.write_snapshot(rows((1, 1), (2, 2)), f"{path}/state", 1)
+    first = sinks.read_snapshot(spark, f"{path}/state", schema, 1)
+    sinks.write_snapshot(first.filter("n > 1"), f"{path}/state", 2)
+    assert sinks.read_snapshot(spark, f"{path}/state", schema, 2).count() == 1 and first.count() == 2
+
+
+def test_bounded_stream_dedup(spark):
+    source = new_run_dir(spark, "bounded-source")
+    schema = "site_id string, session_id string, client_event_id string, received_at timestamp"
+    at = _at("2024-01-01T00:00:00")
+    spark.createDataFrame([("s", "x", "c1", at), ("s", "x", "c1", at), ("s", "x", "c2", at)], schema).write.parquet(source)
+    stream = spark.readStream.schema(schema).parquet(source)
+    target = new_run_dir(spark, "bounded-target")
+    query = collect.recent_duplicates_dropped(stream, "1 hour").writeStream.option(
+        "checkpointLocation", f"{target}/progress").trigger(availableNow=True).start(f"{target}/rows")
+    query.awaitTermination()
+    assert spark.read.parquet(f"{target}/rows").count() == 2
