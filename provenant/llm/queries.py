@@ -6,18 +6,28 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from provenant.llm import sentencepieces
+from provenant.llm import sentencepieces, tokenfiles
 from provenant.llm.common import table, tokenizer_file
+from provenant.session import new_run_dir
 
 PIECE_MODEL = "piece_bpe_32k.model"
+BYTE_MODEL = "byte_bpe_50k.json"
+END_OF_DOCUMENT = 2
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepieces.digests(table(spark, sf_dir, "documents"), tokenizer_file(PIECE_MODEL))
 
 
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    folder = new_run_dir(spark, "tokens")
+    tokenfiles.write(docs, folder, tokenizer_file(BYTE_MODEL), END_OF_DOCUMENT)
+    return tokenfiles.checks(tokenfiles.scan(spark, folder))
+
+
 def catalogue() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in (op1_sentencepiece,)}
+    return {q.__name__: q for q in (op1_sentencepiece, op4_token_files)}
 
 
 def catalogue_sql() -> dict[str, str]:
