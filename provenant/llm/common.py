@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from provenant.session import configure, new_run_dir
 
@@ -31,3 +32,8 @@ def tokenizer_file(name: str) -> str:
     import public_tokenizers
 
     return str(Path(public_tokenizers.path(name)))
+
+
+def fold_of(id_col: str) -> Column:
+    """The remainder by five of the CRC-32 of an id written as text."""
+    return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(5)).cast("int")

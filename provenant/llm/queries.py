@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from provenant.llm import sentencepieces, tokenfiles
-from provenant.llm.common import table, tokenizer_file
+from provenant.llm import sentencepieces, tokenfiles, toxicity
+from provenant.llm.common import fold_of, table, tokenizer_file
 from provenant.session import new_run_dir
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -26,8 +27,16 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.checks(tokenfiles.scan(spark, folder))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scorer = toxicity.fit(toxicity.training_rows(docs, table(spark, sf_dir, "labels")))
+    return toxicity.score(docs.select("doc_id", "text"), scorer).select(
+        "doc_id", F.coalesce(fold_of("doc_id") == 0, F.lit(False)).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def catalogue() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in (op1_sentencepiece, op4_token_files)}
+    return {q.__name__: q for q in (op1_sentencepiece, op4_token_files, op8_toxicity)}
 
 
 def catalogue_sql() -> dict[str, str]:
