@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provenant.llm import decontamination, sentencepieces, tokenfiles, toxicity
+from provenant.llm import decontamination, jaccard, sentencepieces, tokenfiles, toxicity
 from provenant.llm.common import fold_of, table, tokenizer_file
 from provenant.session import new_run_dir
 
@@ -24,6 +24,10 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.linked(table(spark, sf_dir, "documents"))
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     folder = new_run_dir(spark, "tokens")
@@ -40,7 +44,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def catalogue() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in (op1_sentencepiece, op2_decontamination, op4_token_files, op8_toxicity)}
+    return {q.__name__: q for q in (op1_sentencepiece, op2_decontamination, op3_ngram_jaccard, op4_token_files, op8_toxicity)}
 
 
 def catalogue_sql() -> dict[str, str]:
