@@ -9,19 +9,39 @@ file's added tokens, and files with other settings go through the library whole.
 from __future__ import annotations
 
 import json
+import re
+import unicodedata
 from functools import lru_cache
 
 import numpy as np
-import regex
 
+#: Characters up to here are classed alike by Python and the library.
+PLAIN_END = 0x250
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-WORDS = regex.compile(
-    rf"'(?:[sdmt]|ll|ve|re)| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
-)
-PLAIN = regex.compile("[\\x00-\\x1b\\x20-\\u024f\\u0370-\\u0373\\u0391-\\u03a1\\u03a3-\\u03ff\\u0400-\\u0481"
-                      "\\u2010-\\u2027\\u2030-\\u205e\\u20a0-\\u20ac]*")
+PLAIN = re.compile(f"[\\0-{chr(PLAIN_END - 1)}\u2010-\u2027\u2030-\u205e\u20a0-\u20ac]*")
 #: Distinct words in one generation of a Python worker's memory.
-REMEMBERED = 200_000
+REMEMBERED = 500_000
+
+
+def _class(kind: str) -> str:
+    """The plain characters of a Unicode category, as they stand in a pattern."""
+    return "".join(re.escape(c) for c in map(chr, range(PLAIN_END)) if unicodedata.category(c)[0] == kind)
+
+
+LETTERS, NUMBERS = _class("L"), _class("N")
+WORDS = re.compile(
+    rf"'(?:[sdmt]|ll|ve|re)| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^{SPACE}{LETTERS}{NUMBERS}]+"
+    rf"|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
+
+
+def _letters_of_bytes() -> list[str]:
+    """The character by which a byte-level vocabulary writes each byte: itself, if it is printable."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return [chr(b if b in printable else next(others)) for b in range(256)]
+
+
+WRITTEN = _letters_of_bytes()
 
 
 class Encoder:
@@ -47,23 +67,24 @@ class Encoder:
         if not self.by_word or any(t in text for t in self.added) or not PLAIN.fullmatch(text):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4")
         words = WORDS.findall(text)
-        get = self.young.get
-        got = [get(w) for w in words]
+        got = list(map(self.young.get, words))
         if None in got:
-            self._learn([*{w for w, ids in zip(words, got, strict=True) if ids is None}])
-            get, old = self.young.get, self.old.get
-            got = [get(w) or old(w) for w in words]
+            missing = [i for i, ids in enumerate(got) if ids is None]
+            self._learn({words[i] for i in missing})
+            for i in missing:
+                got[i] = self.young[words[i]]
         return np.frombuffer(b"".join(got), "<u4")
 
-    def _learn(self, words: list[str]) -> None:
+    def _learn(self, words: set[str]) -> None:
         # Two generations: what is asked for again moves on, the rest of the old one goes.
         if len(self.young) > REMEMBERED:
             self.old, self.young = self.young, {}
-        found = self.old.get
-        self.young.update((w, ids) for w in words if (ids := found(w)) is not None)
-        words = [w for w in words if w not in self.young]
-        for word, made in zip(words, self.library.encode_batch_fast(words, add_special_tokens=False), strict=True):
-            self.young[word] = np.array(made.ids, "<u4").tobytes()
+        tokenize, found = self.library.model.tokenize, self.old.get
+        for word in words:
+            if (ids := found(word)) is None:
+                pieces = tokenize("".join([WRITTEN[b] for b in word.encode()]))
+                ids = b"".join([p.id.to_bytes(4, "little") for p in pieces])
+            self.young[word] = ids
 
     def decode(self, ids: list[int]) -> str:
         return self.library.decode(ids, skip_special_tokens=False)

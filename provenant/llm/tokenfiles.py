@@ -162,8 +162,9 @@ def scan(spark: SparkSession, folder: str, wanted: Iterable[int] | None = None)
                             rows, held = [], 0
                     yield _rows(rows)
 
-    manifest = _with_starts(spark.read.schema(MANIFEST).parquet(f"{folder}/manifest"))
-    return manifest.repartition(F.col("part")).mapInArrow(
+    manifest = spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
+    # A given number of partitions, which Spark does not merge again however few bytes the manifest has.
+    return _with_starts(manifest).repartition(min(10_000, max(1, manifest.count()))).mapInArrow(
         task, "doc_id long, start long, n_tokens long, ids binary")
 
 
