@@ -240,10 +240,13 @@ def score(docs: DataFrame, scorer, text_col: str = "text", out_col: str = "score
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, held_out: int = 0) -> DataFrame:
-    """Labelled documents outside the held-out fold: text, toxic and fold, where folds 0 to 3 remain."""
+    """Labelled documents outside the held-out fold: id, text, toxic and fold, where folds 0 to 3 remain.
+
+    The labels grow with the documents, so the join is a shuffle at every size.
+    """
     remainder = fold_of("doc_id")
     marked = labels.where("doc_id is not null and toxic in (0, 1)").select("doc_id", "toxic")
     return (
-        docs.select("doc_id", "text").where(remainder != held_out).join(marked, "doc_id")
+        docs.select("doc_id", "text").where(remainder != held_out).join(marked.hint("merge"), "doc_id")
         .select("doc_id", "text", "toxic", F.pmod(remainder + (4 - held_out), F.lit(5)).cast("int").alias("fold"))
     )
