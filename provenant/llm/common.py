@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pathlib import Path
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,3 +38,18 @@ def tokenizer_file(name: str) -> str:
 def fold_of(id_col: str) -> Column:
     """The remainder by five of the CRC-32 of an id written as text."""
     return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(5)).cast("int")
+
+
+#: Positions in a bit table: bounded, and whatever collides in it only lets more through.
+BITS = 1 << 22
+
+
+def bit_table(values: DataFrame) -> np.ndarray:
+    """Which of BITS positions some value of the only column (a long) takes; the driver gets no more than these."""
+    taken = values.select((F.pmod(F.col(values.columns[0]), F.lit(BITS)) + 1).cast("long").alias("bit")).select(
+        F.bitmap_bucket_number("bit").alias("bucket"), F.bitmap_bit_position("bit").alias("position"))
+    table = np.zeros(BITS, bool)
+    for row in taken.groupBy("bucket").agg(F.bitmap_construct_agg("position").alias("bits")).toLocalIterator():
+        bits = np.unpackbits(np.frombuffer(row["bits"], np.uint8), bitorder="little")
+        table[(row["bucket"] - 1) * len(bits) + np.flatnonzero(bits)] = True
+    return table

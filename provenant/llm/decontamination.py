@@ -25,13 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provenant.llm.common import staged
+from provenant.llm.common import BITS, bit_table, staged
 from provenant.llm.words import mix, run_hashes, word_hashes
 
 WINDOW, MATCHES = 13, 11
 MASKS = ((0, 1, 2, 4, 6, 8, 9), (0, 3, 5, 6, 8, 9, 10), (0, 1, 2, 3, 6, 7, 8))
-#: Positions in the bit table that clears most hashes: bounded, and exact whatever collides in it.
-FILTER_BITS = 1 << 22
 #: Hits closer than this are verified as one stretch.
 JOINED = 64
 
@@ -71,18 +69,6 @@ def index(items: DataFrame, id_col: str = "item_id", text_col: str = "text") ->
         task, "item long, item_words binary, n_words int, seeds array<struct<at:int,seed:long>>")
 
 
-def _bit_table(indexed: DataFrame) -> np.ndarray:
-    """Which of FILTER_BITS positions are taken by some seed; the driver gets that many bits at most."""
-    taken = indexed.select(F.explode("seeds.seed").alias("s")).select(
-        (F.pmod("s", F.lit(FILTER_BITS)) + 1).cast("long").alias("bit")).select(
-        F.bitmap_bucket_number("bit").alias("bucket"), F.bitmap_bit_position("bit").alias("position"))
-    table = np.zeros(FILTER_BITS, bool)
-    for row in taken.groupBy("bucket").agg(F.bitmap_construct_agg("position").alias("bits")).collect():
-        bits = np.unpackbits(np.frombuffer(row["bits"], np.uint8), bitorder="little")
-        table[(row["bucket"] - 1) * len(bits) + np.flatnonzero(bits)] = True
-    return table
-
-
 def _stretches(positions: np.ndarray, n: int) -> Iterator[tuple[int, int, np.ndarray]]:
     cuts = np.flatnonzero(np.diff(positions) > JOINED) + 1
     for part in np.split(np.arange(len(positions)), cuts):
@@ -100,7 +86,7 @@ def _suspects(docs: DataFrame, table, lengths: list[int], id_col: str, text_col:
                 words = word_hashes(text)
                 at, got = [], []
                 for positions, hashes in seeds(words, lengths):
-                    maybe = bits[hashes & np.uint64(FILTER_BITS - 1)]
+                    maybe = bits[hashes & np.uint64(BITS - 1)]
                     at.append(positions[maybe]), got.append(hashes[maybe].view(np.int64))
                 at, got = np.concatenate(at), np.concatenate(got)
                 if not len(at):
@@ -149,7 +135,7 @@ def overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col
     spark = docs.sparkSession
     indexed = staged(index(items), "benchmark-index")
     lengths = sorted(r[0] for r in indexed.where(F.col("n_words") < WINDOW).select("n_words").distinct().collect())
-    table = spark.sparkContext.broadcast(_bit_table(indexed))
+    table = spark.sparkContext.broadcast(bit_table(indexed.select(F.explode("seeds.seed"))))
     suspects = staged(_suspects(docs, table, lengths, id_col, text_col).dropDuplicates(["stretch"]), "suspects")
 
     hits = suspects.select("stretch", F.explode("hits").alias("h")).select("stretch", "h.at", "h.seed")

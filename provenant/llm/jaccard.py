@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provenant.llm.common import staged
+from provenant.llm.common import BITS, bit_table, staged
 from provenant.llm.components import components
 from provenant.llm.words import BASE, mix, run_hashes, word_hashes
 
@@ -172,11 +172,15 @@ def _entries(docs: DataFrame, counts, small: int) -> DataFrame:
     return docs.mapInArrow(task, "key long, id long, n int, place int")
 
 
-def _sets(docs: DataFrame) -> DataFrame:
+def _sets(docs: DataFrame, table) -> DataFrame:
+    """The whole sets of the documents whose ids may be in a bit table."""
     def task(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = table.value
         for frame in frames:
-            sets = [shingles(t).tobytes() for t in frame.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([frame.column(0), pa.array(sets, pa.binary())], ["id", "members"])
+            chosen = [i for i, doc_id in enumerate(frame.column(0).to_pylist()) if bits[doc_id % BITS]]
+            sets = [shingles(frame.column(1)[i].as_py()).tobytes() for i in chosen]
+            yield pa.RecordBatch.from_arrays([frame.column(0).take(pa.array(chosen, pa.int64())), pa.array(sets, pa.binary())],
+                                             ["id", "members"])
 
     return docs.mapInArrow(task, "id long, members binary")
 
@@ -237,19 +241,23 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     rows = summaries.where("slice is null").select("id", "n", "sig_a", "sig_b")
     small = boundary({r["n"]: r["count"] for r in rows.where(f"n between 1 and {2 * MOST_SMALL}").groupBy("n").count().collect()})
 
-    # One node for all exact copies of a set: its smallest id. An id that stands on several rows is linked by all.
+    # One node for all exact copies of a set: its smallest id. An id on rows with different sets is a node of its own.
     known = rows.where("n > 0 and id is not null")
     nodes = known.groupBy("sig_a", "sig_b", "n").agg(F.min("id").alias("node"), F.count("*").alias("m"))
     copies = staged(known.join(nodes.where("m > 1"), ["sig_a", "sig_b", "n"]).where("id != node").select("id", "node").distinct(), "copies")
     repeated = rows.where("id is not null").groupBy("id").count().where("count > 1").select("id")
-    left_out = staged(copies.select("id").distinct().join(repeated, "id", "left_anti"), "left-out")
-    first = docs.where("id is not null").join(left_out, "id", "left_anti")
-
-    entries = _entries(first, counts, small)
-    shared = entries.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
-    lists = staged(_entries(first, counts, small).join(shared.select("key"), "key"), "lists")
-    members = staged(lists.select("id").distinct(), "members")
-    sets = staged(_sets(first.join(members, "id", "left_semi")), "member-sets")
+    merged = copies.join(repeated, "id", "left_anti").withColumnRenamed("id", "copy")
+
+    named = docs.where("id is not null")
+    shared = _entries(named, counts, small).groupBy("key").agg(
+        F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
+    lists = _entries(named, counts, small).join(shared.select("key"), "key")
+    lists = staged(lists.join(merged, F.col("id") == F.col("copy"), "left").select(
+        "key", F.coalesce("node", "id").alias("id"), "n", "place").distinct(), "lists")
+    # Of the table of sets, only what stands on some list with another: a bounded bit table lets little else pass.
+    members = lists.join(lists.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"))
+                         .where("low < high").select("key"), "key").select("id").distinct()
+    sets = staged(_sets(named, spark.sparkContext.broadcast(bit_table(members))), "member-sets")
 
     links = copies.select(F.col("id").alias("a"), F.col("node").alias("b"))
     labels = None
@@ -265,4 +273,4 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 def representatives(docs: DataFrame) -> DataFrame:
     """One document of each component, the one of the smallest id, with all columns; null ids stay."""
     dropped = staged(linked(docs).where("component_id < doc_id").select("doc_id").distinct(), "dropped")
-    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    return docs.join(dropped.hint("merge"), "doc_id", "left_anti").select(docs.columns)
