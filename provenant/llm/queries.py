@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provenant.llm import decontamination, jaccard, sentencepieces, tokenfiles, toxicity
+from provenant.llm import decontamination, jaccard, linededup, sentencepieces, tokenfiles, toxicity
 from provenant.llm.common import fold_of, table, tokenizer_file
 from provenant.session import new_run_dir
 
@@ -35,6 +35,12 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.checks(tokenfiles.scan(spark, folder))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The digest of every document's text without later matches, and how many lines it had and lost."""
+    return linededup.deduplicated(table(spark, sf_dir, "documents")).select(
+        F.col("id").alias("doc_id"), "n_lines", "n_removed", F.md5("text").alias("text_md5"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scorer = toxicity.fit(toxicity.training_rows(docs, table(spark, sf_dir, "labels")))
@@ -44,7 +50,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def catalogue() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in (op1_sentencepiece, op2_decontamination, op3_ngram_jaccard, op4_token_files, op8_toxicity)}
+    return {q.__name__: q for q in (op1_sentencepiece, op2_decontamination, op3_ngram_jaccard, op4_token_files, op7_line_dedup, op8_toxicity)}
 
 
 def catalogue_sql() -> dict[str, str]:
