@@ -172,33 +172,35 @@ def _entries(docs: DataFrame, counts, small: int) -> DataFrame:
     return docs.mapInArrow(task, "key long, id long, n int, place int")
 
 
-def _sets(docs: DataFrame, table) -> DataFrame:
-    """The whole sets of the documents whose ids may be in a bit table."""
+def _texts(docs: DataFrame, table) -> DataFrame:
+    """The texts of the documents whose ids may be in a bit table."""
     def task(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = table.value
         for frame in frames:
-            chosen = [i for i, doc_id in enumerate(frame.column(0).to_pylist()) if bits[doc_id % BITS]]
-            sets = [shingles(frame.column(1)[i].as_py()).tobytes() for i in chosen]
-            yield pa.RecordBatch.from_arrays([frame.column(0).take(pa.array(chosen, pa.int64())), pa.array(sets, pa.binary())],
-                                             ["id", "members"])
+            yield frame.filter(pa.array([bool(bits[i % BITS]) for i in frame.column(0).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(task, "id long, members binary")
+    return docs.mapInArrow(task, "id long, text string")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose whole sets link."""
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose whole sets link. Texts travel, as they are half the size of their hashes."""
     def task(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
-            keep = []
-            for left, right in zip(frame.column(2), frame.column(3), strict=True):
-                x, y = np.frombuffer(left.as_buffer(), np.uint64), np.frombuffer(right.as_buffer(), np.uint64)
+            keep, made = [], {}
+            for left, right in zip(frame.column(2).to_pylist(), frame.column(3).to_pylist(), strict=True):
+                if len(made) > 64:
+                    made = {}
+                for text in (left, right):
+                    if text not in made:
+                        made[text] = shingles(text)
+                x, y = made[left], made[right]
                 at = np.minimum(np.searchsorted(y, x), len(y) - 1)
                 common = int((y[at] == x).sum())
                 keep.append(100 * common >= PERCENT * (len(x) + len(y) - common))
             yield pa.RecordBatch.from_arrays([frame.column(0), frame.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    left = sets.select(F.col("id").alias("a"), F.col("members").alias("left"))
-    right = sets.select(F.col("id").alias("b"), F.col("members").alias("right"))
+    left = texts.select(F.col("id").alias("a"), F.col("text").alias("left"))
+    right = texts.select(F.col("id").alias("b"), F.col("text").alias("right"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(task, "a long, b long")
 
 
@@ -257,12 +259,14 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     # Of the table of sets, only what stands on some list with another: a bounded bit table lets little else pass.
     members = lists.join(lists.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"))
                          .where("low < high").select("key"), "key").select("id").distinct()
-    sets = staged(_sets(named, spark.sparkContext.broadcast(bit_table(members))), "member-sets")
+    texts = staged(_texts(named, spark.sparkContext.broadcast(bit_table(members))), "member-texts")
 
     links = copies.select(F.col("id").alias("a"), F.col("node").alias("b"))
     labels = None
     for step in ("smallest", "largest", "all"):
-        found = staged(_verified(_candidates(lists, labels, step), sets), "verified")
+        # Once staged, few pairs are known to be few, and Spark need not deal out the texts for them.
+        pairs = staged(_candidates(lists, labels, step), "pairs")
+        found = staged(_verified(pairs, texts), "verified")
         links = links.unionByName(found)
         labels = staged(components(links), "components")
     return rows.join(labels.withColumnRenamed("component", "reached"), "id", "left").select(
