@@ -153,23 +153,27 @@ def _counts(summaries: DataFrame) -> np.ndarray:
 
 
 def _entries(docs: DataFrame, counts, small: int) -> DataFrame:
-    """Rows (key, id, n, place) of all subsets and list entries."""
+    """Rows (key, id, size) of all subsets and list entries; ``size`` holds n and the place in the order.
+
+    Keys have 48 bits: two that fall together make candidates that are not verified.
+    """
     def task(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = counts.value
         for frame in frames:
-            ids, sizes, found, places = [], [], [], []
+            ids, sizes, found = [], [], []
             for doc_id, text in zip(frame.column(0).to_pylist(), frame.column(1).to_pylist(), strict=True):
                 members = shingles(text)
                 if len(members):
                     k, p = keys(members, table, small)
-                    found.append(k), places.append(p)
-                    ids.append(np.full(len(k), doc_id, np.int64)), sizes.append(np.full(len(k), len(members), np.int32))
+                    found.append(k >> np.uint64(16))
+                    ids.append(np.full(len(k), doc_id, np.int64))
+                    sizes.append((np.int64(len(members)) << 32) + p)
             if found:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(ids)),
-                     pa.array(np.concatenate(sizes)), pa.array(np.concatenate(places))], ["key", "id", "n", "place"])
+                     pa.array(np.concatenate(sizes))], ["key", "id", "size"])
 
-    return docs.mapInArrow(task, "key long, id long, n int, place int")
+    return docs.mapInArrow(task, "key long, id long, size long")
 
 
 def _texts(docs: DataFrame, table) -> DataFrame:
@@ -251,11 +255,11 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     merged = copies.join(repeated, "id", "left_anti").withColumnRenamed("id", "copy")
 
     named = docs.where("id is not null")
-    shared = _entries(named, counts, small).groupBy("key").agg(
-        F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
+    shared = _entries(named, counts, small).groupBy("key").count().where("count > 1")
     lists = _entries(named, counts, small).join(shared.select("key"), "key")
     lists = staged(lists.join(merged, F.col("id") == F.col("copy"), "left").select(
-        "key", F.coalesce("node", "id").alias("id"), "n", "place").distinct(), "lists")
+        "key", F.coalesce("node", "id").alias("id"), F.shiftright("size", 32).cast("int").alias("n"),
+        F.col("size").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int").alias("place")).distinct(), "lists")
     # Of the table of sets, only what stands on some list with another: a bounded bit table lets little else pass.
     members = lists.join(lists.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"))
                          .where("low < high").select("key"), "key").select("id").distinct()
