@@ -142,23 +142,49 @@ def alike(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return nodes, staged(pairs, "alike-lines")
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (id, version, text, n_lines, n_removed): the texts without later matches."""
-    docs = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("version"), F.col(text_col).alias("text"))
+def _gone(docs: DataFrame) -> DataFrame:
+    """Rows (i, v, gone): the numbers of the lines that a document, by id and version, loses."""
     nodes, pairs = alike(docs)
     first = nodes.select(F.col("sig").alias("s"), "first")
     later = pairs.join(first.select(F.col("s").alias("x"), F.col("first").alias("p")), "x").join(
         first.select(F.col("s").alias("y"), F.col("first").alias("q")), "y").select(
         F.when(F.col("p") < F.col("q"), F.col("y")).otherwise(F.col("x")).alias("sig")).distinct()
-    occurrences = _lines(docs).select("id", "version", "line", _signature(F.col("words")).alias("sig"), _place(F.col("line")).alias("at"))
-    kept_sets = nodes.join(later, "sig", "left_anti")
-    removed = occurrences.select("sig", "at").distinct().join(
-        kept_sets.hint("merge"), (occurrences["sig"] == kept_sets["sig"]) & (F.col("at") == F.col("first")), "left_anti")
-    # The lines of one document, at most as many as its text has.
-    by_doc = removed.groupBy("at.id", "at.version").agg(F.collect_list("at.line").alias("gone")).withColumnsRenamed(
-        {"id": "i", "version": "v"})
-    split = F.split("text", "\n", -1)
-    kept = F.filter(split, lambda x, k: ~F.array_contains("gone", k))
-    return docs.join(by_doc.hint("merge"), F.col("id").eqNullSafe(F.col("i")) & (F.col("version") == F.col("v")), "left").select(
-        "id", "version", F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text"),
-        F.size(split).alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).alias("n_removed"))
+    occurrences = _lines(docs).select(_signature(F.col("words")).alias("sig"), _place(F.col("line")).alias("at")).distinct()
+    kept = nodes.join(later, "sig", "left_anti").select(F.col("sig").alias("s"), "first")
+    removed = occurrences.join(
+        kept.hint("merge"), (F.col("sig") == F.col("s")) & (F.col("at") == F.col("first")), "left_anti")
+    # At most as many lines as the text of the document has.
+    return removed.groupBy(F.col("at.id").alias("i"), F.col("at.version").alias("v")).agg(
+        F.collect_list("at.line").alias("gone"))
+
+
+def _joined(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    here = F.col(f"d.{id_col}").eqNullSafe(F.col("g.i")) & (F.xxhash64(f"d.{text_col}") == F.col("g.v"))
+    return docs.alias("d").join(gone.hint("merge").alias("g"), here, "left")
+
+
+def _kept(text_col: str) -> Column:
+    lines = F.filter(F.split(f"d.{text_col}", "\n", -1), lambda x, k: ~F.array_contains("g.gone", k))
+    return F.when(F.col("g.gone").isNull(), F.col(f"d.{text_col}")).otherwise(F.array_join(lines, "\n"))
+
+
+def _versions(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("version"), F.col(text_col).alias("text"))
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows (id, text, n_lines, n_removed): the texts without later matches."""
+    joined = _joined(docs.select(id_col, text_col), _gone(_versions(docs, id_col, text_col)), id_col, text_col)
+    return joined.select(
+        F.col(f"d.{id_col}").alias("id"), _kept(text_col).alias("text"),
+        F.size(F.split(f"d.{text_col}", "\n", -1)).alias("n_lines"),
+        F.when(F.col("g.gone").isNull(), 0).otherwise(F.size("g.gone")).alias("n_removed"))
+
+
+def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size_col: str = "n_chars") -> DataFrame:
+    """The documents with all their columns, texts without later matches and the size column brought up to date."""
+    joined = _joined(docs, _gone(_versions(docs, id_col, text_col)), id_col, text_col)
+    text = _kept(text_col)
+    new = {text_col: text, size_col: F.when(F.col("g.gone").isNull(), F.col(f"d.{size_col}")).otherwise(
+        F.char_length(text).cast("long"))}
+    return joined.select([new.get(c, F.col(f"d.`{c}`")).alias(c) for c in docs.columns])

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provenant.llm import decontamination, jaccard, linededup, sentencepieces, tokenfiles, toxicity
+from provenant.llm import decontamination, jaccard, language, linededup, sentencepieces, tokenfiles, toxicity
 from provenant.llm.common import fold_of, table, tokenizer_file
 from provenant.session import new_run_dir
 
@@ -35,6 +35,13 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.checks(tokenfiles.scan(spark, folder))
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(fold_of("doc_id") == 0, F.lit(False)).alias("held_out")
+    model = language.fit(docs.where(fold_of("doc_id") != 0).select("text", "lang"))
+    return language.predict(docs.select("doc_id", "text"), model).select("doc_id", held_out, "lang_pred", "score")
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The digest of every document's text without later matches, and how many lines it had and lost."""
     return linededup.deduplicated(table(spark, sf_dir, "documents")).select(
@@ -50,7 +57,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def catalogue() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in (op1_sentencepiece, op2_decontamination, op3_ngram_jaccard, op4_token_files, op7_line_dedup, op8_toxicity)}
+    return {q.__name__: q for q in (op1_sentencepiece, op2_decontamination, op3_ngram_jaccard, op4_token_files, op6_language, op7_line_dedup, op8_toxicity)}
 
 
 def catalogue_sql() -> dict[str, str]:
