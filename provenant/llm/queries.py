@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provenant.llm import decontamination, jaccard, language, linededup, sentencepieces, tokenfiles, toxicity
+from provenant.llm import decontamination, jaccard, language, linededup, neighbours, sentencepieces, tokenfiles, toxicity
 from provenant.llm.common import fold_of, table, tokenizer_file
 from provenant.session import new_run_dir
 
@@ -56,8 +56,14 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    found = neighbours.nearest(vectors, vectors.where(F.col("vec_id") % 100 == 0))
+    return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
 def catalogue() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in (op1_sentencepiece, op2_decontamination, op3_ngram_jaccard, op4_token_files, op6_language, op7_line_dedup, op8_toxicity)}
+    return {q.__name__: q for q in (op1_sentencepiece, op2_decontamination, op3_ngram_jaccard, op4_token_files, op6_language, op7_line_dedup, op8_toxicity, op9_neighbours)}
 
 
 def catalogue_sql() -> dict[str, str]:
