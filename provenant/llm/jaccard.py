@@ -18,7 +18,7 @@ least.
 Only links between different texts matter: exact copies of a set are one node. To lose no link and yet
 not compare all pairs of a large group, each list is first compared with its smallest member, then its
 largest, and only members that are not connected by then are compared with each other. Every
-candidate passes size and position filters and is then verified on the whole sets.
+candidate passes size and position filters and a bound by bit maps of the sets, and is then verified on the whole sets.
 
 Defined results: null, empty and wordless texts have an empty set and link with nothing. A null id gets a
 null component and no links. Rows with one id and different texts each stand for that id. Other columns are
@@ -36,13 +36,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provenant.llm.common import BITS, bit_table, staged
+from provenant.llm.common import staged
 from provenant.llm.components import components
 from provenant.llm.words import BASE, mix, run_hashes, word_hashes
 
 SHINGLE, PERCENT = 5, 75
 BUCKETS = 1 << 18
 SLICES = 16
+#: Bits of the map of each set, whose differences bound the difference of two sets from below.
+MAP_BITS = 2048
 #: Largest set for which subsets are considered at all; their number grows fast.
 MOST_SMALL = 12
 #: Rows that a list entry costs beside itself: it is counted, then joined with its list.
@@ -104,12 +106,12 @@ def keys(found: np.ndarray, counts: np.ndarray, small: int) -> tuple[np.ndarray,
 
 
 def _summaries(docs: DataFrame) -> DataFrame:
-    """A row (id, n, sig_a, sig_b) for each document, and rows (slice, counts) of each task."""
+    """A row (id, n, sig_a, sig_b, bits) for each document, and rows (slice, counts) of each task."""
     def task(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(BUCKETS, np.int64)
-        names = ["id", "n", "sig_a", "sig_b", "slice", "counts"]
+        names = ["id", "n", "sig_a", "sig_b", "bits", "slice", "counts"]
         for frame in frames:
-            sizes, first, second, seen = [], [], [], []
+            sizes, first, second, seen, maps = [], [], [], [], []
             for text in frame.column(1).to_pylist():
                 found = shingles(text)
                 mixed = mix(found + BASE)
@@ -117,20 +119,23 @@ def _summaries(docs: DataFrame) -> DataFrame:
                 first.append(mixed.sum(dtype=np.uint64))
                 second.append(mix(mixed).sum(dtype=np.uint64))
                 seen.append((found & np.uint64(BUCKETS - 1)).astype(np.int64))
+                taken = np.zeros(MAP_BITS, np.uint8)
+                taken[(found >> np.uint64(40)) % np.uint64(MAP_BITS)] = 1
+                maps.append(np.packbits(taken).tobytes())
             if seen:
                 counts += np.bincount(np.concatenate(seen), minlength=BUCKETS)
             n = len(sizes)
             yield pa.RecordBatch.from_arrays([
                 frame.column(0), pa.array(sizes, pa.int32()),
                 pa.array(np.array(first, np.uint64).view(np.int64)), pa.array(np.array(second, np.uint64).view(np.int64)),
-                pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
+                pa.array(maps, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
         part = BUCKETS // SLICES
         yield pa.RecordBatch.from_arrays([
             pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.int32()), pa.nulls(SLICES, pa.int64()),
-            pa.nulls(SLICES, pa.int64()), pa.array(range(SLICES), pa.int32()),
+            pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.binary()), pa.array(range(SLICES), pa.int32()),
             pa.array([counts[k * part : (k + 1) * part].tobytes() for k in range(SLICES)], pa.binary())], names)
 
-    return docs.mapInArrow(task, "id long, n int, sig_a long, sig_b long, slice int, counts binary")
+    return docs.mapInArrow(task, "id long, n int, sig_a long, sig_b long, bits binary, slice int, counts binary")
 
 
 def _counts(summaries: DataFrame) -> np.ndarray:
@@ -176,14 +181,22 @@ def _entries(docs: DataFrame, counts, small: int) -> DataFrame:
     return docs.mapInArrow(task, "key long, id long, size long")
 
 
-def _texts(docs: DataFrame, table) -> DataFrame:
-    """The texts of the documents whose ids may be in a bit table."""
+def _close(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The pairs that may link by the maps of their sets, which are a tenth of the size of the texts."""
     def task(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = table.value
         for frame in frames:
-            yield frame.filter(pa.array([bool(bits[i % BITS]) for i in frame.column(0).to_pylist()], pa.bool_()))
+            n, m = frame.column(2).to_numpy(), frame.column(3).to_numpy()
+            left, right = (np.frombuffer(b"".join(frame.column(c).to_pylist()), np.uint64).reshape(-1, MAP_BITS // 64) for c in (4, 5))
+            apart = np.bitwise_count(left ^ right).sum(1, dtype=np.int64)
+            most = n + m - 2 * -(-PERCENT * (n + m) // (100 + PERCENT))
+            yield pa.RecordBatch.from_arrays([frame.column(0), frame.column(1)], ["a", "b"]).filter(pa.array(apart <= most))
 
-    return docs.mapInArrow(task, "id long, text string")
+    # Rows of one id with different texts are each other's stand-ins here; any of them may link.
+    maps = rows.where("id is not null").select("id", F.col("n").cast("long").alias("n"), "bits").distinct()
+    left = maps.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a"))
+    right = maps.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(
+        task, "a long, b long").distinct()
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -209,11 +222,10 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _possible(a: str, b: str):
-    """Whether the sizes, and the places of a common element, leave room for enough common elements."""
+    """Whether the sizes fit, and the places of the first common element: all before it is not common."""
     n, m, i, j = (F.col(c) for c in (f"{a}.n", f"{b}.n", f"{a}.place", f"{b}.place"))
-    most = F.least(i, j) + 1 + F.least(n - i - 1, m - j - 1)
     return (F.least(n, m) * 100 >= F.greatest(n, m) * PERCENT) & (
-        most * (100 + PERCENT) >= (n + m) * PERCENT)
+        i + j <= n + m - 2 * F.ceil((n + m) * PERCENT / (100 + PERCENT)))
 
 
 def _candidates(entries: DataFrame, labels: DataFrame | None, step: str) -> DataFrame:
@@ -244,11 +256,11 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     summaries = staged(_summaries(docs), "sets")
     counts = spark.sparkContext.broadcast(_counts(summaries))
-    rows = summaries.where("slice is null").select("id", "n", "sig_a", "sig_b")
+    rows = summaries.where("slice is null").select("id", "n", "sig_a", "sig_b", "bits")
     small = boundary({r["n"]: r["count"] for r in rows.where(f"n between 1 and {2 * MOST_SMALL}").groupBy("n").count().collect()})
 
     # One node for all exact copies of a set: its smallest id. An id on rows with different sets is a node of its own.
-    known = rows.where("n > 0 and id is not null")
+    known = rows.where("n > 0 and id is not null").drop("bits")
     nodes = known.groupBy("sig_a", "sig_b", "n").agg(F.min("id").alias("node"), F.count("*").alias("m"))
     copies = staged(known.join(nodes.where("m > 1"), ["sig_a", "sig_b", "n"]).where("id != node").select("id", "node").distinct(), "copies")
     repeated = rows.where("id is not null").groupBy("id").count().where("count > 1").select("id")
@@ -260,20 +272,16 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     lists = staged(lists.join(merged, F.col("id") == F.col("copy"), "left").select(
         "key", F.coalesce("node", "id").alias("id"), F.shiftright("size", 32).cast("int").alias("n"),
         F.col("size").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int").alias("place")).distinct(), "lists")
-    # Of the table of sets, only what stands on some list with another: a bounded bit table lets little else pass.
-    members = lists.join(lists.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"))
-                         .where("low < high").select("key"), "key").select("id").distinct()
-    texts = staged(_texts(named, spark.sparkContext.broadcast(bit_table(members))), "member-texts")
-
     links = copies.select(F.col("id").alias("a"), F.col("node").alias("b"))
     labels = None
     for step in ("smallest", "largest", "all"):
-        # Once staged, few pairs are known to be few, and Spark need not deal out the texts for them.
-        pairs = staged(_candidates(lists, labels, step), "pairs")
+        pairs = staged(_close(_candidates(lists, labels, step), rows), "pairs")
+        members = staged(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "members")
+        texts = staged(named.join(members, "id", "left_semi"), "member-texts")
         found = staged(_verified(pairs, texts), "verified")
         links = links.unionByName(found)
         labels = staged(components(links), "components")
-    return rows.join(labels.withColumnRenamed("component", "reached"), "id", "left").select(
+    return rows.select("id", "n").join(labels.withColumnRenamed("component", "reached"), "id", "left").select(
         F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"),
         F.coalesce("reached", "id").alias("component_id"))
 
