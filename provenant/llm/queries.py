@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provenant.llm import decontamination, jaccard, language, linededup, neighbours, sentencepieces, tokenfiles, toxicity
+from provenant.llm import decontamination, jaccard, language, linededup, neighbours, pagetext, sentencepieces, tokenfiles, toxicity
 from provenant.llm.common import fold_of, table, tokenizer_file
 from provenant.session import new_run_dir
 
@@ -62,8 +62,13 @@ def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
+def op10_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return pagetext.extract(pages, pagetext.fit(pages.select("html")), ["page_id", "url"])
+
+
 def catalogue() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in (op1_sentencepiece, op2_decontamination, op3_ngram_jaccard, op4_token_files, op6_language, op7_line_dedup, op8_toxicity, op9_neighbours)}
+    return {q.__name__: q for q in (op1_sentencepiece, op2_decontamination, op3_ngram_jaccard, op4_token_files, op6_language, op7_line_dedup, op8_toxicity, op9_neighbours, op10_page_text)}
 
 
 def catalogue_sql() -> dict[str, str]:
