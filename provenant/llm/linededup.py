@@ -6,9 +6,11 @@ n - ceil(0.8 n) + 1 words of either (prefix filter). If the first word that they
 j, then i + j words are not shared (positional filter), and sizes must be within the ratio (length
 filter). A 64-bit map of the words bounds the difference from below. What passes is verified on the whole sets.
 
-The rarity order comes from line counts in ``BUCKETS`` hash buckets, which is all that reaches the
+The rarity order comes from line counts in ``BUCKETS`` hash buckets, a table of fixed size on the
 driver: any order gives right results, a rare-first one gives few candidates. Lines of one set are
-one entry of the join, so thousands of copies of a line cost no more than one.
+one entry of the join, so thousands of copies of a line cost no more than one. Each line is first compared
+with the earliest line of each of its words, and only lines without a match go on to be compared with all
+earlier ones, so that a large family of alike lines does not make all its pairs.
 
 A line is removed when an earlier line, by document id and line number, is alike to it, whether or not that one
 stays. So the first of all alike lines is kept.
@@ -29,10 +31,11 @@ from provenant.llm.common import staged
 PERCENT = 80
 BUCKETS = 1 << 14
 #: Positions in the table that keeps most documents out of the verification: bounded, exact whatever collides.
-BITS = 1 << 20
+BITS = 1 << 21
 #: A set of words is common when one in so many lines has it.
 OFTEN = 1000
-WORD_SPLIT = "[ \\t\\n\\x0B\\f\\r]+"
+SPACE = " \t\n\x0b\f\r"
+WORD_SPLIT = f"[{SPACE}]+"
 
 
 def _place(line: Column) -> Column:
@@ -47,13 +50,13 @@ def _key(place) -> str:
 def _lines(docs: DataFrame) -> DataFrame:
     """Rows (id, version, line, words): the hashes of the different words of every line that has one."""
     rows = docs.select("id", "version", F.posexplode(F.split("text", "\n", -1)).alias("line", "content"))
-    words = F.split(F.trim(F.regexp_replace(F.lower("content"), WORD_SPLIT, F.lit(" "))), " ", -1)
-    return rows.select("id", "version", "line", F.array_distinct(
-        F.transform(words, lambda w: F.when(w != "", F.xxhash64(w)))).alias("words")).where("words[0] is not null")
+    trimmed = F.btrim(F.lower("content"), F.lit(SPACE))
+    words = F.array_distinct(F.transform(F.split(trimmed, WORD_SPLIT, -1), lambda w: F.xxhash64(w)))
+    return rows.where(F.length(F.btrim("content", F.lit(SPACE))) > 0).select("id", "version", "line", words.alias("words"))
 
 
 def _signature(words: Column) -> Column:
-    return F.xxhash64(F.array_sort(words), F.size(words))
+    return F.xxhash64(F.sort_array(words), F.size(words))
 
 
 def _rarity(lines: DataFrame) -> Column:
@@ -84,31 +87,60 @@ def _bit(value: Column, bits: Column) -> Column:
 
 
 def _entries(lines: DataFrame, rarity: Column) -> DataFrame:
-    """Rows (word, line_id, n, place, bits): the prefix of every line, with its place in the order."""
+    """Rows (word, sig, n, place, bits, id): the prefix of every line, with each word's place in the order."""
     rank = F.transform("words", lambda w: F.call_function(
         "shiftleft", F.element_at(rarity, (F.pmod(w, F.lit(BUCKETS)) + 1).cast("int")).cast("long"), F.lit(56)).bitwiseOR(
         F.shiftrightunsigned(w, 8)))
     bits = F.aggregate("words", F.lit(0).cast("long"), lambda seen, w: seen.bitwiseOR(F.call_function(
-        "shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftrightunsigned(w, 20), F.lit(64)).cast("int"))))
+        "shiftleft", F.lit(1).cast("long"), w.bitwiseAND(F.lit(63)).cast("int"))))
     n = F.size("words")
     length = (n - F.ceil(n * PERCENT / 100) + 1).cast("int")
-    rows = lines.select("sig", n.alias("n"), bits.alias("bits"),
-                        F.posexplode(F.slice(F.array_sort(rank), 1, length)).alias("place", "rank"))
+    rows = lines.select("sig", "id", n.alias("n"), bits.alias("bits"),
+                        F.posexplode(F.slice(F.sort_array(rank), 1, length)).alias("place", "rank"))
     # 32 bits tell words apart well enough for candidates.
     return rows.select(F.call_function("shiftright", F.call_function("shiftleft", "rank", F.lit(32)), F.lit(32)).cast("int").alias("word"),
-                       "sig", "n", "place", "bits")
+                       "sig", "n", "place", "bits", F.coalesce("id", F.lit(2**63 - 1)).alias("id"))
 
 
-def alike(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(nodes, pairs): of every set of words its first place; pairs of the signatures of alike sets.
+def _possible(a: str, b: str) -> Column:
+    """Whether two entries of one word may belong to alike lines."""
+    sizes = F.col(f"{a}.n") + F.col(f"{b}.n")
+    # Words that two alike sets of these sizes may not share, both sides together.
+    most = sizes - 2 * F.ceil(sizes * PERCENT / (100 + PERCENT))
+    return ((F.col(f"{a}.sig") != F.col(f"{b}.sig"))
+            & (F.least(f"{a}.n", f"{b}.n") * 100 >= F.greatest(f"{a}.n", f"{b}.n") * PERCENT)
+            & (F.col(f"{a}.place") + F.col(f"{b}.place") <= most)
+            & (F.bit_count(F.col(f"{a}.bits").bitwiseXOR(F.col(f"{b}.bits"))) <= most))
+
+
+def _verified(candidates: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs (x, y) of signatures whose whole sets are alike."""
+    candidates = staged(candidates.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "line-candidates")
+    members = staged(candidates.select(F.col("x").alias("sig")).union(candidates.select("y")).distinct().join(nodes, "sig"), "line-members")
+    bits = _bits(members.select(F.col("first.version").alias("v")))
+    sets = _lines(docs.where(_bit(F.col("version"), bits))).withColumn("sig", _signature(F.col("words"))).select("sig", "words")
+    sets = staged(sets.join(members.select("sig"), "sig", "left_semi").dropDuplicates(["sig"]), "line-words")
+    both = candidates.join(sets.select(F.col("sig").alias("x"), F.col("words").alias("left")), "x").join(
+        sets.select(F.col("sig").alias("y"), F.col("words").alias("right")), "y")
+    common = F.size(F.array_intersect("left", "right"))
+    return staged(both.where(common * 100 >= (F.size("left") + F.size("right") - common) * PERCENT).select("x", "y"), "alike-lines")
+
+
+def _later(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Of each pair the set that comes first later."""
+    first = nodes.select(F.col("sig").alias("s"), "first")
+    return pairs.join(first.select(F.col("s").alias("x"), F.col("first").alias("p")), "x").join(
+        first.select(F.col("s").alias("y"), F.col("first").alias("q")), "y").select(
+        F.when(F.col("p") < F.col("q"), F.col("y")).otherwise(F.col("x")).alias("sig")).distinct()
 
-    ``docs`` has the columns id, version (a hash of the text) and text.
+
+def later_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Signatures of the sets of words to which an earlier one is alike.
+
+    ``docs`` has the columns id, version (a hash of the text) and text; ``nodes`` has sig, first and copies.
     """
     lines = _lines(docs)
     rarity = _rarity(lines)
-    nodes = staged(lines.select(_signature(F.col("words")).alias("sig"), _place(F.col("line")).alias("place")).groupBy("sig").agg(
-        F.min("place").alias("first"), F.count("*").alias("copies")), "line-sets")
-
     # Of the sets with a thousandth of all lines, of which there can be a thousand, only the first line goes
     # on; copies of the others meet, and merge, where the words of the prefix are dealt out.
     total = nodes.agg(F.sum("copies")).first()[0] or 0
@@ -118,40 +150,30 @@ def alike(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         first = F.element_at(known, _signature(F.col("words")).cast("string"))
         here = F.concat_ws("/", F.coalesce(F.col("id").cast("string"), F.lit("")), F.col("version").cast("string"), F.col("line").cast("string"))
         lines = lines.where(first.isNull() | (first == here))
-    entries = _entries(lines.withColumn("sig", _signature(F.col("words"))), rarity).repartition("word").distinct()
+    entries = _entries(lines.withColumn("sig", _signature(F.col("words"))), rarity).repartition("word").groupBy(
+        "word", "sig", "n", "place", "bits").agg(F.min("id").alias("id"))
 
-    a, b = entries.alias("a"), entries.alias("b")
-    sizes = F.col("a.n") + F.col("b.n")
-    # Words that two alike sets of these sizes may not share, both sides together.
-    most = sizes - 2 * F.ceil(sizes * PERCENT / (100 + PERCENT))
-    candidates = a.join(b, (F.col("a.word") == F.col("b.word")) & (F.col("a.sig") < F.col("b.sig"))
-                        & (F.least("a.n", "b.n") * 100 >= F.greatest("a.n", "b.n") * PERCENT)
-                        & (F.col("a.place") + F.col("b.place") <= most)
-                        & (F.bit_count(F.col("a.bits").bitwiseXOR(F.col("b.bits"))) <= most))
-    candidates = staged(candidates.select(F.col("a.sig").alias("x"), F.col("b.sig").alias("y")).distinct(), "line-candidates")
-
-    members = candidates.select(F.col("x").alias("sig")).union(candidates.select("y")).distinct()
-    places = staged(members.join(nodes, "sig"), "line-members")
-    bits = _bits(places.select(F.col("first.version").alias("v")))
-    sets = _lines(docs.where(_bit(F.col("version"), bits))).withColumn("sig", _signature(F.col("words"))).select("sig", "words")
-    sets = staged(sets.join(members, "sig", "left_semi").dropDuplicates(["sig"]), "line-members")
-    both = candidates.join(sets.select(F.col("sig").alias("x"), F.col("words").alias("left")), "x").join(
-        sets.select(F.col("sig").alias("y"), F.col("words").alias("right")), "y")
-    common = F.size(F.array_intersect("left", "right"))
-    pairs = both.where(common * 100 >= (F.size("left") + F.size("right") - common) * PERCENT).select("x", "y")
-    return nodes, staged(pairs, "alike-lines")
+    # Families of alike lines shrink to one: every line of a word is compared with the earliest.
+    earliest = entries.groupBy("word").agg(F.min(F.struct("id", "sig", "n", "place", "bits")).alias("o"))
+    met = entries.alias("m").join(earliest, "word").where(_possible("m", "o"))
+    first_pairs = _verified(met.select(F.col("m.sig").alias("x"), F.col("o.sig").alias("y")), docs, nodes)
+    found = staged(_later(first_pairs, nodes), "later-lines")
+
+    # What is left over is compared with all that is earlier. The bit table lets through at least what is left.
+    left_over = _bits(nodes.join(found, "sig", "left_anti").select(F.col("sig").alias("v")))
+    late = entries.where(_bit(F.col("sig"), left_over))
+    met = late.alias("m").join(entries.alias("o"), (F.col("m.word") == F.col("o.word")) & (F.col("o.id") <= F.col("m.id")) & _possible("m", "o"))
+    more = _verified(met.select(F.col("m.sig").alias("x"), F.col("o.sig").alias("y")), docs, nodes)
+    return found.union(_later(more, nodes)).distinct()
 
 
 def _gone(docs: DataFrame) -> DataFrame:
     """Rows (i, v, gone): the numbers of the lines that a document, by id and version, loses."""
-    nodes, pairs = alike(docs)
-    first = nodes.select(F.col("sig").alias("s"), "first")
-    later = pairs.join(first.select(F.col("s").alias("x"), F.col("first").alias("p")), "x").join(
-        first.select(F.col("s").alias("y"), F.col("first").alias("q")), "y").select(
-        F.when(F.col("p") < F.col("q"), F.col("y")).otherwise(F.col("x")).alias("sig")).distinct()
-    occurrences = _lines(docs).select(_signature(F.col("words")).alias("sig"), _place(F.col("line")).alias("at")).distinct()
+    occurrences = staged(_lines(docs).select(_signature(F.col("words")).alias("sig"), _place(F.col("line")).alias("at")), "lines")
+    nodes = staged(occurrences.groupBy("sig").agg(F.min("at").alias("first"), F.count("*").alias("copies")), "line-sets")
+    later = later_sets(docs, nodes)
     kept = nodes.join(later, "sig", "left_anti").select(F.col("sig").alias("s"), "first")
-    removed = occurrences.join(
+    removed = occurrences.distinct().join(
         kept.hint("merge"), (F.col("sig") == F.col("s")) & (F.col("at") == F.col("first")), "left_anti")
     # At most as many lines as the text of the document has.
     return removed.groupBy(F.col("at.id").alias("i"), F.col("at.version").alias("v")).agg(
