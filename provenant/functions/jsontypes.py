@@ -73,7 +73,8 @@ def top_level(raw: Column, names: tuple[str, ...]) -> Column:
     member in a whole parsed document.
     """
     schema = ", ".join(f"`{n}` variant" for n in names) + ", `_malformed` string"
-    options = {"columnNameOfCorruptRecord": "_malformed"}
+    # The screen for personal data takes strings to stand in double quotes.
+    options = {"columnNameOfCorruptRecord": "_malformed", "allowSingleQuotes": "false"}
     return F.from_json(F.when(opening(raw) == "{", raw), schema, options)
 
 

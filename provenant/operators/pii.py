@@ -36,6 +36,9 @@ _STRUCTURAL_PAIR = (
 _KEY_LETTERS = _first_letters(contract.PII_KEYS)
 _PII_KEY = rf'"(?=[{_KEY_LETTERS}{_KEY_LETTERS.upper()}])(?i:{"|".join(contract.PII_KEYS)})"'
 
+#: An event that may hold personal data and could not be searched for it.
+UNSCREENED = "PII_SCREEN_IMPOSSIBLE"
+
 _EMAIL = re.compile(contract.EMAIL_PATTERN)
 _PHONE = re.compile(contract.PHONE_PATTERN)
 _PII_KEYS = frozenset(contract.PII_KEYS)
@@ -95,13 +98,19 @@ def _scan(document) -> str | None:
 
 
 def first_hit_in(raw: str | None) -> str | None:
-    """Reason code of the first hit in one JSON text, or None."""
+    """Reason code of the first hit in one JSON text, or None.
+
+    A suspect that the parser refuses or that goes beyond its limits (nesting, digits of a number)
+    could not be screened, which is a code of its own and never passes for clean.
+    """
     if raw is None:
         return None
     try:
-        return _scan(json.loads(raw))
+        found = _scan(json.loads(raw))
     except (ValueError, RecursionError):
-        return None
+        return UNSCREENED
+    # A path may hold half a surrogate pair, which no UTF-8 column can.
+    return None if found is None else found.encode("utf-8", "replace").decode()
 
 
 @F.arrow_udf(StringType())

@@ -15,7 +15,7 @@ from provenant.contract import Registry
 from provenant.functions.jsontypes import (
     is_array, is_object, list_sql, number_sql, once, string_sql, top_level, truthy_sql,
 )
-from provenant.operators.pii import first_hit
+from provenant.operators.pii import UNSCREENED, first_hit
 
 STORAGE_TYPE_ERROR = "STORAGE_TYPE_ERROR"
 
@@ -236,7 +236,8 @@ def validate_events(events: DataFrame, registry: Registry, *, strict: bool = Fal
         "*",
         f"case when _rules = '' and _pii is null and not {_STORABLE} then '{STORAGE_TYPE_ERROR}' "
         "else _rules end as _codes",
-        "case when _object then _pii end as pii_code",
+        # What could not be screened is redacted, whatever else is wrong with it.
+        f"case when _object or _pii = '{UNSCREENED}' then _pii end as pii_code",
     )
     plain = "case when _codes = '' then cast(array() as array<string>) else split(_codes, '[|]') end"
     return coded.selectExpr(

@@ -2,7 +2,12 @@
 
 Every micro-batch is judged once into a staged table and then written as one epoch of each
 ledger, followed by a commit marker. Epoch folders are overwritten on a rerun and readers only
-see committed epochs, so a restart or a lost executor neither doubles nor halves a batch.
+see committed epochs, so a restart or a lost executor neither doubles nor halves a batch. The
+staged table holds what the ledgers hold, personal data already redacted, and goes after the commit.
+
+A query numbers its micro-batches from nought. The ledger notes, for the lasting id of each query, the epoch
+at which it joined, so a query with a new or lost checkpoint goes on after the last epoch
+instead of writing over the first ones.
 """
 
 from __future__ import annotations
@@ -15,6 +20,7 @@ from provenant.contract import Registry
 from provenant.operators.dedup import ARRIVAL, LEDGER_KEY, first_writer_wins
 from provenant.operators.ledger import accepted_rows, rejected_rows
 from provenant.operators.ordering import with_ordinal
+from provenant.operators.pii import redacted
 from provenant.operators.validate import validate_events
 from provenant.schemas import ACCEPTED, REFUSED_BATCHES, REJECTED
 from provenant.session import new_run_dir
@@ -26,6 +32,8 @@ ID_BITS = 40
 
 def committed(spark: SparkSession, root: str) -> int:
     """Highest committed epoch, -1 before the first."""
+    if not _exists(spark, f"{root}/commits"):
+        return -1
     marks = spark.read.schema("epoch bigint").json(f"{root}/commits/*")
     return marks.agg(F.coalesce(F.max("epoch"), F.lit(-1))).first()[0]
 
@@ -35,6 +43,20 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path)
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
+
+
+def joined_at(spark: SparkSession, root: str, query: str) -> int:
+    """The epoch of a query's first micro-batch; noted when the query is first seen."""
+    path = f"{root}/queries/{query}"
+    if not _exists(spark, f"{path}/_SUCCESS"):
+        first = spark.range(1).select(F.lit(committed(spark, root) + 1).cast("bigint").alias("first"))
+        first.coalesce(1).write.mode("overwrite").json(path)
+    return spark.read.schema("first bigint").json(path).first()[0]
+
+
 def _table(spark: SparkSession, root: str, name: str, schema: str) -> DataFrame:
     path = f"{root}/{name}"
     if not _exists(spark, path) or not _exists(spark, f"{root}/commits"):
@@ -75,7 +97,8 @@ def collect_epoch(batches: DataFrame, epoch: int, root: str, registry: Registry)
     staged = new_run_dir(spark, f"epoch-{epoch}")
     admission = admit(spread(batches, "batch_id"))
     judged = validate_events(split_events(admission), registry)
-    judged.write.partitionBy("accepted").parquet(f"{staged}/judged")
+    stored = F.when(F.col("pii_rejected"), redacted(F.col("raw"))).otherwise(F.col("raw"))
+    judged.withColumn("raw", stored).write.partitionBy("accepted").parquet(f"{staged}/judged")
     judged = spark.read.schema(judged.schema).parquet(f"{staged}/judged")
 
     fresh = first_writer_wins(
@@ -101,6 +124,7 @@ def collect_epoch(batches: DataFrame, epoch: int, root: str, registry: Registry)
     _write_epoch(refused, root, "refused", epoch)
     mark = spark.range(1).select(F.lit(epoch).cast("bigint").alias("epoch")).coalesce(1)
     mark.write.mode("overwrite").json(f"{root}/commits/{epoch}")
+    _remove(spark, staged)
 
 
 def start_collect(
@@ -111,9 +135,12 @@ def start_collect(
     Late and early events are judged by the age rules against the receipt time and recorded. A
     watermark would drop them silently, so none is set.
     """
-    writer = batches.writeStream.option("checkpointLocation", checkpoint).foreachBatch(
-        lambda df, epoch: collect_epoch(df, epoch, root, registry)
-    )
+    def collect(df: DataFrame, number: int) -> None:
+        spark = df.sparkSession
+        query = spark.sparkContext.getLocalProperty("sql.streaming.queryId")
+        collect_epoch(df, joined_at(spark, root, query) + number, root, registry)
+
+    writer = batches.writeStream.option("checkpointLocation", checkpoint).foreachBatch(collect)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 

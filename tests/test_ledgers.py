@@ -170,3 +170,27 @@ def test_stream_equals_brute_force_for_any_number_of_micro_batches(spark):
     again = spark.createDataFrame(posts[20:], BATCH_SCHEMA)
     collect.collect_epoch(again, last, results[3], REGISTRY)
     assert _ledgers(spark, results[3]) == before
+
+
+def test_a_new_checkpoint_goes_on_after_the_stored_epochs(spark):
+    root = new_run_dir(spark, "stream-test")
+    for part in ("first", "second"):
+        source = new_run_dir(spark, "stream-source")
+        post = json.dumps([event("page_view", client_event_id=part)])
+        spark.createDataFrame([(1, post, NOW)], BATCH_SCHEMA).coalesce(1).write.parquet(source)
+        collect.start_collect(stream_batches(spark, source), root, REGISTRY, checkpoint=f"{root}/{part}").awaitTermination()
+    stored = {r.client_event_id: r.epoch for r in collect.accepted_table(spark, root).collect()}
+    assert stored == {"first": 0, "second": 1}
+
+
+def test_no_file_of_the_collector_holds_the_personal_data(spark):
+    root = new_run_dir(spark, "stream-test")
+    posts = [(1, json.dumps([event("page_view", note="write to someone.here@mailbox.test")]), NOW)]
+    collect.collect_epoch(spark.createDataFrame(posts, BATCH_SCHEMA), 0, root, REGISTRY)
+    assert collect.rejected_table(spark, root).first().reason_codes == ["PII_IN_VALUE:.note"]
+    jvm = spark._jvm.org.apache.hadoop.fs.Path(root).getParent()
+    files = spark._jvm.org.apache.hadoop.fs.FileSystem.getLocal(spark._jsc.hadoopConfiguration()).listFiles(jvm, True)
+    while files.hasNext():
+        path = files.next().getPath().toUri().getPath()
+        with open(path, "rb") as f:
+            assert b"someone.here@mailbox" not in f.read(), path

@@ -1,3 +1,5 @@
+import json
+
 from events import DAY_MS, NOW_MS, TYPES, event, judge
 
 LEGACY = ("session_start", "page_state", "session_summary")
@@ -138,3 +140,20 @@ def test_strict_profile_adds_codes_only(spark):
     ]
     assert rows[1].reason_codes == ["STRICT_MISSING_PAGE_VIEW_ID"]
     assert rows[2].reason_codes == []
+
+
+def test_what_cannot_be_screened_is_never_accepted(spark):
+    clean = json.dumps(event("page_view"))
+    odd = json.dumps(event("page_view", note="reach me: q@r.st"))
+    deep = clean[:-1] + ', "x": ' + "[" * 5000 + '"q@r.st"' + "]" * 5000 + "}"
+    digits = clean[:-1] + ', "note": "q@r.st", "x": ' + "7" * 6000 + "}"
+    texts = [odd + " trailing", odd + odd, odd.replace('"', "'"), deep, digits, "q@r.st"]
+    for row in judge(spark, texts):
+        assert not row.accepted and (row.pii_rejected or row.reason_codes == ["INVALID_EVENT_OBJECT"])
+    assert [r.pii_code for r in judge(spark, [digits, odd + odd])] == ["PII_SCREEN_IMPOSSIBLE"] * 2
+
+
+def test_half_a_surrogate_pair_in_a_key_is_no_reason_to_fail(spark):
+    text = json.dumps(event("page_view"))[:-1] + ', "\\ud800": "q@r.st"}'
+    (row,) = judge(spark, [text])
+    assert row.pii_rejected and row.pii_code.startswith("PII_IN_VALUE:.")
