@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from provenant.operators.dedup import upsert_latest
+from provenant.operators.siteconfig import number_of
 
 # Default thresholds of the configuration (percent, days, counts).
 RAISE_PCT, DISABLE_PCT, BREAKER_PCT, FIRE_DAYS = 5, 8, 10, 7
@@ -83,8 +84,11 @@ def cooldown_breaches(log: DataFrame) -> DataFrame:
     )
 
 
-def eligibility(metrics: DataFrame) -> DataFrame:
-    """Sites ready for analysis: enough session-days and valid events in the last 30 days."""
+def eligibility(metrics: DataFrame, config: DataFrame) -> DataFrame:
+    """Sites ready for analysis: enough session-days and valid events in the last 30 days.
+
+    ``config`` is the effective configuration, whose number of sessions each site must reach.
+    """
     month = _past(ELIGIBLE_DAYS, "metric_date")
     sums = metrics.select(
         "site_id", "metric_date",
@@ -93,9 +97,10 @@ def eligibility(metrics: DataFrame) -> DataFrame:
         F.sum("events_received").over(month).alias("received"),
     )
     rate = _share(F.col("valid"), F.col("received"))
-    return sums.select(
+    needed = config.select("site_id", number_of("config_272", "min_eligible_sessions").alias("needed"))
+    return sums.join(needed, "site_id", "left").select(
         "site_id", "metric_date", "sessions", rate.alias("valid_event_rate"),
-        ((F.col("sessions") >= ELIGIBLE_SESSIONS) & (rate >= ELIGIBLE_RATE)).cast("int").alias("eligible"),
+        ((F.col("sessions") >= F.coalesce("needed", F.lit(ELIGIBLE_SESSIONS))) & (rate >= ELIGIBLE_RATE)).cast("int").alias("eligible"),
     )
 
 

@@ -348,13 +348,16 @@ def catalogue_sql() -> dict[str, str]:
         select site_id, cast(d as varchar) as metric_date, u as unknown_bucket_count from rej where u > 0"""
     sql["metrics_dense_range"] = _dense(_days(f"'{RANGE[0]}'", f"'{RANGE[1]}'"))
     sql["metrics_upsert"] = f"""{_KEPT}, {_DAILY}
-        select site_id, metric_date, metrics_version, events_received, computed_ms from (
+        select site_id, metric_date, metrics_version, events_received, events_accepted, events_rejected, distinct_sessions,
+          distinct_subjects, summary_start_mismatch, unknown_bucket_count, computed_ms from (
           select *, row_number() over (partition by site_id, metric_date, metrics_version order by computed_ms desc) as rn
           from (
             select site_id, cast(d as varchar) as metric_date, '1.0.0' as metrics_version,
-              cast(0 as bigint) as events_received, 1 as computed_ms from measured
+              cast(0 as bigint) as events_received, cast(0 as bigint) as events_accepted, cast(0 as bigint) as events_rejected,
+              cast(0 as bigint) as distinct_sessions, cast(0 as bigint) as distinct_subjects,
+              cast(0 as bigint) as summary_start_mismatch, cast(0 as bigint) as unknown_bucket_count, 1 as computed_ms from measured
             union all
-            select site_id, cast(d as varchar), '1.0.0', received, 2 from measured where d >= date '2024-01-15'))
+            select site_id, cast(d as varchar), '1.0.0', received, a, r, s, b, m, cast(u as bigint), 2 from measured where d >= date '2024-01-15'))
         where rn = 1"""
     window = (
         f"received_ms >= epoch_ms(timestamp '{REPLAY_WINDOW[0]} 00:00:00') "
@@ -384,7 +387,8 @@ def catalogue_sql() -> dict[str, str]:
         select *, cast(runtime_days >= required_runtime_days and eligible_sessions >= required_eligible_sessions as integer)
           as bootstrap_met from gate"""
     sql["config_upsert"] = f"""with {_CONFIG}
-        select site_id, coalesce(seed, s.config_750) as config_750, case when seed is null then 1 else 2 end as updated
+        select site_id, coalesce(seed, s.config_272) as config_272, coalesce(seed, s.config_750) as config_750,
+          case when seed is null then 1 else 2 end as updated
         from stored s full join (select site_id, '{{}}' as seed from asked) using (site_id)"""
     sql["capture_validation"] = f"{_CAPTURES} select capture_id, error from read"
     sql["capture_enrich"] = f"""{_CAPTURES}
@@ -477,13 +481,14 @@ def catalogue_sql() -> dict[str, str]:
           count(*) filter (where decided_ms - prior < 259200000) as breaches from (
             select *, lag(decided_ms) over (partition by site_id, browser_id order by decided_ms, decision_id) as prior
             from log where decision = 'fire') group by 1, 2"""
-    sql["eligibility_gate"] = f"""{_KEPT}, {_DAILY},
+    sql["eligibility_gate"] = f"""{_KEPT}, {_DAILY}, {_CONFIG},
         sums as (
           select a.site_id, a.d, cast(sum(b.s) as bigint) as sessions, sum(b.a) as valid, sum(b.received) as received
           from measured a join measured b on a.site_id = b.site_id and b.d <= a.d and b.d > a.d - 30 group by 1, 2),
         rates as (select *, cast(valid as double) / cast(received as double) as valid_event_rate from sums)
         select site_id, cast(d as varchar) as metric_date, sessions, valid_event_rate,
-          cast(sessions >= 200 and valid_event_rate >= 0.7 as integer) as eligible from rates"""
+          cast(sessions >= coalesce(try_cast(json_extract(config_272, '$.min_eligible_sessions') as bigint), 200)
+            and valid_event_rate >= 0.7 as integer) as eligible from rates left join stored using (site_id)"""
     sql["replay_reconcile"] = f"""{_KEPT},
         days as (
           select site_id, received_date as d, count(*) filter (where ok) as n,

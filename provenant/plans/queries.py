@@ -196,12 +196,18 @@ def metrics_dense_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _metric_row(metrics.dense_range(measured, REGISTRY.sites, *RANGE))
 
 
+_UPSERTED = (
+    "events_received", "events_accepted", "events_rejected", "distinct_sessions", "distinct_subjects",
+    "summary_start_mismatch", "unknown_bucket_count",
+)
+
+
 def metrics_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stored table with stale counts, and the second half of the month computed again."""
     measured = metrics.daily_metrics(_outcomes(spark, sf_dir), REGISTRY.sites).select(
-        "site_id", "metric_date", F.lit(contract.METRICS_VERSION).alias("metrics_version"), "events_received"
+        "site_id", "metric_date", F.lit(contract.METRICS_VERSION).alias("metrics_version"), *_UPSERTED
     )
-    stale = measured.withColumns({"events_received": F.lit(0).cast("bigint"), "computed_ms": F.lit(1)})
+    stale = measured.withColumns({**{n: F.lit(0).cast("bigint") for n in _UPSERTED}, "computed_ms": F.lit(1)})
     again = measured.filter("metric_date >= '2024-01-15'").withColumn("computed_ms", F.lit(2))
     merged = upsert_latest(stale, again, metrics.KEY, ["computed_ms"])
     return merged.withColumn("metric_date", _day("metric_date"))
@@ -249,8 +255,9 @@ def config_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def config_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Seeding over stored rows: the seed replaces both configurations of the sites it names."""
-    stored = derived.stored_configs(spark, sf_dir).select("site_id", "config_750").withColumn("updated", F.lit(1))
-    seed = derived.asked_sites(spark, sf_dir).select("site_id", F.lit("{}").alias("config_750"), F.lit(2).alias("updated"))
+    names = ("config_272", "config_750")
+    stored = derived.stored_configs(spark, sf_dir).select("site_id", *names).withColumn("updated", F.lit(1))
+    seed = derived.asked_sites(spark, sf_dir).select("site_id", *[F.lit("{}").alias(n) for n in names], F.lit(2).alias("updated"))
     return upsert_latest(stored, seed, ["site_id"], ["updated"])
 
 
@@ -390,7 +397,9 @@ def fire_cooldown(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def eligibility_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     measured = metrics.daily_metrics(_outcomes(spark, sf_dir), REGISTRY.sites)
-    return monitors.eligibility(measured).withColumn("metric_date", _day("metric_date"))
+    sites = spark.createDataFrame([(site,) for site in REGISTRY.sites], "site_id string")
+    config = siteconfig.effective_config(sites, derived.stored_configs(spark, sf_dir))
+    return monitors.eligibility(measured, config).withColumn("metric_date", _day("metric_date"))
 
 
 def replay_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,10 +4,12 @@ import pytest
 
 import __spark_entry__ as entry_points
 from comparison import oracle_rows, spark_rows
+from provenant.plans.oracles import catalogue_sql
+from provenant.plans.queries import catalogue
 
 SF_DIR = "/root/testdata/sf0.001"
-QUERIES = entry_points.queries()
-ORACLES = entry_points.oracle_sql()
+QUERIES = catalogue()
+ORACLES = catalogue_sql()
 
 
 def test_every_query_has_a_counterpart():
@@ -19,5 +21,9 @@ def test_matches_sql(spark, name):
     assert spark_rows(QUERIES[name](spark, SF_DIR)) == oracle_rows(ORACLES[name], SF_DIR)
 
 
+def test_entry_points_offer_every_query():
+    assert set(QUERIES) <= set(entry_points.queries()) and set(ORACLES) <= set(entry_points.oracle_sql())
+
+
 def test_flagship(spark):
     assert entry_points.entry(spark).columns[:2] == ["site_id", "metric_date"]
