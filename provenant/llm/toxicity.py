@@ -217,6 +217,9 @@ def fit(labelled: DataFrame):
     share = min(1.0, CALIBRATION_ROWS / max(1, rest.count()))
     chosen = rest.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
     rows = chosen.select(features("text").alias("f"), F.col("toxic").cast("int").alias("y")).toPandas()
+    # The driver need not hold two models at a time.
+    sent.destroy()
+    del model
     if rows["y"].nunique() < 2:
         return spark.sparkContext.broadcast(None)
     # The final model has the counts of the calibration rows too.
