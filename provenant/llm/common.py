@@ -15,6 +15,8 @@ def prepared(spark: SparkSession) -> SparkSession:
     """Session settings of the jobs, and Arrow batches small enough for very long texts."""
     configure(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
+    # Tables of fixed size stand in some plans as literals; the driver keeps the plans' texts.
+    spark.conf.set("spark.sql.maxPlanStringLength", "20000")
     return spark
 
 
