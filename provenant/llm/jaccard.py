@@ -43,8 +43,9 @@ from provenant.llm.words import BASE, mix, run_hashes, word_hashes
 SHINGLE, PERCENT = 5, 75
 BUCKETS = 1 << 18
 SLICES = 16
-#: Bits of the map of each set, whose differences bound the difference of two sets from below.
-MAP_BITS = 2048
+#: The map of a set, whose differences bound the difference of two sets from below, has at least so
+#: many bits for each element, a power of two in all. A larger map folds onto a smaller one.
+MAP_BITS = 4
 #: Largest set for which subsets are considered at all; their number grows fast.
 MOST_SMALL = 12
 #: Rows that a list entry costs beside itself: it is counted, then joined with its list.
@@ -60,6 +61,21 @@ def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
     return np.unique(run_hashes(words, list(range(n))) + np.uint64(n))
 
 
+def bit_map(found: np.ndarray) -> bytes:
+    bits = 1 << max(8, (MAP_BITS * len(found) - 1).bit_length())
+    taken = np.zeros(bits, np.uint8)
+    taken[((found >> np.uint64(20)) % np.uint64(bits)).astype(np.int64)] = 1
+    return np.packbits(taken).tobytes()
+
+
+def differing(x: bytes, y: bytes) -> int:
+    """Bits in which two maps differ, the larger one folded onto the smaller."""
+    a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    n = min(len(a), len(b))
+    a, b = (np.bitwise_or.reduce(m.reshape(-1, n)) for m in (a, b))
+    return int(np.bitwise_count(a ^ b).sum())
+
+
 def needed(a: int, b: int) -> int:
     """Common elements with which sets of a and b elements link."""
     return -(-PERCENT * (a + b) // (100 + PERCENT))
@@ -119,9 +135,7 @@ def _summaries(docs: DataFrame) -> DataFrame:
                 first.append(mixed.sum(dtype=np.uint64))
                 second.append(mix(mixed).sum(dtype=np.uint64))
                 seen.append((found & np.uint64(BUCKETS - 1)).astype(np.int64))
-                taken = np.zeros(MAP_BITS, np.uint8)
-                taken[(found >> np.uint64(40)) % np.uint64(MAP_BITS)] = 1
-                maps.append(np.packbits(taken).tobytes())
+                maps.append(bit_map(found))
             if seen:
                 counts += np.bincount(np.concatenate(seen), minlength=BUCKETS)
             n = len(sizes)
@@ -186,8 +200,8 @@ def _close(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     def task(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
             n, m = frame.column(2).to_numpy(), frame.column(3).to_numpy()
-            left, right = (np.frombuffer(b"".join(frame.column(c).to_pylist()), np.uint64).reshape(-1, MAP_BITS // 64) for c in (4, 5))
-            apart = np.bitwise_count(left ^ right).sum(1, dtype=np.int64)
+            apart = np.array([differing(x, y) for x, y in zip(frame.column(4).to_pylist(), frame.column(5).to_pylist(), strict=True)],
+                             np.int64)
             most = n + m - 2 * -(-PERCENT * (n + m) // (100 + PERCENT))
             yield pa.RecordBatch.from_arrays([frame.column(0), frame.column(1)], ["a", "b"]).filter(pa.array(apart <= most))
 

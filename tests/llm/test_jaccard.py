@@ -1,6 +1,8 @@
 import random
 import re
 
+import numpy as np
+
 from provenant.llm import jaccard
 from provenant.llm.components import components
 
@@ -80,6 +82,15 @@ def test_small_sets_share_a_listed_subset_whenever_they_link():
     assert jaccard.boundary({1: 10, 2: 10, 100: 5}) >= 2
 
 
+def test_maps_never_differ_more_than_their_sets():
+    rng = np.random.default_rng(6)
+    for _ in range(300):
+        pool = rng.integers(0, 2**63, 700, dtype=np.uint64)
+        x, y = (np.unique(rng.choice(pool, rng.integers(1, 600))) for _ in range(2))
+        apart = len(np.setxor1d(x, y))
+        assert jaccard.differing(jaccard.bit_map(x), jaccard.bit_map(y)) <= apart
+
+
 def test_null_and_repeated_ids(spark):
     rows = [(None, "a b c d e f g"), (5, "a b c d e f g"), (5, "q r s t u v w"), (9, "q r s t u v w"), (3, "a b c d e f g")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
