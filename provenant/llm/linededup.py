@@ -4,7 +4,8 @@ A line is a set of words. Two lines are alike when ``PERCENT`` of a hundred or m
 common. The join is exact. Words are ordered by rarity, so two alike lines share one of the first
 n - ceil(0.8 n) + 1 words of either (prefix filter). If the first word that they share stands at places i and
 j, then i + j words are not shared (positional filter), and sizes must be within the ratio (length
-filter). A 64-bit map of the words bounds the difference from below. What passes is verified on the whole sets.
+filter). A 64-bit map with the parities of the words' hashes bounds the
+difference from below. What passes is verified on the whole sets.
 
 The rarity order comes from line counts in ``BUCKETS`` hash buckets, a table of fixed size on the
 driver: any order gives right results, a rare-first one gives few candidates. Lines of one set are
@@ -34,6 +35,8 @@ BUCKETS = 1 << 14
 BITS = 1 << 21
 #: A set of words is common when one in so many lines has it.
 OFTEN = 1000
+#: Words of 64 bits in the map that suspects get.
+WIDE = 8
 SPACE = " \t\n\x0b\f\r"
 WORD_SPLIT = f"[{SPACE}]+"
 
@@ -91,7 +94,8 @@ def _entries(lines: DataFrame, rarity: Column) -> DataFrame:
     rank = F.transform("words", lambda w: F.call_function(
         "shiftleft", F.element_at(rarity, (F.pmod(w, F.lit(BUCKETS)) + 1).cast("int")).cast("long"), F.lit(56)).bitwiseOR(
         F.shiftrightunsigned(w, 8)))
-    bits = F.aggregate("words", F.lit(0).cast("long"), lambda seen, w: seen.bitwiseOR(F.call_function(
+    # Parities do not fill up: the map of a difference is the difference of the maps, however long the lines are.
+    bits = F.aggregate("words", F.lit(0).cast("long"), lambda seen, w: seen.bitwiseXOR(F.call_function(
         "shiftleft", F.lit(1).cast("long"), w.bitwiseAND(F.lit(63)).cast("int"))))
     n = F.size("words")
     length = (n - F.ceil(n * PERCENT / 100) + 1).cast("int")
@@ -102,11 +106,24 @@ def _entries(lines: DataFrame, rarity: Column) -> DataFrame:
                        "sig", "n", "place", "bits", F.coalesce("id", F.lit(2**63 - 1)).alias("id"))
 
 
+def _most(sizes: Column) -> Column:
+    """Words that two alike sets of these sizes together may not share, both sides together."""
+    return sizes - 2 * F.ceil(sizes * PERCENT / (100 + PERCENT))
+
+
+def _wide_map() -> Column:
+    """The parities of the words' hashes in WIDE words of 64 bits."""
+    def part(k: int) -> Column:
+        mine = F.filter("words", lambda w: F.shiftrightunsigned(w, 6).bitwiseAND(F.lit(WIDE - 1)) == k)
+        return F.aggregate(mine, F.lit(0).cast("long"), lambda seen, w: seen.bitwiseXOR(F.call_function(
+            "shiftleft", F.lit(1).cast("long"), w.bitwiseAND(F.lit(63)).cast("int"))))
+
+    return F.array(*[part(k) for k in range(WIDE)])
+
+
 def _possible(a: str, b: str) -> Column:
     """Whether two entries of one word may belong to alike lines."""
-    sizes = F.col(f"{a}.n") + F.col(f"{b}.n")
-    # Words that two alike sets of these sizes may not share, both sides together.
-    most = sizes - 2 * F.ceil(sizes * PERCENT / (100 + PERCENT))
+    most = _most(F.col(f"{a}.n") + F.col(f"{b}.n"))
     return ((F.col(f"{a}.sig") != F.col(f"{b}.sig"))
             & (F.least(f"{a}.n", f"{b}.n") * 100 >= F.greatest(f"{a}.n", f"{b}.n") * PERCENT)
             & (F.col(f"{a}.place") + F.col(f"{b}.place") <= most)
@@ -119,7 +136,14 @@ def _verified(candidates: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataF
     members = staged(candidates.select(F.col("x").alias("sig")).union(candidates.select("y")).distinct().join(nodes, "sig"), "line-members")
     bits = _bits(members.select(F.col("first.version").alias("v")))
     sets = _lines(docs.where(_bit(F.col("version"), bits))).withColumn("sig", _signature(F.col("words"))).select("sig", "words")
-    sets = staged(sets.join(members.select("sig"), "sig", "left_semi").dropDuplicates(["sig"]), "line-words")
+    sets = sets.join(members.select("sig"), "sig", "left_semi").dropDuplicates(["sig"])
+    sets = staged(sets.select("sig", "words", F.size("words").alias("n"), _wide_map().alias("wide")), "line-words")
+    # A wider map, which only suspects get, spares most pairs the way of their whole sets.
+    maps = sets.select("sig", "n", "wide")
+    met = candidates.join(maps.select(F.col("sig").alias("x"), F.col("n").alias("n_x"), F.col("wide").alias("wide_x")), "x").join(
+        maps.select(F.col("sig").alias("y"), F.col("n").alias("n_y"), F.col("wide").alias("wide_y")), "y")
+    apart = sum((F.bit_count(F.col("wide_x")[k].bitwiseXOR(F.col("wide_y")[k])) for k in range(WIDE)), F.lit(0))
+    candidates = staged(met.where(apart <= _most(F.col("n_x") + F.col("n_y"))).select("x", "y"), "line-candidates")
     both = candidates.join(sets.select(F.col("sig").alias("x"), F.col("words").alias("left")), "x").join(
         sets.select(F.col("sig").alias("y"), F.col("words").alias("right")), "y")
     common = F.size(F.array_intersect("left", "right"))
@@ -150,7 +174,9 @@ def later_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
         first = F.element_at(known, _signature(F.col("words")).cast("string"))
         here = F.concat_ws("/", F.coalesce(F.col("id").cast("string"), F.lit("")), F.col("version").cast("string"), F.col("line").cast("string"))
         lines = lines.where(first.isNull() | (first == here))
-    entries = _entries(lines.withColumn("sig", _signature(F.col("words"))), rarity).repartition("word").groupBy(
+    # The filter lets Spark see that both sides of a join deal out the same rows, and do that once.
+    entries = _entries(lines.withColumn("sig", _signature(F.col("words"))), rarity)
+    entries = entries.where("word is not null and sig is not null").repartition("word").groupBy(
         "word", "sig", "n", "place", "bits").agg(F.min("id").alias("id"))
 
     # Families of alike lines shrink to one: every line of a word is compared with the earliest.
