@@ -10,10 +10,11 @@ The score compares length-normalised log-likelihoods of the two classes over the
 spans of ``SPANS`` words where toxic leads most, and a logistic function fitted on training texts which had
 not given counts yet turns these into 0 to 1.
 
-Counts are gathered by Spark over all training rows. What is sent to the tasks is bounded: of the
-character sequences only the ``MOST_ENTRIES`` with the highest counts keep a class count of their own; the
-rest of the mass goes to the shared backoff of Kneser-Ney, as for sequences never seen. The logistic
-function is fitted on about ``CALIBRATION_ROWS`` rows at most, chosen by a hash of their ids.
+Counts are gathered by Spark over all training rows and stay one of its tables, with every sequence: contexts,
+continuation counts and the leads of the sequences that occur in the texts are joined in Spark. Texts are scored in
+chunks, each with the leads of its own sequences only, so what a task holds does not grow with the table and the
+driver holds no counts. The logistic function is fitted on about ``CALIBRATION_ROWS`` rows at most, chosen by a
+hash of their ids.
 
 Defined results: null, empty and wordless texts get the score of a text without evidence. Repeated rows
 each get a row. Rows of the labels that are null or name no document teach nothing; a document labelled
@@ -23,22 +24,28 @@ twice counts twice. With labels of one class only, or none, every score is 0. Ot
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from provenant.llm.common import fold_of, staged
 
 ORDER = 5
 SPANS = (1, 3, 12)
-MOST_ENTRIES = 300_000
+#: Characters of text after which a chunk is closed.
+CHUNK_CHARS = 16_000_000
 CALIBRATION_ROWS = 20_000
 REMEMBERED = 200_000
+FLOOR = 1.0 / 2**16
 DISCOUNT = 0.75
 EDGE = "\x02"
 WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+")
@@ -80,8 +87,20 @@ def count_sequences(texts: DataFrame) -> DataFrame:
     return rows.groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
 
 
+def _features(leads: np.ndarray) -> list[float]:
+    n = len(leads)
+    if not n:
+        return [0.0] * (1 + len(SPANS))
+    sums = np.concatenate([[0.0], np.cumsum(leads)])
+    best = [float((sums[k:] - sums[:-k]).max() / k) for k in (min(s, n) for s in SPANS)]
+    return [float(sums[-1] / n), *best]
+
+
 class Model:
-    """Two Kneser-Ney models over one table of counts, with a memory of words already scored."""
+    """Two Kneser-Ney models over one table of counts, with a memory of words already scored.
+
+    The plain form of the model, for tables that one process can hold; the jobs use ``leads_of``.
+    """
 
     def __init__(self, grams: list[str], toxic: np.ndarray, ordinary: np.ndarray):
         own = {g: (int(t), int(o)) for g, t, o in zip(grams, toxic, ordinary, strict=True)}
@@ -108,7 +127,7 @@ class Model:
             seen[0] += n
             seen[1] += 1
         self.own_leads: dict[str, float] = {}
-        self.floor = 1.0 / 2**16
+        self.floor = FLOOR
         self.young: dict[str, float] = {}
         self.old: dict[str, float] = {}
 
@@ -159,13 +178,7 @@ class Model:
 
     def features(self, text: str | None) -> list[float]:
         """Length-normalised leads: of the whole text, then of the best span of each length."""
-        leads = self.leads(text)
-        n = len(leads)
-        if not n:
-            return [0.0] * (1 + len(SPANS))
-        sums = np.concatenate([[0.0], np.cumsum(leads)])
-        best = [float((sums[k:] - sums[:-k]).max() / k) for k in (min(s, n) for s in SPANS)]
-        return [float(sums[-1] / n), *best]
+        return _features(self.leads(text))
 
 
 def _logistic(features: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -183,63 +196,157 @@ def _logistic(features: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.n
     return centre, scale, weights
 
 
-def _most_frequent(counts: DataFrame) -> DataFrame:
-    """The sequences above the lowest count at which no more than MOST_ENTRIES remain."""
-    step = F.floor(4 * F.log2(F.col("toxic") + F.col("ordinary")))
-    sizes = sorted(counts.groupBy(step.alias("step")).count().collect(), key=lambda r: -r["step"])
-    left, lowest = MOST_ENTRIES, sizes[0]["step"] + 1 if sizes else 0
-    for row in sizes:
-        left -= row["count"]
-        if left < 0:
-            break
-        lowest = row["step"]
-    return counts.where(step >= lowest)
+def _shared_of(counts: DataFrame, grams: DataFrame) -> DataFrame:
+    """Rows (tail, p): ``Model._shared`` of every sequence without its first character."""
+    def tails(text: str) -> Column:
+        return F.expr(f"explode(transform(sequence(1, length({text})), i -> substring({text}, i))) as tail")
+
+    # A sequence and each of its tails count once as a way in which what follows their first character went on.
+    kinds = counts.select(tails("gram")).where("length(tail) > 1").distinct()
+    asked = grams.select(F.expr("substring(gram, 2)").alias("tail")).distinct().select(tails("tail")).distinct()
+    lower = kinds.select(F.expr("substring(tail, 2)").alias("tail"), F.lit(1).alias("n"), F.lit(0).alias("asked")).unionByName(
+        asked.select("tail", F.lit(0).alias("n"), F.lit(1).alias("asked"))).groupBy("tail").agg(
+        F.sum("n").alias("n"), F.max("asked").alias("asked"))
+    context = Window.partitionBy(F.expr("substring(tail, 1, length(tail) - 1)"))
+    terms = lower.withColumns({"total": F.sum("n").over(context), "kinds": F.sum(F.expr("int(n > 0)")).over(context)})
+    terms = staged(terms.where("asked = 1").select(
+        "tail", F.expr(f"if(total > 0, greatest(n - {DISCOUNT}d, 0d) / total, 0d)").alias("own"),
+        F.expr(f"if(total > 0, {DISCOUNT}d * kinds / total, 1d)").alias("passed")), "toxicity-shared")
+    level = terms.where("length(tail) = 1").select("tail", (F.col("own") + F.col("passed") * F.lit(FLOOR)).alias("p"))
+    levels = [level]
+    for length in range(2, ORDER):
+        shorter = level.select(F.col("tail").alias("rest"), F.col("p").alias("below"))
+        level = terms.where(F.length("tail") == length).join(shorter, F.expr("substring(tail, 2)") == F.col("rest")).select(
+            "tail", (F.col("own") + F.col("passed") * F.col("below")).alias("p"))
+        levels.append(level)
+    return reduce(DataFrame.unionByName, levels)
+
+
+def leads_of(counts: DataFrame, grams: DataFrame) -> DataFrame:
+    """Rows (gram, lead): ``Model._lead`` over all counts, of every sequence of the column ``gram``, which has no repeats.
+
+    Every key joined or gathered by has at most as many rows as there are characters.
+    """
+    rows = counts.select("gram", "toxic", "ordinary", F.lit(0).alias("asked")).unionByName(
+        grams.selectExpr("gram", "0l as toxic", "0l as ordinary", "1 as asked")).groupBy("gram").agg(
+        *(F.sum(c).alias(c) for c in ("toxic", "ordinary")), F.max("asked").alias("asked"))
+    context = Window.partitionBy(F.expr("substring(gram, 1, length(gram) - 1)"))
+    rows = rows.withColumns({f"{c}_{k}": F.sum(F.expr(e)).over(context) for c in ("toxic", "ordinary")
+                             for k, e in (("total", c), ("kinds", f"int({c} > 0)"))}).where("asked = 1")
+    rows = rows.join(_shared_of(counts, grams), F.expr("substring(gram, 2)") == F.col("tail"))
+    toxic, ordinary = (F.expr(
+        f"ln(greatest(if({c}_total > 0, (greatest({c} - {DISCOUNT}d, 0d) + {DISCOUNT}d * {c}_kinds * p) / {c}_total, p), 1e-12d))")
+        for c in ("toxic", "ordinary"))
+    return rows.select("gram", F.when(F.expr("toxic_total + ordinary_total > 0"), toxic - ordinary).otherwise(0.0).alias("lead"))
 
 
-def _model(counts: DataFrame) -> Model:
-    kept = _most_frequent(counts).toPandas()
-    return Model(kept["gram"].tolist(), kept["toxic"].to_numpy(), kept["ordinary"].to_numpy())
+PACKED = "chunk long, rows binary, words binary, grams array<string>"
 
 
-def fit(labelled: DataFrame):
-    """A scorer, as a broadcast variable, from rows (doc_id, text, toxic, fold); fold 3 of 0 to 3 calibrates."""
-    spark = labelled.sparkSession
-    labelled = staged(labelled, "toxicity-rows")
-    counts = staged(count_sequences(labelled.where("fold < 3")), "toxicity-counts")
-    model = _model(counts)
-    sent = spark.sparkContext.broadcast(model)
+def _pack(docs: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
+    """Chunks of documents: batches of rows with their texts as numbers of words, then the chunk's words and sequences."""
+    def task(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("chunk", pa.int64()), ("rows", pa.binary()), ("words", pa.binary()), ("grams", pa.list_(pa.string()))])
+        chunk, size, numbers = TaskContext.get().partitionId() << 32, 0, {}
 
-    @F.pandas_udf("array<double>")
-    def features(texts: pd.Series) -> pd.Series:
-        return pd.Series([sent.value.features(t) for t in texts])
+        def closed() -> pa.RecordBatch:
+            grams = {g for word in numbers for g in _grams(word)}
+            words = zlib.compress("\n".join(numbers).encode(), 1)
+            return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((chunk, None, words, list(grams)), schema)], schema=schema)
 
+        for frame in frames:
+            texts = frame.column(0).to_pylist()
+            rows = pa.RecordBatch.from_arrays([*frame.columns[1:], pa.array(
+                [[numbers.setdefault(w, len(numbers)) for w in _words(t)] for t in texts], pa.list_(pa.int32()))],
+                [*keep, "_numbers"])
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_batch(rows)
+            yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(
+                (chunk, sink.getvalue().to_pybytes(), None, None), schema)], schema=schema)
+            size += sum(len(t) for t in texts if t)
+            if size >= CHUNK_CHARS:
+                yield closed()
+                chunk, size, numbers = chunk + 1, 0, {}
+        if size or numbers:
+            yield closed()
+
+    # The text stands first; it may be among the kept columns too.
+    return docs.select(F.col(text_col).alias("_text"), *keep).mapInArrow(task, PACKED)
+
+
+def featured(docs: DataFrame, counts: DataFrame, text_col: str, keep: list[str], out_col: str, out_type: T.DataType, finish) -> DataFrame:
+    """The kept columns of every document and ``finish`` of its features by the model of all counts."""
+    packed = staged(_pack(docs, text_col, keep), "toxicity-chunks")
+    uses = packed.where("grams is not null").select("chunk", F.explode("grams").alias("gram"))
+    leads = leads_of(counts, staged(uses.select("gram").distinct(), "toxicity-sequences"))
+    leads = uses.join(leads, "gram").select(F.col("chunk").alias("of"), "gram", "lead")
+    schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField(out_col, out_type)])
+
+    def scored(chunk: pa.Table, known: pa.Table) -> pa.Table:
+        lead = dict(zip(known.column("gram").to_pylist(), known.column("lead").to_pylist(), strict=True))
+        del known
+        words = "".join(zlib.decompress(w).decode() for w in chunk.column("words").to_pylist() if w).split()
+        of = np.array([sum([lead[g] for g in _grams(w)]) for w in words], np.float64)
+        parts = []
+        for packed_rows in chunk.column("rows").drop_null():
+            rows = pa.ipc.open_stream(packed_rows.as_buffer()).read_all().combine_chunks()
+            numbers = rows.column("_numbers").combine_chunks()
+            ends, flat = numbers.offsets.to_numpy(), numbers.values.to_numpy(zero_copy_only=False)
+            out = finish([_features(of[flat[a:b]]) for a, b in zip(ends[:-1], ends[1:], strict=True)])
+            parts.append(rows.drop_columns(["_numbers"]).append_column(out_col, out))
+        return pa.concat_tables(parts)
+
+    return packed.select("chunk", "rows", "words").groupBy("chunk").cogroup(leads.groupBy("of")).applyInArrow(scored, schema)
+
+
+@dataclass
+class Scorer:
+    """All counts as a table of Spark, and the logistic function; without counts, every score is 0."""
+
+    counts: DataFrame | None
+    logistic: tuple[np.ndarray, np.ndarray, np.ndarray] | None
+
+    @property
+    def value(self):
+        """The model in one process and the logistic function, for small tables."""
+        if self.counts is None:
+            return None
+        rows = self.counts.toPandas()
+        return (Model(rows["gram"].tolist(), rows["toxic"].to_numpy(), rows["ordinary"].to_numpy()), *self.logistic)
+
+
+def fit(labelled: DataFrame) -> Scorer:
+    """A scorer from rows (doc_id, text, toxic, fold); fold 3 of 0 to 3 calibrates."""
+    labelled = staged(labelled, "toxicity-rows")
+    counts = staged(count_sequences(labelled.where("fold < 3")), "toxicity-counts")
     rest = labelled.where("fold = 3")
     share = min(1.0, CALIBRATION_ROWS / max(1, rest.count()))
     chosen = rest.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    rows = chosen.select(features("text").alias("f"), F.col("toxic").cast("int").alias("y")).toPandas()
-    # The driver need not hold two models at a time.
-    sent.destroy()
-    del model
-    if rows["y"].nunique() < 2:
-        return spark.sparkContext.broadcast(None)
+    rows = featured(chosen, counts, "text", ["toxic"], "f", T.ArrayType(T.DoubleType()),
+                    lambda f: pa.array(f, pa.list_(pa.float64()))).toPandas()
+    if rows["toxic"].nunique() < 2:
+        return Scorer(None, None)
     # The final model has the counts of the calibration rows too.
     more = counts.unionByName(count_sequences(rest)).groupBy("gram").agg(
         F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
-    return spark.sparkContext.broadcast(
-        (_model(staged(more, "toxicity-counts")), *_logistic(np.array(rows["f"].tolist()), rows["y"].to_numpy(np.float64))))
+    return Scorer(staged(more, "toxicity-counts"), _logistic(np.array(rows["f"].tolist()), rows["toxic"].to_numpy(np.float64)))
+
 
+def score(docs: DataFrame, scorer: Scorer, text_col: str = "text", out_col: str = "score", keep: list[str] | None = None) -> DataFrame:
+    """The documents, or their columns ``keep``, with a column ``out_col``, in place of one of that name."""
+    columns = docs.columns if keep is None else keep
+    kept = [c for c in columns if c != out_col]
+    if scorer.counts is None:
+        return docs.select(*kept, F.lit(0.0).alias(out_col)).select(*(columns if out_col in columns else [*kept, out_col]))
+    centre, scale, weights = scorer.logistic
 
-def score(docs: DataFrame, scorer, text_col: str = "text", out_col: str = "score") -> DataFrame:
-    """The documents with a column ``out_col``, in place of one of that name."""
-    @F.pandas_udf("double")
-    def scored(texts: pd.Series) -> pd.Series:
-        if scorer.value is None:
-            return pd.Series(np.zeros(len(texts)))
-        model, centre, scale, weights = scorer.value
-        x = np.array([model.features(t) for t in texts], np.float64).reshape(len(texts), -1)
-        return pd.Series(1 / (1 + np.exp(-np.clip(((x - centre) / scale) @ weights[:-1] + weights[-1], -30, 30))))
+    def finish(features: list[list[float]]) -> pa.Array:
+        x = np.array(features, np.float64).reshape(len(features), -1)
+        return pa.array(1 / (1 + np.exp(-np.clip(((x - centre) / scale) @ weights[:-1] + weights[-1], -30, 30))), pa.float64())
 
-    return docs.withColumn(out_col, scored(F.col(text_col)))
+    scored = featured(docs, scorer.counts, text_col, kept, out_col, T.DoubleType(), finish)
+    return scored.select(*(columns if out_col in columns else [*kept, out_col]))
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, held_out: int = 0) -> DataFrame:

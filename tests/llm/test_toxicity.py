@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 
@@ -59,6 +60,26 @@ def test_the_model_is_a_distribution():
         assert 0.5 < total <= 1 + 1e-9
 
 
+def test_no_sequence_is_cut(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "MOST_ENTRIES", 50, raising=False)
+    monkeypatch.setattr(toxicity, "CHUNK_CHARS", 5_000, raising=False)
+    rows = _texts(200, 6)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(-1, None), (-1, ""), (-2, "été 日本 qqq")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    scorer = toxicity.fit(toxicity.training_rows(docs, labels))
+    counts = {}
+    for i, text, toxic in rows:
+        if zlib.crc32(str(i).encode()) % 5:
+            for gram in (g for w in toxicity._words(text) for g in toxicity._grams(w)):
+                counts.setdefault(gram, [0, 0])[toxic] += 1
+    model = toxicity.Model(list(counts), [c[1] for c in counts.values()], [c[0] for c in counts.values()])
+    assert len(scorer.value[0].own) == len(counts) > 50
+    _, centre, scale, weights = scorer.value
+    for row in toxicity.score(docs, scorer).collect():
+        z = sum((f - c) / s * w for f, c, s, w in zip(model.features(row.text), centre, scale, weights)) + weights[-1]
+        assert row.score == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-9)
+
+
 def test_no_labels_and_no_documents(spark):
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, toxic int")
