@@ -14,7 +14,7 @@ Counts are gathered by Spark over all training rows and stay one of its tables,
 continuation counts and the leads of the sequences that occur in the texts are joined in Spark. Texts are scored in
 chunks, each with the leads of its own sequences only, so what a task holds does not grow with the table and the
 driver holds no counts. The logistic function is fitted on about ``CALIBRATION_ROWS`` rows at most, chosen by a
-hash of their ids.
+hash of id and text in each class and weighted so that the classes keep their shares.
 
 Defined results: null, empty and wordless texts get the score of a text without evidence. Repeated rows
 each get a row. Rows of the labels that are null or name no document teach nothing; a document labelled
@@ -181,15 +181,16 @@ class Model:
         return _features(self.leads(text))
 
 
-def _logistic(features: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Centre, scale and weights (constant last) of a ridge-penalised logistic regression."""
-    centre, scale = features.mean(0), features.std(0) + 1e-9
+def _logistic(features: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Centre, scale and weights (constant last) of a ridge-penalised logistic regression; every row stands for ``weight`` rows."""
+    centre = np.average(features, axis=0, weights=weight)
+    scale = np.sqrt(np.average((features - centre) ** 2, axis=0, weights=weight)) + 1e-9
     x = np.hstack([(features - centre) / scale, np.ones((len(features), 1))])
     weights, ridge = np.zeros(x.shape[1]), np.diag([1e-2] * (x.shape[1] - 1) + [1e-9])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge + 1e-9 * np.eye(len(weights)),
-                               x.T @ (toxic - p) - ridge @ weights)
+        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + ridge + 1e-9 * np.eye(len(weights)),
+                               x.T @ (weight * (toxic - p)) - ridge @ weights)
         weights = weights + np.clip(step, -3, 3)
         if np.abs(step).max() < 1e-6:
             break
@@ -316,21 +317,44 @@ class Scorer:
         return (Model(rows["gram"].tolist(), rows["toxic"].to_numpy(), rows["ordinary"].to_numpy()), *self.logistic)
 
 
+def _calibrating(sizes: dict[tuple[int, int], int]) -> int | None:
+    """The last fold with both classes inside and outside it, by (fold, class) sizes; None if there is none."""
+    def both(inside) -> bool:
+        return {c for f, c in sizes if inside(f)} == {0, 1}
+
+    return next((k for k in (3, 2, 1, 0) if both(lambda f: f == k) and both(lambda f: f != k)), None)  # noqa: B023
+
+
 def fit(labelled: DataFrame) -> Scorer:
-    """A scorer from rows (doc_id, text, toxic, fold); fold 3 of 0 to 3 calibrates."""
+    """A scorer from rows (doc_id, text, toxic, fold), with folds 0 to 3.
+
+    Fold 3 calibrates, or the next lower one with both classes in it and in the others. Labels too rare for that
+    calibrate on the rows which also gave the counts.
+    """
     labelled = staged(labelled, "toxicity-rows")
-    counts = staged(count_sequences(labelled.where("fold < 3")), "toxicity-counts")
-    rest = labelled.where("fold = 3")
-    share = min(1.0, CALIBRATION_ROWS / max(1, rest.count()))
-    chosen = rest.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    sizes = {(r["fold"], r["toxic"]): r["count"] for r in labelled.groupBy("fold", F.col("toxic").cast("int").alias("toxic")).count().collect()}
+    if {c for _, c in sizes} != {0, 1}:
+        return Scorer(None, None)
+    fold = _calibrating(sizes)
+    rest = labelled if fold is None else labelled.where(F.col("fold") == fold)
+    counts = staged(count_sequences(labelled if fold is None else labelled.where(F.col("fold") != fold)), "toxicity-counts")
+    n = [sum(x for (f, c), x in sizes.items() if c == k and fold in (None, f)) for k in (0, 1)]
+    # Half of the rows for each class, and what one class leaves for the other.
+    bound = [max(CALIBRATION_ROWS // 2, CALIBRATION_ROWS - n[1 - k]) for k in (0, 1)]
+    kept = [int(min(1.0, bound[k] / n[k]) * (1 << 20)) for k in (0, 1)]
+    chosen = rest.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < F.when(F.col("toxic") == 1, kept[1]).otherwise(kept[0]))
     rows = featured(chosen, counts, "text", ["toxic"], "f", T.ArrayType(T.DoubleType()),
                     lambda f: pa.array(f, pa.list_(pa.float64()))).toPandas()
-    if rows["toxic"].nunique() < 2:
-        return Scorer(None, None)
+    toxic = rows["toxic"].to_numpy(np.int64)
+    # A row stands for as many of its class as there are for each one chosen.
+    weight = np.array(n, np.float64)[toxic] / np.bincount(toxic, minlength=2)[toxic]
+    logistic = _logistic(np.array(rows["f"].tolist()), toxic.astype(np.float64), weight)
+    if fold is None:
+        return Scorer(counts, logistic)
     # The final model has the counts of the calibration rows too.
     more = counts.unionByName(count_sequences(rest)).groupBy("gram").agg(
         F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
-    return Scorer(staged(more, "toxicity-counts"), _logistic(np.array(rows["f"].tolist()), rows["toxic"].to_numpy(np.float64)))
+    return Scorer(staged(more, "toxicity-counts"), logistic)
 
 
 def score(docs: DataFrame, scorer: Scorer, text_col: str = "text", out_col: str = "score", keep: list[str] | None = None) -> DataFrame:

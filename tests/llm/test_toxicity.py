@@ -80,6 +80,19 @@ def test_no_sequence_is_cut(spark, monkeypatch):
         assert row.score == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-9)
 
 
+@pytest.mark.parametrize("folds", [(1, 2, 3), (2,)])
+def test_toxic_labels_outside_the_usual_fold(spark, folds):
+    rows = _texts(1000, 7)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    fold = {i: zlib.crc32(str(i).encode()) % 5 for i, _, _ in rows}
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows if not y or fold[i] in folds], "doc_id long, toxic int")
+    scorer = toxicity.fit(toxicity.training_rows(docs, labels))
+    score = {r.doc_id: r.score for r in toxicity.score(docs, scorer).collect()}
+    held = [(score[i] >= 0.5, y) for i, _, y in rows if fold[i] == 0]
+    right = sum(p and y for p, y in held)
+    assert right >= 0.8 * sum(y for _, y in held) and right >= 0.8 * sum(p for p, _ in held)
+
+
 def test_no_labels_and_no_documents(spark):
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, toxic int")
