@@ -31,8 +31,12 @@ SAMPLE_PAGES = 400
 BLOCKS = frozenset(
     "html body main article section div header footer nav aside p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody "
     "tfoot tr td th caption blockquote pre form fieldset figure figcaption address details summary hr dialog".split())
-#: Never text, up to their end tag.
-SILENT = "script|style|noscript|template|head|title|svg|iframe|object|select|textarea|button|canvas|audio|video"
+#: Never text, up to their end tag. A head needs no rule of its own: what may stand in it is silent or void, and
+#: anything else ends it, with or without an end tag.
+SILENT = "script|style|noscript|template|title|svg|iframe|object|select|textarea|button|canvas|audio|video"
+#: Of these, the ones that run to the end of the page if they have no end tag; of others only the tag is left out.
+UNENDED = frozenset("script style title iframe textarea".split())
+ENDS = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*+>", re.I) for tag in SILENT.split("|")}
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: A start tag of the key closes open elements of the value.
 CLOSES = {"li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"},
@@ -43,7 +47,7 @@ BOILERPLATE = frozenset(
     "cookie cookies consent notice notices newsletter subscribe signup login form search comment comments reply disqus share social "
     "related recommended breadcrumb breadcrumbs pagination popup modal widget toolbar copyright legal complementary contentinfo".split())
 TAG = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{SILENT})\b[^>]*+>.*?(?:</(?P=raw)\s*>|\Z)"
+    rf"<!--(?:-?>|.*?(?:--!?>|\Z))|<(?P<raw>{SILENT})(?=[\s/>])(?:(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>|[^>]*+>)"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?/][^>]*+>", re.S | re.I)
 ATTRIBUTE = re.compile(r"\b(?:class|id|role|itemprop)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 TOKEN = re.compile(r"[a-z]+")
@@ -93,7 +97,8 @@ def parse(page: str | None) -> list[Node]:
         if in_link:
             linked += len(piece)
 
-    for m in TAG.finditer(page):
+    unended: set[str] = set()
+    while m := TAG.search(page, at):
         if m.start() > at:
             put(page[at : m.start()])
         at = m.end()
@@ -101,6 +106,16 @@ def parse(page: str | None) -> list[Node]:
         if tag is None:
             if m["raw"]:
                 parts.append(" ")
+                raw = m["raw"].lower()
+                # Only foreign elements can be closed by their own tag.
+                if raw in unended or raw == "svg" and m[0].endswith("/>"):
+                    continue
+                if end := ENDS[raw].search(page, at):
+                    at = end.end()
+                elif raw in UNENDED:
+                    at = len(page)
+                else:
+                    unended.add(raw)
             continue
         tag = tag.lower()
         tags += 1

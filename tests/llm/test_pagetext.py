@@ -53,6 +53,33 @@ def test_other_layouts(spark, trees):
     assert pagetext.extract(docs, pagetext.fit(docs.limit(0)), ["page_id"]).count() == len(rows)
 
 
+@pytest.mark.parametrize("page", [
+    "<html><head><title>T</title><body><p>kept</p>",
+    "<html><head><title>T</title><script>'<p>no</p>'</script><article><p>kept</p></article>",
+    "<head><meta charset=x><title>T</title>kept",
+    "<svg viewBox='0 0 1 1'/><p>kept</p>",
+    "<svg><title>T</title><path/></svg><p>kept</p>",
+    "<svg><p>kept</p>",
+    "<video-player></video-player><p>kept</p>",
+    "<button-group><p>kept</p></button-group>",
+    "<select-box><p>kept</p></select-box>",
+    "<!--><p>kept</p><!-- no -->",
+    "<!---><p>kept</p><!-- no -->",
+    "<!-- no --!><p>kept</p><!-- no -->",
+    "<button><p>kept</p>",
+    "<p>kept</p><script>no </scripts> <p>no</p>",
+    "<p>kept</p><script data-x='>no'>no</script >",
+    "<p>kept</p><title>no <p>no</p>",
+])
+def test_silent_elements_end_where_html_ends_them(page):
+    assert [n.text for n in pagetext.parse(page) if n.tag == "text"] == ["kept"]
+
+
+def test_many_silent_elements_without_end_take_linear_time():
+    nodes = pagetext.parse("<button>a <video>b " * 100_000)
+    assert len(nodes[-1].text) == 399_999
+
+
 def test_decoding_never_contradicts_ancestors():
     nodes = pagetext.parse("<div><p>one</p><ul><li>two</li></ul></div><div><p>three</p></div>")
     number = {n: k for k, n in enumerate(nodes)}
