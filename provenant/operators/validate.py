@@ -236,8 +236,10 @@ def validate_events(events: DataFrame, registry: Registry, *, strict: bool = Fal
         "*",
         f"case when _rules = '' and _pii is null and not {_STORABLE} then '{STORAGE_TYPE_ERROR}' "
         "else _rules end as _codes",
-        # What could not be screened is redacted, whatever else is wrong with it.
-        f"case when _object or _pii = '{UNSCREENED}' then _pii end as pii_code",
+        # What could not be screened is redacted, whatever else is wrong with it. So is an object or array beyond
+        # the limits of Spark's parser in which the walk still found something.
+        f"case when _object then _pii when _pii = '{UNSCREENED}' or (_pii is not null and raw rlike '^[ \\\\t\\\\r\\\\n]*[{{\\\\[]') "
+        f"then '{UNSCREENED}' end as pii_code",
     )
     plain = "case when _codes = '' then cast(array() as array<string>) else split(_codes, '[|]') end"
     return coded.selectExpr(

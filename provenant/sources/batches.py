@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamReader
 
 from provenant import contract
+from provenant.functions.jsonsplit import split_beyond
 from provenant.functions.jsontypes import once, tag
 
 REFUSED = "INVALID_BATCH_FORMAT"
@@ -27,13 +28,17 @@ def stream_batches(
 
 
 def admit(batches: DataFrame) -> DataFrame:
-    """Add ``elements`` (variants), ``n_events`` and ``error``; NULL ``error`` means admitted.
+    """Add ``elements`` (variants), ``beyond``, ``n_events`` and ``error``; NULL ``error`` means admitted.
 
-    A body is refused whole unless it is a JSON array of at most fifty elements.
+    A body is refused whole unless it is a JSON array of at most fifty elements. One that Spark cannot parse is
+    shipped to a splitter without the parser's limits: ``beyond`` holds its elements as texts, so that an element
+    nested too deep or with too long a number is judged alone.
     """
     elements = F.try_variant_get(F.try_parse_json("body"), "$", "array<variant>")
-    parsed = once(batches, "elements", elements).withColumn("n_events", F.size("elements"))
-    refused = F.col("elements").isNull() | (F.col("n_events") > contract.MAX_BATCH_EVENTS)
+    suspect = F.when(F.col("elements").isNull() & F.col("body").rlike(r"^[ \t\r\n]*\["), F.col("body"))
+    parsed = once(batches, "elements", elements).withColumn("beyond", split_beyond(suspect)).withColumn(
+        "n_events", F.coalesce(F.size("elements"), F.size("beyond")))
+    refused = F.col("n_events").isNull() | (F.col("n_events") > contract.MAX_BATCH_EVENTS)
     return parsed.withColumn("error", F.when(refused, F.lit(REFUSED)))
 
 
@@ -44,14 +49,15 @@ def split_events(admitted: DataFrame) -> DataFrame:
     personal-data hit. A string element needs its quotes back to remain JSON.
     """
     texts = F.from_json("body", "array<string>")
+    beyond = F.expr("transform(beyond, t -> named_struct('value', cast(null as variant), 'text', t))")
     return (
         admitted.filter("error is null")
-        .select("batch_id", "received_at", F.posexplode(F.arrays_zip(
+        .select("batch_id", "received_at", F.posexplode(F.coalesce(F.arrays_zip(
             F.col("elements").alias("value"), texts.alias("text")
-        )).alias("pos", "element"))
+        ), beyond)).alias("pos", "element"))
         .select(
             "batch_id", "pos", "received_at",
-            F.when(tag(F.col("element.value")).rlike("^(OBJECT|ARRAY)"), F.col("element.text"))
+            F.when(F.col("element.value").isNull() | tag(F.col("element.value")).rlike("^(OBJECT|ARRAY)"), F.col("element.text"))
             .otherwise(F.to_json("element.value")).alias("raw"),
         )
     )

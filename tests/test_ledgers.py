@@ -30,6 +30,34 @@ def test_admission_and_split(spark):
     assert {e.received_at for e in events} == {NOW.replace(tzinfo=None)}
 
 
+def _extreme():
+    clean = json.dumps(event("page_view"))
+    deep = clean[:-1] + ', "x": ' + "[" * 5000 + '"q@r.st"' + "]" * 5000 + "}"
+    digits = clean[:-1] + ', "note": "q@r.st", "x": ' + "7" * 6000 + "}"
+    return clean, deep, digits
+
+
+def test_an_extreme_element_does_not_refuse_its_batch(spark):
+    clean, deep, digits = _extreme()
+    bodies = [f" [{clean}, {deep} ,{clean}]", f'[{digits},"a\\"]",null,-1.5e3,[{{}}]]', f"[{deep},{clean}", f"[{deep},{{a:1}}]",
+              f"[{deep},]", f"[{','.join([digits] * 51)}]", f'{{"x":{deep}}}', f"[{deep},01]"]
+    admitted = admit(_batches(spark, bodies))
+    rows = {r.batch_id: (r.n_events, r.error is None) for r in admitted.collect()}
+    assert rows == {0: (3, True), 1: (5, True), 5: (51, False), **{k: (None, False) for k in (2, 3, 4, 6, 7)}}
+    raws = [r.raw for r in split_events(admitted).orderBy("batch_id", "pos").collect()]
+    assert raws == [clean, deep, clean, digits, '"a\\"]"', "null", "-1.5e3", "[{}]"]
+
+
+def test_the_collector_rejects_an_extreme_element_alone(spark):
+    clean, deep, digits = _extreme()
+    other = json.dumps(event("page_view", client_event_id="other"))
+    root = _run(spark, [(1, f"[{clean},{deep},{other}]", NOW), (2, f"[{digits}]", NOW)], 1)
+    accepted, rejected, refused = _ledgers(spark, root)
+    assert {(b, p) for b, p, _ in accepted} == {(1, 0), (1, 2)} and refused == []
+    assert [(b, p, c[-1]) for b, p, c in rejected] == [(1, 1, "PII_SCREEN_IMPOSSIBLE"), (2, 0, "PII_SCREEN_IMPOSSIBLE")]
+    assert not any("q@r.st" in str(r) for r in collect.rejected_table(spark, root).collect())
+
+
 def _rows(spark, rows):
     return spark.createDataFrame(rows, "k string, at int")
 
