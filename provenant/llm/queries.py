@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provenant.llm import chat, decontamination, jaccard, language, linededup, neighbours, pagetext, sentencepieces, tokenfiles, toxicity
+from provenant.llm import (
+    chat, decontamination, jaccard, language, linededup, merkle, neighbours, pagetext, sentencepieces, tokenfiles, toxicity,
+    wordpieces,
+)
 from provenant.llm.common import fold_of, table, tokenizer_file
 from provenant.session import new_run_dir
 
 PIECE_MODEL = "piece_bpe_32k.model"
 BYTE_MODEL = "byte_bpe_50k.json"
+WORD_MODEL = "word_bpe_49k.json"
 END_OF_DOCUMENT = 2
 
 
@@ -76,8 +80,21 @@ def op10_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pagetext.extract(pages, pagetext.fit(pages.select("html")), ["page_id", "url"])
 
 
+def op12_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wordpieces.digests(table(spark, sf_dir, "documents"), tokenizer_file(WORD_MODEL))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest of all documents, and every leaf checked against it; some leaves have one character more."""
+    docs = table(spark, sf_dir, "documents")
+    tampered = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0, F.lit(False))
+    more = F.col("n_chars").cast("decimal(20,0)") + tampered.cast("int")
+    offered = merkle.leaf_digest([F.col(n) if n != "n_chars" else more for n in merkle.FIELDS])
+    return merkle.verified(merkle.build(docs, new_run_dir(spark, "manifest"), offered))
+
+
 def catalogue() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in (op1_sentencepiece, op2_decontamination, op3_ngram_jaccard, op4_token_files, op5_chat_trees, op6_language, op7_line_dedup, op8_toxicity, op9_neighbours, op10_page_text)}
+    return {q.__name__: q for q in (op1_sentencepiece, op2_decontamination, op3_ngram_jaccard, op4_token_files, op5_chat_trees, op6_language, op7_line_dedup, op8_toxicity, op9_neighbours, op10_page_text, op12_word_bpe, op13_merkle_manifest)}
 
 
 def catalogue_sql() -> dict[str, str]:
