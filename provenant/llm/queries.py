@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from provenant.llm import (
-    chat, decontamination, jaccard, language, linededup, merkle, neighbours, pagetext, sentencepieces, tokenfiles, toxicity,
-    wordpieces,
+    chat, decontamination, jaccard, language, linededup, merkle, neighbours, pagetext, sentencepieces, spelling, tokenfiles,
+    toxicity, wordpieces,
 )
 from provenant.llm.common import fold_of, table, tokenizer_file
 from provenant.session import new_run_dir
@@ -80,6 +80,10 @@ def op10_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pagetext.extract(pages, pagetext.fit(pages.select("html")), ["page_id", "url"])
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.counted(table(spark, sf_dir, "documents")))
+
+
 def op12_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordpieces.digests(table(spark, sf_dir, "documents"), tokenizer_file(WORD_MODEL))
 
@@ -94,7 +98,7 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def catalogue() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in (op1_sentencepiece, op2_decontamination, op3_ngram_jaccard, op4_token_files, op5_chat_trees, op6_language, op7_line_dedup, op8_toxicity, op9_neighbours, op10_page_text, op12_word_bpe, op13_merkle_manifest)}
+    return {q.__name__: q for q in (op1_sentencepiece, op2_decontamination, op3_ngram_jaccard, op4_token_files, op5_chat_trees, op6_language, op7_line_dedup, op8_toxicity, op9_neighbours, op10_page_text, op11_spelling_variants, op12_word_bpe, op13_merkle_manifest)}
 
 
 def catalogue_sql() -> dict[str, str]:
