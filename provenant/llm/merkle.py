@@ -4,7 +4,8 @@ Every row is a leaf. The leaves of a group (a language) form a binary tree in th
 roots of the groups, in the order of the groups, form the tree above. A stored node row names the
 node ``SPAN`` levels up, or fewer where its tree ends below that, and holds the sibling digests on the way, so that a
 climb takes one step for every ``SPAN`` levels. :func:`verified` ascends from every leaf by ``WITH RECURSIVE``: each step
-appends the siblings to the proof and folds them into the digest offered for the leaf.
+appends the siblings to the proof and folds them into the digest offered for the leaf. The leaves of a run have the same
+way up, so they climb in one row, each with its own digest, and share what is appended.
 
 Levels are built by Spark aggregation over runs of ``2 ** SPAN`` consecutive nodes, which bounds every group; positions
 come from range-sorted partitions, so no group, however large, is sorted or held in one task. A node row meets the
@@ -32,18 +33,22 @@ SPAN = 6
 RUN = 1 << SPAN
 #: The number of the tree over the groups; groups are numbered from one.
 TOP = 0
-NODE = ("tree int, stage int, pos long, n_nodes long, digest binary, up_tree int, up_stage int, up_pos long, "
-        "up_digest binary, links array<struct<before:binary,after:binary>>")
-LEAF = "doc_id {kind}, offered binary, " + NODE
+_LINKS = "array<struct<before:binary,after:binary>>"
+_UP = "up_tree int, up_stage int, up_pos long, up_digest binary"
+NODE = f"tree int, stage int, n_nodes long, {_UP}, pos long, digest binary, links {_LINKS}"
+#: Leaves are stored a run a row: what they share, their parent, stands there once.
+LEAVES = (f"tree int, stage int, n_nodes long, {_UP}, "
+          f"members array<struct<pos:long,digest:binary,doc_id:{{kind}},offered:binary,links:{_LINKS}>>")
 _CLIMB = """
-WITH RECURSIVE climb (doc_id, leaf, tree, up_tree, up_stage, up_pos, proof, fold) AS (
-    SELECT doc_id, digest, tree, up_tree, up_stage, up_pos, {siblings_of_leaf}, {fold_of_leaf} FROM {leaves}
+WITH RECURSIVE climb (tree, up_tree, up_stage, up_pos, proof, leaves) AS (
+    SELECT tree, up_tree, up_stage, up_pos, x'', transform(members, m -> named_struct(
+        'doc_id', m.doc_id, 'leaf', m.digest, 'own', {siblings_of_leaf}, 'fold', {fold_of_leaf})) FROM {leaves}
     UNION ALL
-    SELECT c.doc_id, c.leaf, c.tree, n.up_tree, n.up_stage, n.up_pos,
-           concat(c.proof, {siblings_of_node}), {fold_of_node}
+    SELECT c.tree, n.up_tree, n.up_stage, n.up_pos, concat(c.proof, {siblings_of_node}), transform(c.leaves, m -> named_struct(
+        'doc_id', m.doc_id, 'leaf', m.leaf, 'own', m.own, 'fold', {fold_of_node}))
     FROM climb c JOIN {nodes} n ON c.up_tree = n.tree AND c.up_stage = n.stage AND c.up_pos = n.pos
 )
-SELECT doc_id, leaf, tree, proof, fold FROM climb WHERE up_tree IS NULL
+SELECT tree, proof, inline(leaves) FROM climb WHERE up_tree IS NULL
 """
 
 
@@ -51,11 +56,15 @@ SELECT doc_id, leaf, tree, proof, fold FROM climb WHERE up_tree IS NULL
 class Manifest:
     """The tables of one manifest and the root digest (lowercase hex; None without leaves)."""
 
-    leaves: DataFrame
+    runs: DataFrame
     nodes: DataFrame
     groups: DataFrame
     root: str | None
 
+    def leaves(self) -> DataFrame:
+        """One node row per leaf, with the leaf's id."""
+        return _rows(self.runs)
+
 
 def written(value: Column) -> Column:
     """A field as it enters a leaf's digest: its length in UTF-8 bytes and itself, or ``-`` for null."""
@@ -73,7 +82,7 @@ def _levels(n: Column) -> Column:
 
 
 def _linked(nodes: DataFrame, stage: int, tops: Column, keep: list[str]) -> DataFrame:
-    """Node rows of one stage, from (tree, n_nodes, pos, digest, *keep): links, parent and the parent's digest.
+    """Runs of one stage, from (tree, n_nodes, pos, digest, *keep): their parent, its digest, and the linked members.
 
     ``tops``: a struct (tree, pos) of the node that a finished tree's root is in the tree above, null if none.
     """
@@ -88,30 +97,33 @@ def _linked(nodes: DataFrame, stage: int, tops: Column, keep: list[str]) -> Data
                 i -> sha2(concat(element_at(levels, -1)[2 * i], coalesce(get(element_at(levels, -1), 2 * i + 1), '')), 256)
             ))))
     """)
-    links = F.expr("""
-        transform(members, (m, i) -> named_struct('m', m, 'links', transform(slice(sequence(0, 63), 1, n_levels), k ->
+    kept = "".join(f"'{name}', m.{name}, " for name in ("pos", "digest", *keep))
+    members = F.expr(f"""
+        transform(members, (m, i) -> named_struct({kept} 'links', transform(slice(sequence(0, 63), 1, n_levels), k ->
             named_struct(
                 'before', if(shiftright(i, k) % 2 = 1, unhex(built[k][shiftright(i, k) - 1]), x''),
                 'after', if(shiftright(i, k) % 2 = 0, coalesce(unhex(get(built[k], shiftright(i, k) + 1)), x''), x'')
             ))))
     """)
     done = F.col("n_nodes") <= RUN
-    return runs.withColumn("built", built).select(
-        "tree", "n_nodes", "run", tops.alias("top"), F.unhex(F.expr("element_at(built, -1)[0]")).alias("up_digest"),
-        F.explode(links).alias("row"),
-    ).select(
-        *[F.col(f"row.m.{name}").alias(name) for name in keep],
-        "tree", F.lit(stage).alias("stage"), "row.m.pos", "n_nodes", "row.m.digest",
+    return runs.withColumn("built", built).withColumn("top", tops).select(
+        "tree", F.lit(stage).alias("stage"), "n_nodes",
         F.when(done, F.col("top.tree")).otherwise(F.col("tree")).cast("int").alias("up_tree"),
         F.when(done & F.col("top").isNotNull(), F.lit(0)).when(~done, F.lit(stage + 1)).cast("int").alias("up_stage"),
         F.when(done, F.col("top.pos")).otherwise(F.col("run")).cast("long").alias("up_pos"),
-        "up_digest", "row.links",
+        F.unhex(F.expr("element_at(built, -1)[0]")).alias("up_digest"), members.alias("members"),
     )
 
 
+def _rows(runs: DataFrame) -> DataFrame:
+    return runs.selectExpr("* except (members)", "inline(members)")
+
+
 def _parents(rows: DataFrame) -> DataFrame:
-    """The nodes of the next stage: one for each stored run of a tree that goes on."""
-    first = rows.where(f"pos % {RUN} = 0 and n_nodes > {RUN}")
+    """The nodes of the next stage: one for each run of a tree that goes on. Runs come as such or as node rows."""
+    first = rows.where(f"n_nodes > {RUN}")
+    if "pos" in rows.columns:
+        first = first.where(f"pos % {RUN} = 0")
     return first.select("tree", F.expr(f"(n_nodes + {RUN - 1}) div {RUN}").alias("n_nodes"), F.col("up_pos").alias("pos"),
                         F.col("up_digest").alias("digest"))
 
@@ -148,16 +160,13 @@ def build(docs: DataFrame, folder: str, offered: Column | None = None, fields: t
     above = F.struct(F.lit(TOP).alias("tree"), (F.col("tree") - 1).cast("long").alias("pos"))
     none = F.lit(None).cast("struct<tree:int,pos:bigint>")
     kind = docs.schema[order].dataType.simpleString()
-    stored = _write(_linked(leaves, 0, above if n_trees > 1 else none, ["doc_id", "offered"]), f"{folder}/leaves",
-                    LEAF.format(kind=kind))
-    levels = [stored]
+    above = above if n_trees > 1 else none
+    levels = [_write(_linked(leaves, 0, above, ["doc_id", "offered"]), f"{folder}/leaves", LEAVES.format(kind=kind))]
     for stage in range(1, _stages(longest or 1)):
-        levels.append(_write(_linked(_parents(levels[-1]), stage, above if n_trees > 1 else none, []),
-                             f"{folder}/nodes/part={len(levels)}", NODE))
-    finished = [level.where(f"pos = 0 and n_nodes <= {RUN}").select("tree", "up_digest") for level in levels]
-    subroots = finished[0]
-    for more in finished[1:]:
-        subroots = subroots.union(more)
+        levels.append(_write(_rows(_linked(_parents(levels[-1]), stage, above, [])), f"{folder}/nodes/part={len(levels)}", NODE))
+    subroots = levels[0].where(f"n_nodes <= {RUN}").select("tree", "up_digest")
+    for level in levels[1:]:
+        subroots = subroots.union(level.where(f"pos = 0 and n_nodes <= {RUN}").select("tree", "up_digest"))
     groups = _write(trees.join(subroots.withColumnRenamed("up_digest", "subroot"), "tree"), f"{folder}/groups",
                     "lang string, tree int, n_nodes long, subroot binary")
 
@@ -166,10 +175,10 @@ def build(docs: DataFrame, folder: str, offered: Column | None = None, fields: t
         nodes = groups.select(F.lit(TOP).alias("tree"), F.lit(n_trees).cast("long").alias("n_nodes"),
                               (F.col("tree") - 1).cast("long").alias("pos"), F.col("subroot").alias("digest"))
         for stage in range(_stages(n_trees)):
-            last = _write(_linked(nodes, stage, none, []), f"{folder}/nodes/part={len(levels) + stage}", NODE)
+            last = _write(_rows(_linked(nodes, stage, none, [])), f"{folder}/nodes/part={len(levels) + stage}", NODE)
             nodes = _parents(last)
         root = last.where("pos = 0 and up_tree is null").select(F.lower(F.hex("up_digest"))).first()[0]
-    return Manifest(stored, _nodes(spark, folder, n_trees), groups, root)
+    return Manifest(levels[0], _nodes(spark, folder, n_trees), groups, root)
 
 
 def _write(rows: DataFrame, path: str, schema: str) -> DataFrame:
@@ -186,21 +195,21 @@ def _nodes(spark: SparkSession, folder: str, n_trees: int) -> DataFrame:
 
 def verified(manifest: Manifest) -> DataFrame:
     """One row per leaf: its digest, the digests of its group and of all, the digest of its proof, and the check."""
-    spark = manifest.leaves.sparkSession
+    spark = manifest.runs.sparkSession
     # The climb returns every leaf once a step, and the number of steps is small; the default stops at a million rows.
     spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
     siblings = "aggregate({links}, x'', (all, s) -> concat(all, s.before, s.after))"
     fold = ("unhex(aggregate({links}, lower(hex({start})), "
             "(digest, s) -> sha2(concat(lower(hex(s.before)), digest, lower(hex(s.after))), 256)))")
-    query = _CLIMB.replace("{siblings_of_leaf}", siblings.format(links="links")).replace(
-        "{fold_of_leaf}", fold.format(links="links", start="offered")).replace(
+    query = _CLIMB.replace("{siblings_of_leaf}", siblings.format(links="m.links")).replace(
+        "{fold_of_leaf}", fold.format(links="m.links", start="m.offered")).replace(
         "{siblings_of_node}", siblings.format(links="n.links")).replace(
-        "{fold_of_node}", fold.format(links="n.links", start="c.fold"))
-    climbed = spark.sql(query, leaves=manifest.leaves, nodes=manifest.nodes)
+        "{fold_of_node}", fold.format(links="n.links", start="m.fold"))
+    climbed = spark.sql(query, leaves=manifest.runs, nodes=manifest.nodes)
     groups = manifest.groups.select(F.col("tree"), F.lower(F.hex("subroot")).alias("subroot"))
     folded = F.lower(F.hex("fold"))
     return climbed.join(groups, "tree").select(
         "doc_id", F.lower(F.hex("leaf")).alias("leaf"), "subroot", F.lit(manifest.root).alias("root"),
-        F.sha2(F.lower(F.hex("proof")), 256).alias("proof_sha256"), folded.alias("folded_root"),
+        F.sha2(F.lower(F.hex(F.concat("own", "proof"))), 256).alias("proof_sha256"), folded.alias("folded_root"),
         (folded == F.lit(manifest.root)).alias("verified"),
     )

@@ -12,6 +12,7 @@ from provenant.llm import (
     toxicity, wordpieces,
 )
 from provenant.llm.common import fold_of, table, tokenizer_file
+from provenant.llm.oracles import catalogue_sql  # noqa: F401  (beside the queries, for the entry point)
 from provenant.session import new_run_dir
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -99,7 +100,3 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def catalogue() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {q.__name__: q for q in (op1_sentencepiece, op2_decontamination, op3_ngram_jaccard, op4_token_files, op5_chat_trees, op6_language, op7_line_dedup, op8_toxicity, op9_neighbours, op10_page_text, op11_spelling_variants, op12_word_bpe, op13_merkle_manifest)}
-
-
-def catalogue_sql() -> dict[str, str]:
-    return {}
