@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import re
+import sys
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# The splitter travels to the workers inside the plan, so they need no installed package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 TOKEN = re.compile(
     r'[ \t\r\n]*(?:(?P<string>"(?:[^"\\\x00-\x1f]++|\\["\\/bfnrt]|\\u[0-9a-fA-F]{4})*+")'
     r"|(?P<plain>(?:-?(?:0|[1-9][0-9]*+)(?:\.[0-9]++)?(?:[eE][+-]?[0-9]++)?|true|false|null)(?![\w.+-]))|(?P<mark>[\[\]{},:]))")

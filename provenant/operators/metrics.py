@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from provenant import contract
@@ -82,13 +82,13 @@ def with_rates(measured: DataFrame) -> DataFrame:
     })
 
 
-def _on_every_site(days: DataFrame, sites: Sequence[str]) -> DataFrame:
+def on_every_site(days: DataFrame, sites: Sequence[str]) -> DataFrame:
     return days.select(
         "metric_date", F.explode(F.array(*[F.lit(s) for s in sites])).alias("site_id")
     )
 
 
-def _filled(grid: DataFrame, measured: DataFrame) -> DataFrame:
+def filled(grid: DataFrame, measured: DataFrame) -> DataFrame:
     dense = grid.join(measured, ["site_id", "metric_date"], "left")
     return dense.select(
         "site_id", "metric_date",
@@ -102,7 +102,7 @@ def dense_range(measured: DataFrame, sites: Sequence[str], start: str, end: str)
     days = measured.sparkSession.range(1).select(
         F.explode(F.sequence(F.lit(start).cast("date"), F.lit(end).cast("date"))).alias("metric_date")
     )
-    return _filled(_on_every_site(days, sites), measured)
+    return filled(on_every_site(days, sites), measured)
 
 
 def dense_span(measured: DataFrame, sites: Sequence[str]) -> DataFrame:
@@ -115,7 +115,7 @@ def dense_span(measured: DataFrame, sites: Sequence[str]) -> DataFrame:
     measured = measured.checkpoint()
     span = measured.agg(F.min("metric_date").alias("a"), F.max("metric_date").alias("b"))
     days = span.filter("a is not null").select(F.explode(F.sequence("a", "b")).alias("metric_date"))
-    return _filled(_on_every_site(days, sites), measured)
+    return filled(on_every_site(days, sites), measured)
 
 
 def event_type_counts(outcomes: DataFrame, sites: Sequence[str]) -> DataFrame:
@@ -134,6 +134,17 @@ def reason_counts(outcomes: DataFrame, sites: Sequence[str]) -> DataFrame:
     )
 
 
+def top_reasons(counts: DataFrame, k: int) -> DataFrame:
+    """The ``k`` most frequent reasons of every site and day, most frequent first; ties to the smaller code.
+
+    Counts are exact and made before anything is ranked. Ranks are limited to ``k`` in every partition before the shuffle, so
+    a day with any number of codes sends ``k`` rows from each.
+    """
+    order = Window.partitionBy("site_id", "metric_date").orderBy(F.col("n").desc(), "reason")
+    ranked = counts.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k)
+    return ranked.select("site_id", "metric_date", "place", "reason", "n")
+
+
 def reason_family(reason: Column) -> Column:
     """Code without the payload path, which is unbounded for personal-data codes."""
     return F.substring_index(reason, ":", 1)
@@ -166,9 +177,9 @@ def metrics_table(
 ) -> DataFrame:
     """Rows of the stored metrics table, with the two count maps.
 
-    Maps are built from already counted rows. The event-type map has at most eight entries; the
-    reason map is by code family (at most 27), since codes that carry a payload path have no
-    bound. :func:`reason_counts` keeps the full codes, one row each.
+    Maps are built from already counted rows. The event-type map has at most eight entries. The reason map holds
+    full codes, and those of personal data name a payload path: it is as long as a day has distinct paths. Readers
+    of many days take :func:`reason_counts` instead, one row per code.
     """
     site_day = ["site_id", "metric_date"]
 
@@ -176,13 +187,10 @@ def metrics_table(
         entries = F.map_from_entries(F.array_sort(F.collect_list(F.struct(key, "n"))))
         return counts.groupBy(*site_day).agg(entries.alias(name))
 
-    families = reasons.groupBy(*site_day, reason_family(F.col("reason")).alias("reason")).agg(
-        F.sum("n").alias("n")
-    )
     no_counts = F.create_map().cast("map<string,bigint>")
     return (
         dense.join(as_map(types, "event_type", "event_type_counts"), site_day, "left")
-        .join(as_map(families, "reason", "reject_reason_counts"), site_day, "left")
+        .join(as_map(reasons, "reason", "reject_reason_counts"), site_day, "left")
         .select(
             "site_id", "metric_date", F.lit(contract.METRICS_VERSION).alias("metrics_version"),
             computed_at.alias("computed_at"),

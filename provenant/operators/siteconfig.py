@@ -37,6 +37,27 @@ def effective_config(sites: DataFrame, stored: DataFrame) -> DataFrame:
     )
 
 
+def as_json(config: Column) -> Column:
+    """The JSON text of map(key -> JSON text), members in key order."""
+    entries = F.transform(F.array_sort(F.map_entries(config)), lambda e: F.concat(
+        F.to_json(F.array(e["key"])), F.lit(":"), e["value"]))
+    # A one-element array is the only way to have a lone string quoted; its brackets go again.
+    members = F.transform(entries, lambda text: F.regexp_replace(text, r'^\["((?:[^"\\\\]|\\\\.)*)"\]', '"$1"'))
+    return F.concat(F.lit("{"), F.array_join(members, ","), F.lit("}"))
+
+
+def seed_rows(config: DataFrame) -> DataFrame:
+    """Rows to store for the sites of an effective configuration: defaults merged with their overrides, as JSON."""
+    return config.select("site_id", as_json(F.col("config_272")).alias("config_272"), as_json(F.col("config_750")).alias("config_750"))
+
+
+def fingerprint(text: Column) -> Column:
+    """A digest of a configuration's top-level members, whatever their order in the text."""
+    members = F.transform_values(F.from_json(text, _JSON_MAP), lambda _, value: F.coalesce(F.to_json(value), F.lit("null")))
+    lines = F.transform(F.array_sort(F.map_entries(members)), lambda e: F.concat_ws("=", e["key"], e["value"]))
+    return F.sha2(F.array_join(lines, "\n"), 256)
+
+
 def config_entries(config: DataFrame, name: str) -> DataFrame:
     """Long form (site_id, key, value) of one configuration."""
     return config.select("site_id", F.explode(name).alias("key", "value"))

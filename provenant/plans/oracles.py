@@ -7,9 +7,11 @@ conflicts, lineage and evidence are window functions and self joins.
 from __future__ import annotations
 
 from provenant import contract
-from provenant.plans.queries import NOW, PURGE_AT, RANGE, REPLAY_WINDOW
+from provenant.plans.queries import (
+    EMPTY_WINDOW, EPOCH_DAYS, NOW, ONE_DAY, PURGE_AT, PURGE_WITHIN_DAY, RANGE, REPLAY_WINDOW, STORED_BEFORE, TOP_REASONS,
+)
 from provenant.sources.derived import (
-    CAPTURE_COLUMNS, CONFIG_COLUMNS, DECISION_COLUMNS, EVENT_COLUMNS, REGISTRY,
+    CAPTURE_COLUMNS, CONFIG_COLUMNS, DECISION_COLUMNS, EVENT_COLUMNS, JSON_KEYS, REGISTRY,
 )
 
 _MS = "(epoch_us(ts) // 1000)"
@@ -249,6 +251,44 @@ effective as (
 )"""
 
 
+_NUMBERS = ("click_offset_ms", "ms_since_page_load", "form_start_offset_ms", "page_count", "sequence_index")
+
+
+def _member(key: str, column: str) -> str:
+    if column in _NUMBERS:
+        return f"""'"{key}":' || cast(cast({column} as bigint) as varchar)"""
+    return f"""'"{key}":"' || {column} || '"'"""
+
+
+def _replay_line(header: str) -> str:
+    """The replay line of an accepted event, which holds no personal data: members in key order, absent ones left out."""
+    members = {key: _member(key, column) for key, column in JSON_KEYS.items()}
+    stamp = "cast(client_ts_ms as varchar)"
+    members["client_timestamp_ms"] = f"""case when event_id % 17 <> 0 then '"client_timestamp_ms":' || {stamp} end"""
+    members["occurred_at"] = f"""case when event_id % 17 = 0 then '"occurred_at":' || {stamp} end"""
+    buckets = ", ".join(_member(key, column) for key, column in (
+        ("dwell_bucket", "dwell_bucket"), ("interaction_density_bucket", "interaction_bucket"), ("scroll_depth_bucket", "scroll_bucket")))
+    members["engagement_proxy"] = f"""'"engagement_proxy":{{' || concat_ws(',', {buckets}) || '}}'"""
+    return f"'{{' || concat_ws(',', {header}, {', '.join(members[key] for key in sorted(members))}) || '}}'"
+
+
+_LIMITS = {
+    "raise_pct": ("$.fire_rate.auto_raise_pct", 5), "raise_days": ("$.fire_rate.auto_raise_window_days", 7),
+    "disable_pct": ("$.fire_rate.auto_disable_pct", 8), "disable_days": ("$.fire_rate.auto_disable_window_days", 7),
+    "breaker_pct": ("$.fire_rate.circuit_breaker_pct", 10), "dismiss_pct": ("$.dismiss_rate.raise_at_pct", 70),
+    "dismiss_days": ("$.dismiss_rate.window_days", 14), "daily_budget": ("$.daily_budget", 20),
+    "session_cap": ("$.max_fire_per_session", 1), "cooldown_hours": ("$.cooldown_hours", 72),
+}
+_FIRE_LIMITS = f"""
+stored as ({_select(CONFIG_COLUMNS, 'supplier')}),
+limited as (
+  select l.*, {", ".join(
+      f"coalesce(try_cast(json_extract(s.config_750, '{path}') as double), {default}) as {name}"
+      for name, (path, default) in _LIMITS.items())}
+  from log l left join stored s using (site_id)
+)"""
+
+
 def _strip_with(sql: str) -> str:
     return sql.strip().removeprefix("with").strip()
 
@@ -359,20 +399,57 @@ def catalogue_sql() -> dict[str, str]:
             union all
             select site_id, cast(d as varchar), '1.0.0', received, a, r, s, b, m, cast(u as bigint), 2 from measured where d >= date '2024-01-15'))
         where rn = 1"""
+    reasons = f"""
+        select site_id, received_date as d, reason, count(*) as n from (
+          select site_id, received_date, unnest(string_split(codes, '|')) as reason from judged
+          where codes <> '' and site_id in {_SITES}) group by 1, 2, 3"""
+    sql["metrics_from_ledgers"] = f"""{_KEPT}, {_DAILY},
+        days as (select received_date as d from kept union select received_date from judged where codes <> ''),
+        types as (
+          select site_id, d, string_agg(event_type || '=' || cast(n as varchar), '|' order by event_type) as t from (
+            select site_id, received_date as d, event_type, count(*) as n from kept group by 1, 2, 3) group by 1, 2),
+        reasons as (
+          select site_id, d, string_agg(reason || '=' || cast(n as varchar), '|' order by reason) as r from ({reasons}) group by 1, 2)
+        select site_id, cast(d as varchar) as metric_date, '1.0.0' as metrics_version, coalesce(received, 0) as events_received,
+          coalesce(a, 0) as events_accepted, coalesce(m.r, 0) as events_rejected, coalesce(s, 0) as distinct_sessions,
+          coalesce(b, 0) as distinct_subjects, coalesce(m.m, 0) as summary_start_mismatch, coalesce(u, 0) as unknown_bucket_count,
+          case when received > 0 then round(cast(cast(cast(m.r as double) / received as float) as double), 5) else 0 end as reject_rate,
+          coalesce(t, '') as event_type_counts, coalesce(reasons.r, '') as reject_reason_counts
+        from (select site_id, d from days cross join {_SITE_ROWS}) left join measured m using (site_id, d)
+          left join types using (site_id, d) left join reasons using (site_id, d)"""
+    sql["metrics_one_day"] = _dense(_days(f"'{ONE_DAY}'", f"'{ONE_DAY}'"))
+    sql["top_reasons"] = f"""{_JUDGED}
+        select site_id, cast(d as varchar) as metric_date, place, reason, n from (
+          select *, row_number() over (partition by site_id, d order by n desc, reason) as place from ({reasons}))
+        where place <= {TOP_REASONS}"""
+    sql["distinct_over_range"] = f"""{_KEPT}
+        select site_id, count(distinct session_id) as sessions, count(distinct browser_id) as subjects,
+          1 as sessions_agree, 1 as subjects_agree from kept where site_id in {_SITES} group by 1"""
     window = (
         f"received_ms >= epoch_ms(timestamp '{REPLAY_WINDOW[0]} 00:00:00') "
         f"and received_ms <= epoch_ms(timestamp '{REPLAY_WINDOW[1]} 23:59:59')"
     )
+    header = """'"_replay":{"event_id":' || cast(event_id as varchar) || ',"received_at":"' || iso
+            || '","collector_version":"1.0.0"}'"""
     sql["replay_rows"] = f"""{_KEPT}
         select site_id, row_number() over (partition by site_id order by client_ts_ms, received_ms, event_id) as ordinal,
           event_id, client_ts_ms as client_timestamp_ms, iso as received_at,
-          '{{"_replay":{{"event_id":' || cast(event_id as varchar) || ',"received_at":"' || iso
-            || '","collector_version":"1.0.0"' as header
+          sha256({_replay_line(header)}) as line_sha256
         from (select *, strftime(make_timestamp(received_ms * 1000), '%Y-%m-%dT%H:%M:%S.%gZ') as iso from kept where {window})"""
     sql["replay_meta"] = f"""{_KEPT}
         select site_id, count(*) as event_count, count(distinct session_id) as session_count,
           count(distinct browser_id) as subject_count, '1.0.0' as collector_versions
         from kept where {window} group by site_id"""
+    sql["replay_export_meta"] = f"""{_KEPT},
+        held as (
+          select site_id, count(*) as n, count(distinct session_id) as s, count(distinct browser_id) as b from kept where {window} group by 1),
+        wanted as (
+          select site_id, '{REPLAY_WINDOW[0]}' as low, '{REPLAY_WINDOW[1]}' as high, n, s, b from {_SITE_ROWS} left join held using (site_id)
+          union all select site_id, '{EMPTY_WINDOW[0]}', '{EMPTY_WINDOW[1]}', null, null, null from {_SITE_ROWS})
+        select site_id, low || 'T00:00:00Z' as window_start, high || 'T23:59:59Z' as window_end, coalesce(n, 0) as event_count,
+          coalesce(s, 0) as session_count, coalesce(b, 0) as subject_count, 'client_timestamp_ms,received_at,event_id' as sort_order,
+          case when n > 0 then '1.0.0' else '' end as collector_versions, cast(0 as bigint) as damaged_parts, 1 as digest_holds
+        from wanted"""
     sql["config_effective"] = f"with {_CONFIG} select site_id, key, value from effective"
     sql["config_bootstrap"] = f"""{_KEPT}, {_CONFIG},
         sessions as (select site_id, count(distinct session_id) as n from kept where event_type = 'session_start' group by 1),
@@ -386,10 +463,16 @@ def catalogue_sql() -> dict[str, str]:
           from boot left join sessions using (site_id) left join stored using (site_id))
         select *, cast(runtime_days >= required_runtime_days and eligible_sessions >= required_eligible_sessions as integer)
           as bootstrap_met from gate"""
-    sql["config_upsert"] = f"""with {_CONFIG}
-        select site_id, coalesce(seed, s.config_272) as config_272, coalesce(seed, s.config_750) as config_750,
-          case when seed is null then 1 else 2 end as updated
-        from stored s full join (select site_id, '{{}}' as seed from asked) using (site_id)"""
+    sql["config_upsert"] = f"""with {_CONFIG},
+        seeded as (select site_id, section, string_agg(key || '=' || value, chr(10) order by key) as text from effective group by 1, 2),
+        before as (select site_id, section, string_agg(key || '=' || value, chr(10) order by key) as text from own_values group by 1, 2),
+        texts as (
+          select site_id, 2 as updated, max(text) filter (where section = '272') as a, max(text) filter (where section = '750') as b
+          from seeded group by 1
+          union all
+          select s.site_id, 1, max(text) filter (where section = '272'), max(text) filter (where section = '750')
+          from stored s left join before b on s.site_id = b.site_id where s.site_id not in (select site_id from asked) group by 1)
+        select site_id, updated, sha256(coalesce(a, '')) as config_272, sha256(coalesce(b, '')) as config_750 from texts"""
     sql["capture_validation"] = f"{_CAPTURES} select capture_id, error from read"
     sql["capture_enrich"] = f"""{_CAPTURES}
         select capture_id, site_id, browser_id, email_hash, email_domain, email_class, trigger_score, purge_after_ms from enriched"""
@@ -406,6 +489,13 @@ def catalogue_sql() -> dict[str, str]:
     sql["capture_purge"] = f"""{_CAPTURES}
         select email_class, count(*) filter (where purge_after_ms < {purge}) as purged,
           count(*) filter (where purge_after_ms >= {purge}) as kept from enriched group by 1"""
+    sql["capture_after_purge"] = f"""{_CAPTURES}
+        select capture_id, site_id, email_hash, email_class, purge_after_ms,
+          case when captured_ms < epoch_ms(cast('{STORED_BEFORE[:-1]}' as timestamp)) then 0 else 1 end as epoch from (
+          select *, row_number() over (partition by site_id, email_hash order by captured_ms, capture_id) as rn from enriched)
+        where rn = 1 and purge_after_ms >= epoch_ms(cast('{PURGE_WITHIN_DAY[:-1]}' as timestamp))"""
+    sql["decision_store"] = f"""{_DECISIONS}
+        select cast(d as varchar) as decision_date, decision, count(*) as n from log group by 1, 2"""
     sql["capture_encrypt_roundtrip"] = f"{_CAPTURES} select capture_id, email_hash as opened_hash from enriched"
     sql["decision_log"] = f"""{_DECISIONS}
         select decision_id, site_id, session_id, browser_id, decision, round(trigger_score, 4) as trigger_score,
@@ -415,6 +505,19 @@ def catalogue_sql() -> dict[str, str]:
         select event_id, case when {late} then client_event_id end as client_event_id,
           case when {late} then page_view_id end as page_view_id,
           case when {late} then stored_version else 'legacy-thin-v2.0' end as event_contract_version from accepted"""
+    sql["stream_rejected"] = f"""{_JUDGED}
+        select event_id, codes, cast(pii_code is not null as integer) as redacted from judged where codes <> ''"""
+    sql["stream_refused"] = f"""{_BATCHED}
+        select batch_id, case when bare then -1 else n end as n_events, 'INVALID_BATCH_FORMAT' as error
+        from batches where bare or n > 50"""
+    epoch = f"case when received_date < date '{EPOCH_DAYS[0]}' then 0 when received_date < date '{EPOCH_DAYS[1]}' then 1 else 2 end"
+    sql["stream_balance"] = f"""{_KEPT},
+        came as (select {epoch} as epoch, count(*) as events, count(*) filter (where codes <> '') as rejected from judged group by 1),
+        stayed as (select {epoch} as epoch, count(*) as accepted from kept group by 1)
+        select cast(epoch as bigint) as epoch, events, coalesce(accepted, 0) as accepted, rejected,
+          events - coalesce(accepted, 0) - rejected as repeated, cast(0 as bigint) as refused_batches,
+          coalesce(accepted, 0) as stored_accepted, rejected as stored_rejected
+        from came left join stayed using (epoch)"""
     sql["lead_grade"] = f"{_KEPT} {_GRADE}"
     sql["form_start_first"] = f"""{_KEPT}
         select event_id, site_id, session_id, form_id from (
@@ -458,37 +561,46 @@ def catalogue_sql() -> dict[str, str]:
         select site_id, session_id, coalesce(pages, 0) as pages, coalesce(linked, 0) as linked,
           coalesce(orphans, 0) as orphans, cast(coalesce(gaps, 0) as bigint) as sequence_gaps
         from seen full join refs using (site_id, session_id) full join gaps using (site_id, session_id)"""
-    sql["fire_rate"] = f"""{_DECISIONS},
+    sql["fire_rate"] = f"""{_DECISIONS}, {_FIRE_LIMITS},
         daily as (
           select site_id, d, count(*) as sessions, cast(sum(f) as bigint) as fires, cast(sum(x) as bigint) as dismisses,
-            count(*) filter (where f > 1) as over_session_cap
+            count(*) filter (where f > session_cap) as over_session_cap, {", ".join(f"any_value({n}) as {n}" for n in _LIMITS)}
           from (select site_id, d, session_id, count(*) filter (where decision = 'fire') as f,
-                  count(*) filter (where decision = 'dismiss') as x from log group by 1, 2, 3) group by 1, 2),
+                  count(*) filter (where decision = 'dismiss') as x, {", ".join(f"any_value({n}) as {n}" for n in _LIMITS)}
+                from limited group by 1, 2, 3) group by 1, 2),
         rated as (
-          select a.site_id, a.d, a.sessions, a.fires, a.dismisses, a.over_session_cap,
-            sum(b.fires) filter (where b.d > a.d - 7) as f7, sum(b.sessions) filter (where b.d > a.d - 7) as s7,
-            sum(b.fires) as f14, sum(b.dismisses) as x14
-          from daily a join daily b on a.site_id = b.site_id and b.d <= a.d and b.d > a.d - 14 group by all),
+          select a.*, sum(b.fires) filter (where b.d > a.d - cast(a.raise_days as integer)) as fr,
+            sum(b.sessions) filter (where b.d > a.d - cast(a.raise_days as integer)) as sr,
+            sum(b.fires) filter (where b.d > a.d - cast(a.disable_days as integer)) as fd,
+            sum(b.sessions) filter (where b.d > a.d - cast(a.disable_days as integer)) as sd,
+            sum(b.fires) filter (where b.d > a.d - cast(a.dismiss_days as integer)) as fx,
+            sum(b.dismisses) filter (where b.d > a.d - cast(a.dismiss_days as integer)) as xx
+          from daily a join daily b on a.site_id = b.site_id and b.d <= a.d group by all),
         shares as (
-          select *, case when s7 > 0 then cast(f7 as double) / cast(s7 as double) else 0 end as fire_rate,
-            case when f14 > 0 then cast(x14 as double) / cast(f14 as double) else 0 end as dismiss_rate from rated)
-        select site_id, cast(d as varchar) as decision_date, sessions, fires, dismisses, over_session_cap, fire_rate,
-          dismiss_rate, cast(fires > 20 as integer) as over_budget,
-          case when fire_rate * 100 >= 10 then 'break' when fire_rate * 100 >= 8 then 'disable'
-               when fire_rate * 100 >= 5 or dismiss_rate * 100 >= 70 then 'raise' else 'none' end as action from shares"""
-    sql["fire_cooldown"] = f"""{_DECISIONS}
+          select *, case when sr > 0 then cast(fr as double) / cast(sr as double) else 0 end as fire_rate,
+            case when sd > 0 then cast(fd as double) / cast(sd as double) else 0 end as disable_rate,
+            case when fx > 0 then cast(xx as double) / cast(fx as double) else 0 end as dismiss_rate from rated)
+        select site_id, cast(d as varchar) as decision_date, sessions, fires, dismisses, over_session_cap, fire_rate, disable_rate,
+          dismiss_rate, cast(fires > daily_budget as integer) as over_budget,
+          case when disable_rate * 100 >= breaker_pct then 'break' when disable_rate * 100 >= disable_pct then 'disable'
+               when fire_rate * 100 >= raise_pct or dismiss_rate * 100 >= dismiss_pct then 'raise' else 'none' end as action from shares"""
+    sql["fire_cooldown"] = f"""{_DECISIONS}, {_FIRE_LIMITS}
         select site_id, browser_id, count(*) as fires,
-          count(*) filter (where decided_ms - prior < 259200000) as breaches from (
+          count(*) filter (where decided_ms - prior < cooldown_hours * 3600000) as breaches from (
             select *, lag(decided_ms) over (partition by site_id, browser_id order by decided_ms, decision_id) as prior
-            from log where decision = 'fire') group by 1, 2"""
-    sql["eligibility_gate"] = f"""{_KEPT}, {_DAILY}, {_CONFIG},
+            from limited where decision = 'fire') group by 1, 2"""
+    sql["eligibility_gate"] = f"""{_KEPT}, {_DAILY}, stored as ({_select(CONFIG_COLUMNS, 'supplier')}),
+        wanted as (
+          select m.*, coalesce(try_cast(json_extract(config_272, '$.analysis_window_days') as integer), 30) as days,
+            coalesce(try_cast(json_extract(config_272, '$.min_eligible_sessions') as bigint), 200) as needed,
+            coalesce(try_cast(json_extract(config_272, '$.min_valid_event_rate') as double), 0.7) as needed_rate
+          from measured m left join stored using (site_id)),
         sums as (
-          select a.site_id, a.d, cast(sum(b.s) as bigint) as sessions, sum(b.a) as valid, sum(b.received) as received
-          from measured a join measured b on a.site_id = b.site_id and b.d <= a.d and b.d > a.d - 30 group by 1, 2),
+          select a.site_id, a.d, a.needed, a.needed_rate, cast(sum(b.s) as bigint) as sessions, sum(b.a) as valid, sum(b.received) as received
+          from wanted a join measured b on a.site_id = b.site_id and b.d <= a.d and b.d > a.d - a.days group by all),
         rates as (select *, cast(valid as double) / cast(received as double) as valid_event_rate from sums)
         select site_id, cast(d as varchar) as metric_date, sessions, valid_event_rate,
-          cast(sessions >= coalesce(try_cast(json_extract(config_272, '$.min_eligible_sessions') as bigint), 200)
-            and valid_event_rate >= 0.7 as integer) as eligible from rates left join stored using (site_id)"""
+          cast(sessions >= needed and valid_event_rate >= needed_rate as integer) as eligible from rates"""
     sql["replay_reconcile"] = f"""{_KEPT},
         days as (
           select site_id, received_date as d, count(*) filter (where ok) as n,

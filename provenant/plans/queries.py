@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from provenant import contract, schemas
 from provenant.functions.personal_data import has_email, has_phone
-from provenant.operators import capture, chains, decisions, ledger, metrics, monitors, replay, siteconfig
+from provenant.operators import capture, chains, decisions, ledger, metrics, monitors, replay, siteconfig, sketches, stores
 from provenant.operators.dedup import evolve, upsert_latest
 from provenant.operators.pii import redacted
 from provenant.operators.validate import validate_events
@@ -17,11 +17,20 @@ from provenant.session import configure, new_run_dir
 from provenant.sources import batches as batch_source
 from provenant.sources import derived
 from provenant.sources.derived import REGISTRY
+from provenant.sources.files import exists
 from provenant.sources.scan import spread
-from provenant.streaming import collect
+from provenant.streaming import collect, daily
 
 NOW = "2024-02-10T00:00:00Z"
 PURGE_AT = "2024-04-05T00:00:00Z"
+# A purge within a day, and the hour before which captures were stored by an earlier run.
+PURGE_WITHIN_DAY = "2024-04-01T00:25:00Z"
+STORED_BEFORE = "2024-01-01T12:00:00Z"
+# Days that cut the events into three micro-batches, one that is measured alone, and a window without events.
+EPOCH_DAYS = ("2024-01-11", "2024-01-21")
+ONE_DAY = "2024-01-15"
+EMPTY_WINDOW = ("2019-01-01", "2019-01-02")
+TOP_REASONS = 3
 RANGE = ("2023-12-20", "2024-02-20")
 REPLAY_WINDOW = ("2023-12-31", "2024-02-15")
 # Test key for the round trip only; a deployment passes its own secret.
@@ -50,6 +59,30 @@ def _stored(ledger_rows: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(ledger_rows.schema).parquet(path)
 
 
+_COLLECTED: dict[tuple[str, str], str] = {}
+
+
+def _posts(events: DataFrame) -> DataFrame:
+    """Every event as a batch of its own, whose number is the event's."""
+    body = F.concat(F.lit("["), F.col("raw"), F.lit("]")).alias("body")
+    return events.select("batch_id", body, "received_at")
+
+
+def _ledgers(spark: SparkSession, sf_dir: str) -> str:
+    """The ledgers of all events, collected in three micro-batches by time of arrival; once in a session."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    root = _COLLECTED.get(key)
+    if root is None or not exists(spark, f"{root}/commits/2"):
+        root = new_run_dir(spark, "ledgers")
+        posts = _posts(derived.web_events(spark, sf_dir))
+        day = F.to_date("received_at")
+        early, late = (F.lit(d).cast("date") for d in EPOCH_DAYS)
+        for epoch, part in enumerate((day < early, (day >= early) & (day < late), day >= late)):
+            collect.collect_epoch(posts.filter(part), epoch, root, REGISTRY)
+        _COLLECTED[key] = root
+    return root
+
+
 def _ms(name: str) -> Column:
     return F.unix_millis(name)
 
@@ -213,6 +246,47 @@ def metrics_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merged.withColumn("metric_date", _day("metric_date"))
 
 
+def _counted(counts: str) -> Column:
+    """A map of counts as text, by key."""
+    entries = F.transform(F.array_sort(F.map_entries(counts)), lambda e: F.concat_ws("=", e["key"], e["value"]))
+    return F.array_join(entries, "|").alias(counts)
+
+
+def metrics_from_ledgers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored metrics after two runs of the job: over the first two micro-batches, then over what came after."""
+    root, target = _ledgers(spark, sf_dir), new_run_dir(spark, "metrics")
+    for through in (1, None):
+        daily.run_daily(spark, root, target, REGISTRY.sites, F.lit(NOW).cast("timestamp"), through=through)
+    rate = F.round(F.col("reject_rate").cast("double"), 5).alias("reject_rate")
+    return daily.stored_metrics(spark, target).select(
+        "site_id", _day("metric_date").alias("metric_date"), "metrics_version",
+        *[F.col(n).cast("bigint").alias(n) for n in metrics.COUNTS], rate,
+        _counted("event_type_counts"), _counted("reject_reason_counts"))
+
+
+def metrics_one_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One day, read from its own folders of the ledgers."""
+    return _metric_row(daily.day_from_ledgers(spark, _ledgers(spark, sf_dir), REGISTRY.sites, (ONE_DAY, ONE_DAY)))
+
+
+def top_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The most frequent reasons of every site and day, in descending order."""
+    rejected = collect.rejected_table(spark, _ledgers(spark, sf_dir))
+    outcomes = rejected.select("site_id", "received_at", "reason_codes", F.lit(False).alias("accepted"))
+    top = metrics.top_reasons(metrics.reason_counts(outcomes, REGISTRY.sites), TOP_REASONS)
+    return top.withColumns({"metric_date": _day("metric_date"), "place": F.col("place").cast("bigint")})
+
+
+def distinct_over_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions and subjects of each site over all days: exact, and whether the merged daily sketches agree."""
+    accepted = collect.accepted_table(spark, _ledgers(spark, sf_dir)).filter(F.col("site_id").isin(*REGISTRY.sites))
+    stored = _stored(sketches.daily_sketches(accepted), "sketches")
+    exact = sketches.exact_distinct(accepted)
+    return exact.join(sketches.estimated_distinct(stored), "site_id", "left").select(
+        "site_id", *sketches.COUNTED.values(),
+        *[sketches.agrees(name).cast("int").alias(f"{name}_agree") for name in sketches.COUNTED.values()])
+
+
 # ---- replay -----------------------------------------------------------------------
 
 def replay_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -220,7 +294,7 @@ def replay_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(
         "site_id", "ordinal", "event_id", "client_timestamp_ms",
         F.date_format("received_at", replay.LINE_TIME).alias("received_at"),
-        F.substring_index(replay.replay_line(F.col("raw")), "}", 1).alias("header"),
+        F.sha2(replay.replay_line(F.col("raw")), 256).alias("line_sha256"),
     )
 
 
@@ -229,6 +303,21 @@ def replay_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return meta.withColumn("collector_versions", F.array_join("collector_versions", ","))
 
 
+def replay_export_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exports of every site for two windows, one of them without events, and their files checked again."""
+    root = _ledgers(spark, sf_dir)
+    checked = []
+    for window in (REPLAY_WINDOW, EMPTY_WINDOW):
+        target = new_run_dir(spark, "export")
+        ledger_rows = collect.accepted_table(spark, root, window)
+        replay.export_replays(ledger_rows, REGISTRY.sites, *window, target)
+        checked.append(replay.verified_exports(spark, target))
+    return checked[0].unionByName(checked[1]).select(
+        "site_id", "window_start", "window_end", "event_count", "session_count", "subject_count",
+        F.array_join("sort_order", ",").alias("sort_order"), F.array_join("collector_versions", ",").alias("collector_versions"),
+        "damaged_parts", F.col("digest_holds").cast("int").alias("digest_holds"))
+
+
 # ---- configuration ----------------------------------------------------------------
 
 def _config(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -254,11 +343,13 @@ def config_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def config_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Seeding over stored rows: the seed replaces both configurations of the sites it names."""
+    """Seeding: the asked sites get rows of both configurations, defaults merged with what is stored for them."""
     names = ("config_272", "config_750")
     stored = derived.stored_configs(spark, sf_dir).select("site_id", *names).withColumn("updated", F.lit(1))
-    seed = derived.asked_sites(spark, sf_dir).select("site_id", *[F.lit("{}").alias(n) for n in names], F.lit(2).alias("updated"))
-    return upsert_latest(stored, seed, ["site_id"], ["updated"])
+    seed = siteconfig.seed_rows(_config(spark, sf_dir)).select("site_id", *names, F.lit(2).alias("updated"))
+    merged = upsert_latest(stored, seed, ["site_id"], ["updated"])
+    # Compared as digests of key=value lines in key order: the stored texts are JSON with members in any order.
+    return merged.select("site_id", "updated", *[siteconfig.fingerprint(F.col(n)).alias(n) for n in names])
 
 
 # ---- captures and decisions -------------------------------------------------------
@@ -294,6 +385,26 @@ def capture_insert_if_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return capture.new_captures(stored, incoming).select("capture_id", "site_id", "email_hash")
 
 
+def capture_after_purge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a store of captures, written by two runs, holds after a purge within a day."""
+    path, rows = new_run_dir(spark, "captures"), _stored(_captures(spark, sf_dir, ROUND_TRIP_KEY), "captures-read")
+    stores.append_captures(rows.filter(F.col("captured_at") < F.lit(STORED_BEFORE).cast("timestamp")), path, 0)
+    stores.append_captures(rows, path, 1)
+    stores.purge_captures(spark, path, PURGE_WITHIN_DAY)
+    return stores.stored_captures(spark, path).select(
+        "capture_id", "site_id", "email_hash", "email_class", _ms("purge_after").alias("purge_after_ms"), "epoch")
+
+
+def decision_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored decisions per day and kind, after one of the two runs that wrote them was done twice."""
+    path, log = new_run_dir(spark, "decisions"), _decisions(spark, sf_dir)
+    odd = F.col("decision_id") % 2 == 1
+    for epoch, part in ((0, ~odd), (1, odd), (1, odd)):
+        stores.append_decisions(log.filter(part), path, epoch)
+    return stores.stored_decisions(spark, path).groupBy(_day("decided_date").alias("decision_date"), "decision").agg(
+        F.count("*").alias("n"))
+
+
 def capture_download_url(spark: SparkSession, sf_dir: str) -> DataFrame:
     return capture.download_urls(_captures(spark, sf_dir), derived.stored_configs(spark, sf_dir))
 
@@ -349,9 +460,7 @@ def stream_collect(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The source table read as a stream, collected into ledgers, and the accepted one read back."""
     schema = derived.table(spark, sf_dir, "events").schema
     source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    posts = derived.raw_events(source).select(
-        "batch_id", F.concat(F.lit("["), F.col("raw"), F.lit("]")).alias("body"), "received_at"
-    )
+    posts = _posts(derived.raw_events(source))
     root = new_run_dir(spark, "collect")
     query = collect.start_collect(posts, root, REGISTRY, checkpoint=f"{root}/progress")
     query.awaitTermination()
@@ -360,6 +469,36 @@ def stream_collect(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def stream_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rejected side of the same epochs: codes, and whether the text kept its contents."""
+    rejected = collect.ledgers_at(spark, _ledgers(spark, sf_dir)).rejected
+    return rejected.select(
+        F.col("batch_id").alias("event_id"), _codes().alias("codes"),
+        F.col("raw").startswith('{"_redacted":true').cast("int").alias("redacted"))
+
+
+def stream_refused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches as they were posted, collected in one micro-batch: those that were refused whole."""
+    root = new_run_dir(spark, "collect")
+    collect.collect_epoch(derived.event_batches(spark, sf_dir), 0, root, REGISTRY)
+    return collect.refused_table(spark, root).select(
+        "batch_id", F.coalesce("n_events", F.lit(-1)).cast("bigint").alias("n_events"), "error")
+
+
+def stream_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per micro-batch: what came in, and what the three tables say became of it, read at one epoch."""
+    root = _ledgers(spark, sf_dir)
+    ledgers = collect.ledgers_at(spark, root)
+    stored = [
+        table.groupBy("epoch").agg(F.count("*").alias(f"stored_{name}"))
+        for name, table in (("accepted", ledgers.accepted), ("rejected", ledgers.rejected))
+    ]
+    counts = collect.epoch_counts(spark, root).filter(F.col("epoch") <= ledgers.epoch)
+    return counts.join(stored[0], "epoch", "left").join(stored[1], "epoch", "left").select(
+        "epoch", "events", "accepted", "rejected", "repeated", "refused_batches",
+        *[F.coalesce(n, F.lit(0)).alias(n) for n in ("stored_accepted", "stored_rejected")])
+
+
 # ---- evidence chains and monitors -------------------------------------------------
 
 def lead_grade(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -386,20 +525,25 @@ def page_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chains.page_lineage(_accepted(spark, sf_dir))
 
 
+def _stored_sites_config(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Effective configuration of the sites that store one; the others have the defaults."""
+    stored = derived.stored_configs(spark, sf_dir)
+    return siteconfig.effective_config(stored, stored)
+
+
 def fire_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rates = monitors.fire_rates(_decisions(spark, sf_dir))
+    rates = monitors.fire_rates(_decisions(spark, sf_dir), _stored_sites_config(spark, sf_dir))
     return rates.withColumn("decision_date", _day("decision_date"))
 
 
 def fire_cooldown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return monitors.cooldown_breaches(_decisions(spark, sf_dir))
+    return monitors.cooldown_breaches(_decisions(spark, sf_dir), _stored_sites_config(spark, sf_dir))
 
 
 def eligibility_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     measured = metrics.daily_metrics(_outcomes(spark, sf_dir), REGISTRY.sites)
-    sites = spark.createDataFrame([(site,) for site in REGISTRY.sites], "site_id string")
-    config = siteconfig.effective_config(sites, derived.stored_configs(spark, sf_dir))
-    return monitors.eligibility(measured, config).withColumn("metric_date", _day("metric_date"))
+    gate = monitors.eligibility(measured, _stored_sites_config(spark, sf_dir))
+    return gate.withColumn("metric_date", _day("metric_date"))
 
 
 def replay_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -483,10 +627,11 @@ _ALL: tuple[Query, ...] = (
     accepted_dedup, accepted_envelope, timestamp_policy, contract_version_counts, batch_admission,
     batch_events_judged, pii_event_hits, pii_documents, pii_conversations, pii_redacted_rows,
     metrics_event_type_counts, metrics_reject_reason_counts, metrics_start_summary_mismatch,
-    metrics_unknown_bucket, metrics_dense_range, metrics_upsert, replay_rows, replay_meta,
+    metrics_unknown_bucket, metrics_dense_range, metrics_upsert, metrics_from_ledgers, metrics_one_day, top_reasons,
+    distinct_over_range, replay_rows, replay_meta, replay_export_meta,
     config_effective, config_bootstrap, config_upsert, capture_validation, capture_enrich,
-    capture_insert_if_absent, capture_download_url, capture_purge, capture_encrypt_roundtrip,
-    decision_log, schema_evolution, stream_collect, lead_grade, form_start_first, session_rollup,
+    capture_insert_if_absent, capture_download_url, capture_purge, capture_after_purge, capture_encrypt_roundtrip,
+    decision_log, decision_store, schema_evolution, stream_collect, stream_rejected, stream_refused, stream_balance, lead_grade, form_start_first, session_rollup,
     session_paths, page_lineage, fire_rate, fire_cooldown, eligibility_gate, replay_reconcile,
     card_lineage_orphans, trust_upsert, strict_contract, decision_audit,
 )

@@ -113,7 +113,7 @@ EVENT_COLUMNS = {
 }
 
 # JSON key -> derived column; order is the order the keys are written in.
-_JSON_KEYS = {
+JSON_KEYS = {
     "event_schema_version": "schema_version",
     "event_contract_version": "contract_version",
     "consent_signal": "consent",
@@ -159,7 +159,7 @@ def _event_json() -> Column:
     members = [
         F.when(~alternative, ts).alias("client_timestamp_ms"),
         F.when(alternative, ts).alias("occurred_at"),
-        *[F.col(column).alias(key) for key, column in _JSON_KEYS.items()],
+        *[F.col(column).alias(key) for key, column in JSON_KEYS.items()],
         F.struct(
             F.col("dwell_bucket"),
             F.col("scroll_bucket").alias("scroll_depth_bucket"),
@@ -243,15 +243,17 @@ DECISION_COLUMNS = {
 
 CONFIG_OVERRIDES = (
     '{"asset_url":"/x/guide.pdf","enabled":true}',
-    '{"bootstrap":{"min_runtime_days":3}}',
-    '{"asset_url":null,"kill_switch":true}',
-    '{"extra_flag":1,"trigger_threshold":0.75}',
-    '{"eligible_page_groups":["blog"],"excluded_paths":["/p"]}',
+    '{"bootstrap":{"min_runtime_days":3},"cooldown_hours":12}',
+    '{"asset_url":null,"daily_budget":3,"dismiss_rate":{"raise_at_pct":40,"window_days":5},"kill_switch":true}',
+    '{"extra_flag":1,"fire_rate":{"auto_disable_pct":12,"auto_disable_window_days":3,"auto_raise_pct":4,'
+    '"auto_raise_window_days":10,"circuit_breaker_pct":25},"trigger_threshold":0.75}',
+    '{"eligible_page_groups":["blog"],"excluded_paths":["/p"],"fire_rate":{"circuit_breaker_pct":30},"max_fire_per_session":0}',
     '{"bootstrap":null}',
 )
 CONFIG_COLUMNS = {
     "site_id": "concat('site_', cast(s_suppkey as varchar(20)))",
-    "config_272": "case when s_suppkey % 2 = 0 then '{}' else '{\"min_eligible_sessions\":50}' end",
+    "config_272": "case when s_suppkey % 2 = 0 then '{}' else "
+    "'{\"analysis_window_days\":7,\"min_eligible_sessions\":50,\"min_valid_event_rate\":0.5}' end",
     "config_750": "case s_suppkey % 6 "
     + " ".join(f"when {i} then '{text}'" for i, text in enumerate(CONFIG_OVERRIDES)) + " end",
     "start_day": "case when s_suppkey % 7 = 3 then null else s_suppkey % 40 end",

@@ -1,10 +1,14 @@
-"""Continuous collection: a stream of batches into the two ledgers.
+"""Continuous collection: a stream of batches into the ledgers.
 
 Every micro-batch is judged once into a staged table and then written as one epoch of each
-ledger, followed by a commit marker. Epoch folders are overwritten on a rerun and readers only
+ledger, followed by a commit marker. Leftovers of an epoch are removed before it is written and readers only
 see committed epochs, so a restart or a lost executor neither doubles nor halves a batch. The
 staged table holds what the ledgers hold, personal data already redacted, and goes after the commit.
 
+Ledgers lie in folders of days, each with one folder per epoch, so a job over some days reads no others. Beside them
+stand the keys of the accepted events, three narrow columns in folders of KEY_BUCKETS hash buckets, so that
+a micro-batch is compared with the buckets that its own keys fall into, and never with the events themselves.
+
 A query numbers its micro-batches from nought. The ledger notes, for the lasting id of each query, the epoch
 at which it joined, so a query with a new or lost checkpoint goes on after the last epoch
 instead of writing over the first ones.
@@ -12,7 +16,10 @@ instead of writing over the first ones.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import json
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -21,78 +28,113 @@ from provenant.operators.dedup import ARRIVAL, LEDGER_KEY, first_writer_wins
 from provenant.operators.ledger import accepted_rows, rejected_rows
 from provenant.operators.ordering import with_ordinal
 from provenant.operators.pii import redacted
+from provenant.operators.sinks import append_epoch
 from provenant.operators.validate import validate_events
 from provenant.schemas import ACCEPTED, REFUSED_BATCHES, REJECTED
 from provenant.session import new_run_dir
 from provenant.sources.batches import admit, split_events
+from provenant.sources.files import exists, listed, remove, write_small
 from provenant.sources.scan import spread
 
 ID_BITS = 40
+DAY = "received_date"
+#: Hash buckets of the stored keys. Fixed for the life of a ledger.
+KEY_BUCKETS = 64
+KEYS = "site_id string, session_id string, client_event_id string, bucket int, epoch bigint"
+#: First and last day, both included.
+Days = tuple[str, str]
 
 
 def committed(spark: SparkSession, root: str) -> int:
     """Highest committed epoch, -1 before the first."""
-    if not _exists(spark, f"{root}/commits"):
-        return -1
-    marks = spark.read.schema("epoch bigint").json(f"{root}/commits/*")
-    return marks.agg(F.coalesce(F.max("epoch"), F.lit(-1))).first()[0]
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path)
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
+    return max((int(name) for name in listed(spark, f"{root}/commits") if name.isdigit()), default=-1)
 
 
 def joined_at(spark: SparkSession, root: str, query: str) -> int:
     """The epoch of a query's first micro-batch; noted when the query is first seen."""
     path = f"{root}/queries/{query}"
-    if not _exists(spark, f"{path}/_SUCCESS"):
+    if not exists(spark, f"{path}/_SUCCESS"):
         first = spark.range(1).select(F.lit(committed(spark, root) + 1).cast("bigint").alias("first"))
         first.coalesce(1).write.mode("overwrite").json(path)
     return spark.read.schema("first bigint").json(path).first()[0]
 
 
-def _table(spark: SparkSession, root: str, name: str, schema: str) -> DataFrame:
-    path = f"{root}/{name}"
-    if not _exists(spark, path) or not _exists(spark, f"{root}/commits"):
-        return spark.createDataFrame([], f"{schema}, epoch bigint, received_date date")
-    reader = spark.read.schema(f"{schema}, epoch bigint, received_date date")
-    return reader.parquet(path).filter(F.col("epoch") <= committed(spark, root))
+@dataclass(frozen=True)
+class Ledgers:
+    """The ledgers as they stood after one epoch: what a reader joins belongs together."""
+
+    epoch: int
+    accepted: DataFrame
+    rejected: DataFrame
+    refused: DataFrame
+
+
+def ledgers_at(spark: SparkSession, root: str, epoch: int | None = None, days: Days | None = None) -> Ledgers:
+    """All ledgers at one committed epoch, the last one by default; only the folders of ``days`` are read."""
+    last = committed(spark, root)
+    epoch = last if epoch is None else min(epoch, last)
+
+    def table(name: str, schema: str) -> DataFrame:
+        return _table(spark, root, name, schema, epoch, days)
 
+    return Ledgers(epoch, table("accepted", ACCEPTED), table("rejected", REJECTED), table("refused", REFUSED_BATCHES))
 
-def accepted_table(spark: SparkSession, root: str) -> DataFrame:
+
+def _table(spark: SparkSession, root: str, name: str, schema: str, epoch: int, days: Days | None) -> DataFrame:
+    path, stored = f"{root}/{name}", f"{schema}, epoch bigint, received_date date"
+    if epoch < 0 or not exists(spark, path):
+        return spark.createDataFrame([], stored)
+    rows = spark.read.schema(stored).parquet(path).filter(F.col("epoch") <= epoch)
+    if days:
+        first, last = (F.lit(day).cast("date") for day in days)
+        rows = rows.filter((F.col("received_date") >= first) & (F.col("received_date") <= last))
+    return rows
+
+
+def accepted_table(spark: SparkSession, root: str, days: Days | None = None) -> DataFrame:
     """Committed accepted events, pruned by ``received_date`` and ``epoch`` folders."""
-    return _table(spark, root, "accepted", ACCEPTED)
+    return ledgers_at(spark, root, days=days).accepted
 
 
-def rejected_table(spark: SparkSession, root: str) -> DataFrame:
-    return _table(spark, root, "rejected", REJECTED)
+def rejected_table(spark: SparkSession, root: str, days: Days | None = None) -> DataFrame:
+    return ledgers_at(spark, root, days=days).rejected
 
 
-def refused_table(spark: SparkSession, root: str) -> DataFrame:
-    return _table(spark, root, "refused", REFUSED_BATCHES)
+def refused_table(spark: SparkSession, root: str, days: Days | None = None) -> DataFrame:
+    return ledgers_at(spark, root, days=days).refused
 
 
-def _write_epoch(df: DataFrame, root: str, name: str, epoch: int) -> None:
-    (
-        df.withColumn("epoch", F.lit(epoch)).write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("epoch", "received_date").parquet(f"{root}/{name}")
-    )
+def epoch_counts(spark: SparkSession, root: str) -> DataFrame:
+    """What every committed epoch took in and where it went; one row per epoch, from the commit markers."""
+    schema = "epoch bigint, events bigint, accepted bigint, rejected bigint, repeated bigint, refused_batches bigint"
+    if not exists(spark, f"{root}/commits"):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).json(f"{root}/commits")
 
 
-def collect_epoch(batches: DataFrame, epoch: int, root: str, registry: Registry) -> None:
-    """Store one micro-batch as ``epoch``; running it again leaves the same tables.
+def key_bucket() -> Column:
+    return F.pmod(F.xxhash64(*LEDGER_KEY), F.lit(KEY_BUCKETS)).cast("int")
 
-    The stored keys are first narrowed to those the micro-batch brings, a semi join in which the
-    staged, known-size side can be broadcast, so the history is scanned but never shuffled for a
-    small micro-batch.
+
+def known_keys(spark: SparkSession, root: str, brought: DataFrame, epoch: int) -> DataFrame:
+    """Those of the ``brought`` keys that epochs before ``epoch`` have stored.
+
+    The driver learns which buckets the keys fall into, KEY_BUCKETS numbers at most; the scan opens these alone. A
+    small set of keys is broadcast by Spark's size check and the stored ones aren't moved; for a large one Spark
+    may filter the stored keys by a bloom filter of the brought ones before they are.
     """
+    keyed = brought.withColumn("bucket", key_bucket())
+    taken = {f"bucket={row['bucket']}" for row in keyed.select("bucket").distinct().collect()}
+    folders = [f"{root}/keys/{name}" for name in listed(spark, f"{root}/keys") if name in taken]
+    if not folders:
+        return brought.limit(0)
+    stored = spark.read.schema(KEYS).option("basePath", f"{root}/keys").parquet(*folders).filter(F.col("epoch") < epoch)
+    on = ["bucket", *LEDGER_KEY]
+    return stored.select(*on).join(keyed, on, "left_semi").select(*LEDGER_KEY)
+
+
+def collect_epoch(batches: DataFrame, epoch: int, root: str, registry: Registry) -> None:
+    """Store one micro-batch as ``epoch``; running it again leaves the same tables."""
     spark = batches.sparkSession
     staged = new_run_dir(spark, f"epoch-{epoch}")
     admission = admit(spread(batches, "batch_id"))
@@ -106,25 +148,43 @@ def collect_epoch(batches: DataFrame, epoch: int, root: str, registry: Registry)
         LEDGER_KEY, ARRIVAL,
     )
     keys = list(LEDGER_KEY)
-    history = accepted_table(spark, root).filter(F.col("epoch") < epoch)
     brought = judged.filter("accepted and client_event_id is not null").select(*keys).distinct()
-    known = history.select(*keys).join(brought, keys, "left_semi")
+    known = known_keys(spark, root, brought, epoch)
     appended = with_ordinal(fresh.join(known, keys, "left_anti"), ARRIVAL, "_n")
     # Ids rise with the epoch and with arrival inside it.
     numbered = appended.withColumn(
         "event_id", F.lit(epoch).cast("bigint") * 2**ID_BITS + F.col("_n")
     ).drop("_n")
-    _write_epoch(numbered, root, "accepted", epoch)
+    append_epoch(numbered, f"{root}/accepted", epoch, DAY)
+    own_keys = numbered.dropna(subset=keys).select(*keys).withColumn("bucket", key_bucket())
+    append_epoch(own_keys.repartition("bucket"), f"{root}/keys", epoch, "bucket")
     # Ranges of arrival time, so that a task writes few dates, as the numbered rows already do.
     rejected = rejected_rows(judged, registry).repartitionByRange(*ARRIVAL)
-    _write_epoch(rejected, root, "rejected", epoch)
+    append_epoch(rejected, f"{root}/rejected", epoch, DAY)
     refused = admission.filter("error is not null").select(
         "batch_id", "error", "n_events", "received_at", F.to_date("received_at").alias("received_date")
     )
-    _write_epoch(refused, root, "refused", epoch)
-    mark = spark.range(1).select(F.lit(epoch).cast("bigint").alias("epoch")).coalesce(1)
-    mark.write.mode("overwrite").json(f"{root}/commits/{epoch}")
-    _remove(spark, staged)
+    append_epoch(refused, f"{root}/refused", epoch, DAY)
+    _commit(spark, root, epoch, judged)
+    remove(spark, staged)
+
+
+def _commit(spark: SparkSession, root: str, epoch: int, judged: DataFrame) -> None:
+    """Make the epoch visible, with the counts by which a reader can check that nothing was lost."""
+    taken = judged.agg(F.count("*").alias("events"), F.count_if(~F.col("accepted")).alias("judged_out")).first()
+    counts = {name: _written(spark, f"{root}/{name}", epoch) for name in ("accepted", "rejected", "refused")}
+    if counts["rejected"] != taken["judged_out"] or counts["accepted"] + counts["rejected"] > taken["events"]:
+        raise RuntimeError(f"epoch {epoch} is not whole: {taken['events']} events, {counts}")
+    write_small(spark, f"{root}/commits/{epoch}", json.dumps({
+        "epoch": epoch, "events": taken["events"], "accepted": counts["accepted"], "rejected": counts["rejected"],
+        "repeated": taken["events"] - counts["accepted"] - counts["rejected"], "refused_batches": counts["refused"],
+    }))
+
+
+def _written(spark: SparkSession, path: str, epoch: int) -> int:
+    folders = [f"{path}/{day}/epoch={epoch}" for day in listed(spark, path)]
+    folders = [folder for folder in folders if exists(spark, folder)]
+    return spark.read.parquet(*folders).count() if folders else 0
 
 
 def start_collect(

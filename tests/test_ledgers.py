@@ -184,7 +184,7 @@ def test_stream_equals_brute_force_for_any_number_of_micro_batches(spark):
             elif key not in seen:
                 seen.add(key)
                 accepted.add((batch_id, pos, e["client_event_id"]))
-    results = {n: _run(spark, posts, n) for n in (1, 3)}
+    results = {n: _run(spark, posts, n) for n in (1, 3, 10)}
     for root in results.values():
         ledgers = _ledgers(spark, root)
         assert ledgers[0] == accepted
