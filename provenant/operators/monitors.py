@@ -201,6 +201,26 @@ def reconcile_runs(runs: DataFrame, exports: DataFrame) -> DataFrame:
     )
 
 
+def differing_distributions(runs: DataFrame, cards: DataFrame, maps: dict[str, str]) -> DataFrame:
+    """(run_id, differing): names of the maps of a run that its evidence cards do not bear out, in order, joined by commas.
+
+    ``maps``: map column of ``runs`` -> column of ``cards`` whose values it counts. Maps are compared key by key in long
+    form; a key that one side lacks counts as nought. Runs without a difference have no row.
+    """
+    noted = [
+        runs.select("run_id", F.lit(name).alias("name"), F.explode(name).alias("key", "n")) for name in maps
+    ]
+    found = [
+        cards.groupBy("run_id", F.lit(name).alias("name"), F.col(column).alias("key")).agg((-F.count("*")).alias("n"))
+        for name, column in maps.items()
+    ]
+    both = noted[0].select("run_id", "name", "key", F.col("n").cast("bigint").alias("n"))
+    for more in (*noted[1:], *found):
+        both = both.unionByName(more.select("run_id", "name", "key", F.col("n").cast("bigint").alias("n")))
+    unequal = both.groupBy("run_id", "name", "key").agg(F.sum("n").alias("n")).filter("n <> 0")
+    return unequal.groupBy("run_id").agg(F.array_join(F.array_sort(F.collect_set("name")), ",").alias("differing"))
+
+
 def lineage_orphans(cards: DataFrame, ledger: DataFrame) -> DataFrame:
     """Event ids that evidence cards cite and the accepted ledger does not hold."""
     cited = cards.select("card_id", F.explode("source_event_ids").alias("event_id"))

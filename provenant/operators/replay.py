@@ -193,15 +193,26 @@ def export_lines(spark: SparkSession, target: str) -> DataFrame:
         F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
 
 
+def _read_digests(spark: SparkSession, target: str) -> DataFrame:
+    """The digests that the parts of an export have now."""
+    lines = export_lines(spark, target).repartition("site_id", "part")
+    return part_digests(lines.sortWithinPartitions("site_id", "part", "block", "at"))
+
+
+def file_digests(spark: SparkSession, target: str, sites: Sequence[str]) -> DataFrame:
+    """(site_id, sha256): what a reader of the files computes for each of the sites, whatever the meta records say."""
+    asked = spark.createDataFrame([(site,) for site in sites], "site_id string")
+    return asked.join(_whole(_read_digests(spark, target)), "site_id", "left").select(
+        "site_id", F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("sha256"))
+
+
 def verify_export(spark: SparkSession, target: str) -> DataFrame:
     """Read every part again: (site_id, part, lines, sha256, status) with status ok, altered, missing or extra.
 
     A part is one file; a file that Spark reads in several splits is put together again by a shuffle that keeps
     its lines in order, with spilling sorts, so a part's size bounds nothing but its own task.
     """
-    found = part_digests(
-        export_lines(spark, target).repartition("site_id", "part").sortWithinPartitions("site_id", "part", "block", "at"))
-    noted, now = _manifest(spark, target).alias("m"), found.alias("f")
+    noted, now = _manifest(spark, target).alias("m"), _read_digests(spark, target).alias("f")
     same = (F.col("m.site_id") == F.col("f.site_id")) & (F.col("m.part") == F.col("f.part"))
     status = (
         F.when(F.col("f.sha256").isNull(), F.lit("missing")).when(F.col("m.sha256").isNull(), F.lit("extra"))

@@ -8,10 +8,10 @@ from __future__ import annotations
 
 from provenant import contract
 from provenant.plans.queries import (
-    EMPTY_WINDOW, EPOCH_DAYS, NOW, ONE_DAY, PURGE_AT, PURGE_WITHIN_DAY, RANGE, REPLAY_WINDOW, STORED_BEFORE, TOP_REASONS,
+    EMPTY_WINDOW, EPOCH_DAYS, NOW, ONE_DAY, PURGE_AT, PURGE_WITHIN_DAY, RANGE, RECONCILED, REPLAY_WINDOW, STORED_BEFORE, TOP_REASONS,
 )
 from provenant.sources.derived import (
-    CAPTURE_COLUMNS, CONFIG_COLUMNS, DECISION_COLUMNS, EVENT_COLUMNS, JSON_KEYS, REGISTRY,
+    CAPTURE_COLUMNS, CONFIG_COLUMNS, DECISION_COLUMNS, EVENT_COLUMNS, JSON_KEYS, NEVER_EXPORTED, REGISTRY,
 )
 
 _MS = "(epoch_us(ts) // 1000)"
@@ -601,20 +601,34 @@ def catalogue_sql() -> dict[str, str]:
         rates as (select *, cast(valid as double) / cast(received as double) as valid_event_rate from sums)
         select site_id, cast(d as varchar) as metric_date, sessions, valid_event_rate,
           cast(sessions >= needed and valid_event_rate >= needed_rate as integer) as eligible from rates"""
+    first, second = RECONCILED
+    within = " ".join(
+        f"when received_ms >= epoch_ms(timestamp '{low} 00:00:00') and received_ms <= epoch_ms(timestamp '{high} 23:59:59') then {n}"
+        for n, (low, high) in enumerate(RECONCILED))
     sql["replay_reconcile"] = f"""{_KEPT},
-        days as (
-          select site_id, received_date as d, count(*) filter (where ok) as n,
-            count(distinct browser_id) filter (where ok) as subjects
-          from (select site_id, received_date, browser_id, true as ok from kept
-                union all select site_id, received_date, browser_id, false from judged where codes <> '') group by 1, 2),
-        checked as (
-          select site_id, cast(d as varchar) as window_start, n, subjects, day(d) as k, day(d) % 5 <> 0 as has_run from days)
-        select site_id, window_start,
-          case when has_run then concat_ws('_', 'run', site_id, window_start) end as run_id,
-          case when not has_run then 'no_run' when n = 0 then 'no_export' when k % 7 = 0 then 'digest_differs'
-               when (k % 4 = 1) <> (k % 8 = 1) then 'totals_differ'
-               when k % 4 = 1 then 'subjects_differ' else 'ok' end as status
-        from checked where has_run or n > 0"""
+        subjects as (
+          select site_id, w, browser_id, case when count(*) >= 3 then 'scoreable' when count(*) = 2 then 'degraded' else 'unscorable' end as status,
+            case when bool_or(event_type = 'generate_lead') then 'fire' when bool_or(event_type = 'cta_click') then 'hold' else 'none' end as action
+          from (select *, case {within} end as w from kept) where w is not null group by 1, 2, 3),
+        grid as (select site_id, w, cast(right(site_id, 1) as integer) as k from {_SITE_ROWS}, (values (0), (1)) as ws(w)),
+        totals as (
+          select g.site_id, g.w, g.k, count(browser_id) as n, count(*) filter (where status = 'degraded') as degraded,
+            count(*) filter (where action = 'fire') as fire, count(*) filter (where action = 'hold') as hold,
+            count(*) filter (where action = 'none') + cast(g.k = 2 and g.w = 1 as integer) as none
+          from grid g left join subjects using (site_id, w) group by 1, 2, 3),
+        stated as (
+          select *, concat_ws('|', case when fire > 0 then 'fire=' || cast(fire as varchar) end, case when hold > 0 then 'hold=' || cast(hold as varchar) end,
+              case when none > 0 then 'none=' || cast(none as varchar) end) as actions,
+            case when w = 0 then '{first[0]}' else '{second[0]}' end as day from totals)
+        select site_id, day || 'T00:00:00Z' as window_start, case when not (k = 3 and w = 1) then concat_ws('_', 'run', site_id, day) end as run_id,
+          case when k = 3 and w = 1 then 'no_run' when k = 0 and w = 0 then 'digest_differs' when k = 1 and w = 0 then 'totals_differ'
+               when k = 2 and w = 0 then 'subjects_differ' else 'ok' end as status,
+          case when k = 2 and w = 1 then 'action_distribution' when k = 4 and w = 1 and degraded > 0 then 'trq_distribution' else '' end as differing,
+          case when not (k = 3 and w = 1) then n + cast(w = 0 and k in (1, 2) as integer) end as subjects_total,
+          case when not (k = 3 and w = 1) then actions end as action_distribution from stated
+        union all
+        select site_id, '{NEVER_EXPORTED}', 'run_' || site_id || '_{NEVER_EXPORTED[:10]}', 'no_export', '', n, ''
+        from stated where k = 4 and w = 0"""
     sql["card_lineage_orphans"] = f"""{_KEPT},
         cited as (select event_id as card_id, unnest([event_id, event_id + 1, event_id + 7]) as cited_id from events)
         select card_id, count(*) as orphans from cited

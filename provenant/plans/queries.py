@@ -29,6 +29,7 @@ STORED_BEFORE = "2024-01-01T12:00:00Z"
 # Days that cut the events into three micro-batches, one that is measured alone, and a window without events.
 EPOCH_DAYS = ("2024-01-11", "2024-01-21")
 ONE_DAY = "2024-01-15"
+RECONCILED = (("2024-01-01", "2024-01-10"), ("2024-01-11", "2024-01-20"))
 EMPTY_WINDOW = ("2019-01-01", "2019-01-02")
 TOP_REASONS = 3
 RANGE = ("2023-12-20", "2024-02-20")
@@ -547,28 +548,26 @@ def eligibility_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def replay_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Runs and exports per site and day, with runs missing, extra or altered on some days."""
-    days = _outcomes(spark, sf_dir).groupBy(
-        "site_id", F.to_date("received_at").alias("window_start")
-    ).agg(
-        F.count(F.when(F.col("accepted"), 1)).alias("event_count"),
-        F.count_distinct(F.when(F.col("accepted"), F.col("browser_id"))).alias("subject_count"),
-    )
-    digest = F.sha2(F.concat_ws("|", "site_id", _day("window_start"), "event_count"), 256)
-    exports = days.filter("event_count > 0").select(
-        "site_id", "window_start", "subject_count", digest.alias("sha256")
-    )
-    day = F.dayofmonth("window_start")
-    runs = days.filter(day % 5 != 0).select(
-        F.concat_ws("_", F.lit("run"), "site_id", _day("window_start")).alias("run_id"),
-        "site_id", "window_start",
-        F.when(day % 7 == 0, F.lit("0")).otherwise(digest).alias("source_sha256"),
-        (F.col("subject_count") + (day % 4 == 1).cast("int")).alias("subjects_total"),
-        F.col("subject_count").alias("subjects_scoreable"),
-        (day % 8 == 1).cast("int").alias("subjects_degraded"),
-        F.lit(0).alias("subjects_unscorable"),
-    )
-    return monitors.reconcile_runs(runs, exports).withColumn("window_start", _day("window_start"))
+    """Records of runs against the meta records and the files of the exports that they claim to have read."""
+    root = _ledgers(spark, sf_dir)
+    exports, lines, files = [], [], []
+    for start, end in RECONCILED:
+        target = new_run_dir(spark, "export")
+        replay.export_replays(collect.accepted_table(spark, root, (start, end)), REGISTRY.sites, start, end, target)
+        window = F.lit(f"{start}T00:00:00Z").alias("window_start")
+        exports.append(replay.export_meta(spark, target))
+        lines.append(replay.export_lines(spark, target).select("site_id", window, "line"))
+        read = replay.file_digests(spark, target, REGISTRY.sites)
+        files.append(read.select("site_id", window, "sha256"))
+    cards = _stored(derived.evidence_cards(lines[0].union(lines[1])), "cards")
+    starts = tuple(f"{start}T00:00:00Z" for start, _ in RECONCILED)
+    runs = _stored(derived.replay_runs(cards, files[0].union(files[1]), starts), "runs")
+    differing = monitors.differing_distributions(runs, cards, derived.RUN_MAPS)
+    stated = runs.select("run_id", F.col("subjects_total").cast("bigint").alias("subjects_total"), _counted("action_distribution"))
+    checked = monitors.reconcile_runs(runs, exports[0].union(exports[1]))
+    return checked.join(differing, "run_id", "left").join(stated, "run_id", "left").select(
+        "site_id", "window_start", "run_id", "status", F.coalesce("differing", F.lit("")).alias("differing"),
+        "subjects_total", "action_distribution")
 
 
 def card_lineage_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:

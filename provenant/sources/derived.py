@@ -317,3 +317,52 @@ def event_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     bare = (F.col("batch_id") % 3 == 2) & (F.floor(F.col("batch_id") / 3) % 3 == 0)
     body = F.when(bare, F.col("items")).otherwise(F.concat(F.lit("["), F.col("items"), F.lit("]")))
     return listed.select("batch_id", body.alias("body"), "received_at")
+
+
+# What stands in for the consumer of replay exports: it scores each subject of a file it has read, and writes a record
+# of its run. Some records are wrong in known ways.
+RUN_MAPS = {"action_distribution": "action", "trq_distribution": "status"}
+NEVER_EXPORTED = "2030-01-01T00:00:00Z"
+
+
+def evidence_cards(lines: DataFrame) -> DataFrame:
+    """One card per run and subject, from the exported lines (site_id, window_start, line)."""
+    member = lambda name: F.get_json_object("line", f"$.{name}")
+    subjects = lines.groupBy("site_id", "window_start", member("anon_browser_id").alias("subject_id")).agg(
+        F.count("*").alias("n"), F.max(member("event_type") == "generate_lead").alias("lead"),
+        F.max(member("event_type") == "cta_click").alias("click"))
+    return subjects.select(
+        "site_id", "window_start", _run_id().alias("run_id"), "subject_id",
+        F.when(F.col("n") >= 3, "scoreable").when(F.col("n") == 2, "degraded").otherwise("unscorable").alias("status"),
+        F.when(F.col("lead"), "fire").when(F.col("click"), "hold").otherwise("none").alias("action"))
+
+
+def _run_id() -> Column:
+    return F.concat_ws("_", F.lit("run"), "site_id", F.left("window_start", F.lit(10)))
+
+
+def replay_runs(cards: DataFrame, files: DataFrame, windows: tuple[str, str]) -> DataFrame:
+    """Run records over ``files`` (site_id, window_start, sha256 as read from the files) and their cards."""
+    def tally(column: str) -> DataFrame:
+        counts = cards.groupBy("run_id", column).agg(F.count("*").alias("n"))
+        return counts.groupBy("run_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(column, "n")))).alias(f"{column}_counts"))
+
+    site, first = F.substring("site_id", -1, 1).cast("int"), F.col("window_start") == windows[0]
+    none = F.create_map().cast("map<string,bigint>")
+    count = lambda status: F.coalesce(F.element_at("status_counts", status), F.lit(0))
+    made = files.withColumn("run_id", _run_id()).join(tally("action"), "run_id", "left").join(tally("status"), "run_id", "left").withColumns({
+        "action_counts": F.coalesce("action_counts", none), "status_counts": F.coalesce("status_counts", none)})
+    scoreable, degraded, unscorable = (count(status) for status in ("scoreable", "degraded", "unscorable"))
+    both_off, total_off = first & (site == 2), first & (site == 1)
+    runs = made.filter(first | (site != 3)).select(
+        "run_id", "site_id", "window_start",
+        F.when(first & (site == 0), F.lit("0")).otherwise(F.col("sha256")).alias("source_sha256"),
+        (scoreable + degraded + unscorable + (both_off | total_off).cast("int")).alias("subjects_total"),
+        (scoreable + both_off.cast("int")).alias("subjects_scoreable"), degraded.alias("subjects_degraded"), unscorable.alias("subjects_unscorable"),
+        F.when(~first & (site == 2), F.map_concat(F.map_filter("action_counts", lambda k, _: k != "none"), F.create_map(
+            F.lit("none"), F.coalesce(F.element_at("action_counts", "none"), F.lit(0)) + 1))).otherwise(F.col("action_counts")).alias("action_distribution"),
+        F.when(~first & (site == 4), F.map_filter("status_counts", lambda k, _: k != "degraded")).otherwise(F.col("status_counts")).alias("trq_distribution"))
+    extra = runs.filter(first & (site == 4)).withColumns({
+        "window_start": F.lit(NEVER_EXPORTED), "run_id": F.concat_ws("_", F.lit("run"), "site_id", F.lit(NEVER_EXPORTED[:10])),
+        "action_distribution": none, "trq_distribution": none})
+    return runs.unionByName(extra)
