@@ -80,6 +80,84 @@ def test_many_silent_elements_without_end_take_linear_time():
     assert len(nodes[-1].text) == 399_999
 
 
+PROSE = "This is a sentence of the story, and it goes on for a while; then it ends here. " * 4
+BLOCK = " ".join(PROSE.split())
+STORY = f"<h1>Headline</h1><p>{PROSE}</p><p>{PROSE}</p>"
+NAV = '<nav><ul><li><a href="/a">One</a><li><a href="/b">Two</a></ul></nav>'
+MENU = '<ul><li><a href="/a">One</a></li><li><a href="/b">Two</a></li><li><a href="/c">Three</a></li></ul>'
+FOOT = "<footer>Copyright</footer>"
+LAYOUTS = {
+    "a body named by its state": f'<body class="post has-comments sidebar-right">{NAV}<article>{STORY}</article>{FOOT}</body>',
+    "an article named by its state": f'{NAV}<article class="post share-enabled">{STORY}</article>{FOOT}',
+    "a wrapper with a part's name": f'{NAV}<div class="sidebar-left menu"><article>{STORY}</article></div>{FOOT}',
+    "a form around the page": f'<form action="/x">{NAV}<article>{STORY}</article>{FOOT}</form>',
+    "a form around a page without names": f'<form action="/x">{MENU}<div>{STORY}</div></form>',
+    "a header in the article": f'<header><h1>Site</h1></header>{NAV}<article><header><h1>Headline</h1></header>{STORY[17:]}</article>{FOOT}',
+    "comments longer than the article": f'{NAV}<article>{STORY}</article><div class="comments"><p>{PROSE * 20}</p></div>{FOOT}',
+    "comments as articles": f'<article>{STORY}<section id="comments"><article class="comment"><p>{PROSE}</p></article></section></article>',
+    "an article named by class": f'{NAV}<div id="content" class="main-content no-sidebar">{STORY}<div class="related-posts">{MENU}</div></div>{FOOT}',
+    "a copyright line without names": f"{MENU}<div>{STORY}</div><p>Copyright 2021 Some Firm</p>",
+    "no wrappers at all": f"{MENU}{STORY}<p>Copyright 2021 Some Firm. All rights reserved.</p>",
+}
+
+
+#: Three distinct pages teach the trees about names, but not enough about pages without any.
+UNNAMED = ("a form around a page without names", "a copyright line without names", "no wrappers at all")
+
+
+@pytest.mark.parametrize(("layout", "how"), [
+    *((layout, "trees") for layout in LAYOUTS), *((layout, "few") for layout in LAYOUTS if layout not in UNNAMED)])
+def test_layouts_keep_the_whole_article_and_nothing_else(request, layout, how):
+    learnt = request.getfixturevalue(how).value
+    nodes = pagetext.parse(f"<html>{LAYOUTS[layout]}</html>")
+    got = pagetext.decode(nodes, pagetext.margins_of(learnt, pagetext.features(nodes)))
+    assert got == ["Headline", BLOCK, BLOCK]
+
+
+def test_links_alone_lists_and_bare_text_of_an_article_stay(trees):
+    inner = f'<h1>Headline</h1><p>{PROSE}</p><p><a href="/q">A link alone</a></p>{MENU}<p>{PROSE}</p>Bare end of it.'
+    want = ["Headline", BLOCK, "A link alone", "One", "Two", "Three", BLOCK, "Bare end of it."]
+    nodes = pagetext.parse(f"<html><body>{NAV}<article>{inner}</article>{FOOT}</body></html>")
+    assert pagetext.decode(nodes, pagetext.margins_of(trees.value, pagetext.features(nodes))) == want
+
+
+@pytest.fixture(scope="module")
+def few(spark):
+    """Learnt from a table of many rows that are copies of three pages."""
+    three = spark.read.parquet(f"{DIR}/pages.parquet").where("page_id < 3").select("html")
+    return pagetext.fit(three.crossJoin(spark.range(4000).select()))
+
+
+def test_a_table_of_copies_teaches_and_the_order_of_rows_does_not(spark, few, trees):
+    pages = spark.read.parquet(f"{DIR}/pages.parquet")
+    got = pagetext.extract(pages.where("page_id < 3"), few, ["page_id"]).collect()
+    want = {r.page_id: _article(r.html) for r in pages.where("page_id < 3").collect()}
+    assert {r.page_id: r.text for r in got} == want and all(want.values())
+    again = pagetext.fit(pages.union(pages).repartition(5)).value
+    assert again.prior == trees.value.prior and again.trees == trees.value.trees
+
+
+def test_pages_without_names_or_without_text_teach_too():
+    unnamed = [f"<html><body>{MENU}<div><h1>Title {n}</h1><p>{PROSE}</p><p>{PROSE}{n}</p></div></body></html>" for n in range(30)]
+    nodes = pagetext.parse(unnamed[0])
+    assert BLOCK in pagetext.decode(nodes, pagetext.margins_of(pagetext.train(unnamed), pagetext.features(nodes)))
+    assert pagetext.train([]) is None and pagetext.train(["<p></p>", ""]) is None
+    assert BLOCK in pagetext.decode(nodes, pagetext.margins_of(None, pagetext.features(nodes)))
+
+
+def test_decoding_takes_nothing_below_what_it_rejects():
+    nodes = pagetext.parse(f"<div><p>one</p>{MENU}</div><div class='x'><p>{PROSE}</p><section><p>{PROSE}</p></section></div>")
+    drawn = np.random.default_rng(3)
+    for _ in range(200):
+        margins = drawn.normal(0, 3, len(nodes))
+        for node, margin in zip(nodes, margins):
+            if margin < -4:
+                below = {id(n) for n in pagetext._below(node)}
+                lowered = np.where([id(n) in below or n is node for n in nodes], -50, margins)
+                kept = pagetext.decode(nodes, lowered)
+                assert len(kept) <= sum(n.tag == "text" and id(n) not in below for n in nodes)
+
+
 def test_decoding_never_contradicts_ancestors():
     nodes = pagetext.parse("<div><p>one</p><ul><li>two</li></ul></div><div><p>three</p></div>")
     number = {n: k for k, n in enumerate(nodes)}
@@ -94,7 +172,9 @@ def test_decoding_never_contradicts_ancestors():
 
         def chain(node):
             return node is None or (best(node) > 0 and chain(node.parent))
-        assert texts == [n.text for n in nodes if n.tag == "text" and chain(n)]
+        # Every run that is worth it is kept, and bare text only where its element is.
+        assert all(n.text in texts for n in nodes if n.tag == "text" and chain(n))
+        assert all(chain(n.parent) for n in nodes if n.tag == "text" and n.text in texts)
 
 
 def test_boosted_trees_learn_an_interaction():
