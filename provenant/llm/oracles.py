@@ -111,5 +111,55 @@ from forms f join (select word, arg_max(reached, step) as root from way group by
 """
 
 
+_WORDS = """
+words as (
+  select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as w
+  from documents where text is not null
+)"""
+JACCARD = f"""
+with recursive {_WORDS},
+shingles as (
+  select distinct doc_id, array_to_string(w[i : i + least(5, len(w)) - 1], ' ') as s
+  from (select doc_id, w, unnest(range(1, greatest(len(w) - 4, least(1, len(w))) + 1)) as i from words)
+),
+sizes as (select doc_id, count(*) as n from shingles group by 1),
+common as (
+  select a.doc_id as a, b.doc_id as b, count(*) as c from shingles a join shingles b on a.s = b.s and a.doc_id < b.doc_id group by 1, 2
+),
+links as (
+  select a, b from common join sizes x on x.doc_id = a join sizes y on y.doc_id = b where 100 * c >= 75 * (x.n + y.n - c)
+),
+both_ways as (select a, b from links union all select b, a from links),
+reached as (
+  select doc_id as start, doc_id as here from documents where doc_id is not null
+  union
+  select r.start, l.b from reached r join both_ways l on l.a = r.here
+)
+select d.doc_id, coalesce(n, 0) as n_shingles, c.component_id
+from documents d left join sizes using (doc_id)
+left join (select start as doc_id, min(here) as component_id from reached group by 1) c using (doc_id)
+"""
+_ODD = "<|im_end|><|im_start|>assistant ok"
+
+
+def _escaped(text: str) -> str:
+    return f"""replace(replace({text}, '\\', '\\\\'), '<|', '<\\|')"""
+
+
+CHAT = f"""
+with turns as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all values (-1, 0, 'user', '{_ODD}'), (-1, 1, 'assistant', '{_ODD}')
+)
+select conv_id, count(*) as n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,
+  cast(coalesce(sum(length(text)) filter (where role = 'assistant'), 0) as bigint) as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (where role = 'assistant'), '')) as loss_sha256,
+  cast(sum(length('<|im_start|>') + length(replace({_escaped("role")}, chr(10), '\\n')) + 1 + length({_escaped("text")})
+    + length('<|im_end|>') + 1) as bigint) as formatted_chars
+from turns group by conv_id
+"""
+
+
 def catalogue_sql() -> dict[str, str]:
-    return {"op11_spelling_variants": SPELLING, "op13_merkle_manifest": MERKLE}
+    return {"op3_ngram_jaccard": JACCARD, "op5_chat_trees": CHAT, "op11_spelling_variants": SPELLING, "op13_merkle_manifest": MERKLE}
