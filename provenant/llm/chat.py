@@ -113,6 +113,8 @@ def write(conversations: DataFrame, folder: str, tokenizer: str) -> None:
     made = made.withColumn("t", _tokens(tokenizer)("role", "text")).select(
         "tree", "way", "depth", "rep", "t.ids", "t.body", "t.tail", (F.col("role") == LEARNED).alias("learned"),
         F.size("t.ids").cast("long").alias("size"))
+    # Ranges come from a sample of the rows: stored first, they are tokenised once.
+    made = staged(made, "chat-tokens")
     placed = staged(_in_order(made, ["tree", "way", "depth"]), "chat-placed")
 
     # Each run lies side by side, from its first node to its last.

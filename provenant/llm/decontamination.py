@@ -169,4 +169,4 @@ def overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The documents without any overlap, with all their columns; rows without an id stay."""
     found = staged(overlaps(docs, items).where("doc_id is not null").select("doc_id").distinct(), "contaminated")
-    return docs.join(found, "doc_id", "left_anti").select(docs.columns)
+    return docs.join(found, "doc_id", "left_anti").select([F.col(f"`{c}`") for c in docs.columns])

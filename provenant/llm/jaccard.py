@@ -303,4 +303,4 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 def representatives(docs: DataFrame) -> DataFrame:
     """One document of each component, the one of the smallest id, with all columns; null ids stay."""
     dropped = staged(linked(docs).where("component_id < doc_id").select("doc_id").distinct(), "dropped")
-    return docs.join(dropped.hint("merge"), "doc_id", "left_anti").select(docs.columns)
+    return docs.join(dropped.hint("merge"), "doc_id", "left_anti").select([F.col(f"`{c}`") for c in docs.columns])

@@ -361,16 +361,19 @@ def score(docs: DataFrame, scorer: Scorer, text_col: str = "text", out_col: str
     """The documents, or their columns ``keep``, with a column ``out_col``, in place of one of that name."""
     columns = docs.columns if keep is None else keep
     kept = [c for c in columns if c != out_col]
+    wanted = [F.col(f"`{c}`") for c in (columns if out_col in columns else [*kept, out_col])]
     if scorer.counts is None:
-        return docs.select(*kept, F.lit(0.0).alias(out_col)).select(*(columns if out_col in columns else [*kept, out_col]))
+        return docs.select(*[F.col(f"`{c}`") for c in kept], F.lit(0.0).alias(out_col)).select(wanted)
     centre, scale, weights = scorer.logistic
 
     def finish(features: list[list[float]]) -> pa.Array:
         x = np.array(features, np.float64).reshape(len(features), -1)
         return pa.array(1 / (1 + np.exp(-np.clip(((x - centre) / scale) @ weights[:-1] + weights[-1], -30, 30))), pa.float64())
 
-    scored = featured(docs, scorer.counts, text_col, kept, out_col, T.DoubleType(), finish)
-    return scored.select(*(columns if out_col in columns else [*kept, out_col]))
+    # Kept columns travel under numbers, so that no name can clash with those of the job.
+    numbered = docs.select(F.col(f"`{text_col}`").alias("text"), *[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(kept)])
+    scored = featured(numbered, scorer.counts, "text", [f"c{k}" for k in range(len(kept))], "out", T.DoubleType(), finish)
+    return scored.toDF(*kept, out_col).select(wanted)
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, held_out: int = 0) -> DataFrame:

@@ -1,6 +1,7 @@
 import hashlib
 
 import sentencepiece
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from provenant.llm import toxicity
@@ -43,3 +44,16 @@ def test_every_stage_equals_plain_code(spark):
     assert set(last) == set(clean)
     assert all(last[i].ids_sha256 == hashlib.sha256(",".join(map(str, sp.encode(r.text))).encode()).hexdigest()
                for i, r in clean.items())
+
+
+def test_stages_keep_columns_with_odd_names(spark):
+    docs = table(spark, DIR, "documents").limit(60)
+    odd = ["_toxicity", "_numbers", "_text", "a.b", "id", "component_id", "gone", "sig"]
+    wide = docs.select("*", *[F.lit(k).alias(name) for k, name in enumerate(odd)])
+    want = {r.doc_id for r in docs.collect()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, wide, DIR)
+        assert out.columns == wide.columns, name
+        rows = out.collect()
+        assert rows and {r.doc_id for r in rows} <= want
+        assert all([r[c] for c in odd] == list(range(len(odd))) for r in rows), name
