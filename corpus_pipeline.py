@@ -15,14 +15,15 @@ from provenant.llm.common import prepared, staged, table, tokenizer_file
 from provenant.llm.queries import PIECE_MODEL
 
 REJECTED_FROM = 0.5
-SCORE = "_toxicity"
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prepared(spark)
     scorer = toxicity.fit(toxicity.training_rows(docs, table(spark, sf_dir, "labels")))
-    scored = toxicity.score(docs, scorer, out_col=SCORE)
-    return scored.where(F.col(SCORE) < REJECTED_FROM).select(docs.columns)
+    # A name that no column of the documents has.
+    score = "_toxicity" + "_" * max(map(len, docs.columns))
+    scored = toxicity.score(docs, scorer, out_col=score)
+    return scored.where(F.col(score) < REJECTED_FROM).select([F.col(f"`{c}`") for c in docs.columns])
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
