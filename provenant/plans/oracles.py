@@ -359,6 +359,11 @@ def catalogue_sql() -> dict[str, str]:
                   row_number() over (partition by batch_id order by event_id) - 1 as pos
                 from placed p join batches b using (batch_id) where not bare and n <= 50),
         {_JUDGE} select batch_id, pos, codes from judged"""
+    sql["odd_elements_judged"] = f"""
+        select event_id, case when event_id % 8 < 4 then 'INVALID_EVENT_OBJECT' else
+            'UNKNOWN_EVENT_TYPE|UNKNOWN_SCHEMA_VERSION|CONSENT_NOT_GRANTED|UNKNOWN_SITE_ID|MISSING_SESSION_ID|MISSING_BROWSER_ID'
+            || case when event_id % 8 < 6 then '|INVALID_TIMESTAMP' else '' end end as codes,
+          case when event_id % 8 > 5 then {_MS} end as client_timestamp_ms from events"""
     sql["pii_event_hits"] = f"""{_JUDGED}
         select split_part(pii_code, ':', 1) as kind, split_part(pii_code, ':', 2) as path, count(*) as n
         from judged where pii_code is not null group by 1, 2"""

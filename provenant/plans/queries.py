@@ -171,6 +171,12 @@ def batch_events_judged(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def odd_elements_judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on elements that are no events: bare values fail at once, arrays and objects without members rule by rule."""
+    events = batch_source.split_events(batch_source.admit(derived.odd_batches(spark, sf_dir)))
+    return validate_events(events, REGISTRY).select(F.col("batch_id").alias("event_id"), _codes().alias("codes"), "client_timestamp_ms")
+
+
 # ---- personal data ----------------------------------------------------------------
 
 def pii_event_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -624,7 +630,7 @@ def decision_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ALL: tuple[Query, ...] = (
     truth_metrics_daily, collect_outcome_by_type, collect_reason_counts, collect_reason_array,
     accepted_dedup, accepted_envelope, timestamp_policy, contract_version_counts, batch_admission,
-    batch_events_judged, pii_event_hits, pii_documents, pii_conversations, pii_redacted_rows,
+    batch_events_judged, odd_elements_judged, pii_event_hits, pii_documents, pii_conversations, pii_redacted_rows,
     metrics_event_type_counts, metrics_reject_reason_counts, metrics_start_summary_mismatch,
     metrics_unknown_bucket, metrics_dense_range, metrics_upsert, metrics_from_ledgers, metrics_one_day, top_reasons,
     distinct_over_range, replay_rows, replay_meta, replay_export_meta,

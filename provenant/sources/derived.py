@@ -319,6 +319,23 @@ def event_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listed.select("batch_id", body.alias("body"), "received_at")
 
 
+ODD_ELEMENT = (
+    "case event_id % 8 when 0 then cast(event_id as varchar(20)) when 1 then '\"text\"' when 2 then 'null' when 3 then 'true' "
+    "when 4 then '[{{\"event_type\":\"page_view\"}}]' when 5 then '{{}}' "
+    "when 6 then concat('{{\"timestamp\":', cast({ms} as varchar(20)), '}}') "
+    "else concat('{{\"occurred_at\":\"soon\",\"timestamp\":', cast({ms} as varchar(20)), '}}') end"
+)
+
+
+def odd_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One batch per source event, whose only element is no event: a bare value, an array, or an object with a clock alone."""
+    source = spread(table(spark, sf_dir, "events").select("event_id", "ts"), "event_id")
+    element = F.expr(ODD_ELEMENT.format(ms=SPARK_MS))
+    return source.select(
+        F.col("event_id").alias("batch_id"), F.concat(F.lit("["), element, F.lit("]")).alias("body"),
+        F.col("ts").cast("timestamp").alias("received_at"))
+
+
 # What stands in for the consumer of replay exports: it scores each subject of a file it has read, and writes a record
 # of its run. Some records are wrong in known ways.
 RUN_MAPS = {"action_distribution": "action", "trq_distribution": "status"}
