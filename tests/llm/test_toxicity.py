@@ -107,3 +107,13 @@ def test_query_over_the_given_tables(spark):
     assert len(got) == 1000 and got["held_out"].sum() == sum(zlib.crc32(str(i).encode()) % 5 == 0 for i in got["doc_id"])
     both = got[got["held_out"]].merge(labels, on="doc_id")
     assert (both["predicted"] == both["toxic"]).mean() > 0.85
+
+
+def test_toxic_rows_of_the_given_tables_are_found(spark):
+    """Predicting no toxic row at all would be right for nine rows in ten, so both kinds of error are counted."""
+    folder = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{folder}/labels.parquet").toPandas()
+    got = op8_toxicity(spark, folder).where("held_out").toPandas().merge(labels, on="doc_id")
+    toxic, called = got["toxic"] == 1, got["predicted"] == 1
+    assert toxic.sum() > 50
+    assert (toxic & called).sum() / toxic.sum() > 0.6 and (toxic & called).sum() / called.sum() > 0.8
