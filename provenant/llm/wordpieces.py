@@ -162,7 +162,7 @@ class Merges:
         if not len(self.keys) or not self.sound:
             return [self._exact(w) for w in words], len(words)
         proposed = [self.greedy(w) for w in words]
-        sizes = np.array([len(p) if p else 0 for p in proposed])
+        sizes = np.array([len(p) if p else 0 for p in proposed], np.int64)
         flat = np.fromiter((i for p in proposed if p for i in p), np.int64, int(sizes.sum()))
         owner = np.repeat(np.arange(len(words)), sizes)
         fails = np.array([p is None for p in proposed], bool)
@@ -242,6 +242,8 @@ class Encoder:
                 new.append(word)
             else:
                 self.young[word] = ids
+        if not new:
+            return
         written = [w.encode().decode("latin-1").translate(_LETTER_OF) for w in new]
         encoded, merged = self.merges.encode(written)
         self.learnt, self.merged = self.learnt + len(new), self.merged + merged

@@ -82,9 +82,16 @@ def test_memory_turns_over(library, monkeypatch):
             assert ids.tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+def test_a_batch_without_new_words():
+    bpe = wordpieces.Encoder(MODEL)
+    first, again, none = bpe.encode(["known words"]), bpe.encode(["known words", None]), bpe.encode([None, ""])
+    assert first[0].tolist() == again[0].tolist() and [len(x) for x in (again[1], *none)] == [0, 0, 0]
+    assert bpe.encode([]) == [] and bpe.merges.encode([]) == ([], 0)
+
+
 def test_rows_with_nulls_repeats_clashing_names_and_no_rows(spark, library):
     rows = [(i, t, "x") for i, t in enumerate(TEXTS)] + [(3, TEXTS[3], "x"), (None, "a b", "x"), (99, None, None)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, `n_tokens.x` string, ids_sha256 string".replace(", ids_sha256 string", ""))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `n_tokens.x` string")
     want = []
     for i, text, _ in rows:
         ids = library.encode(text or "", add_special_tokens=False).ids
