@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from provenant.contract import Registry
-from provenant.sources.scan import spread
+from provenant.sources.scan import dealt
 
 REGISTRY = Registry(sites=("site_0", "site_1", "site_2", "site_3", "site_4"))
 
@@ -192,7 +192,7 @@ def raw_events(events: DataFrame) -> DataFrame:
 
 def web_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = table(spark, sf_dir, "events").drop("props")
-    return raw_events(spread(source, "event_id"))
+    return raw_events(dealt(source, "event_id"))
 
 
 CAPTURE_COLUMNS = {
@@ -276,7 +276,7 @@ def capture_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def decision_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(decision_id, body, decided_at): one JSON decision per source event."""
-    flat = _flat(spread(table(spark, sf_dir, "events").drop("props", "value"), "event_id"), DECISION_COLUMNS)
+    flat = _flat(dealt(table(spark, sf_dir, "events").drop("props", "value"), "event_id"), DECISION_COLUMNS)
     members = [n for n in DECISION_COLUMNS if n not in ("decision_id", "decided_ms")]
     return flat.select(
         "decision_id", F.to_json(F.struct(*members)).alias("body"),
@@ -329,7 +329,7 @@ ODD_ELEMENT = (
 
 def odd_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One batch per source event, whose only element is no event: a bare value, an array, or an object with a clock alone."""
-    source = spread(table(spark, sf_dir, "events").select("event_id", "ts"), "event_id")
+    source = dealt(table(spark, sf_dir, "events").select("event_id", "ts"), "event_id")
     element = F.expr(ODD_ELEMENT.format(ms=SPARK_MS))
     return source.select(
         F.col("event_id").alias("batch_id"), F.concat(F.lit("["), element, F.lit("]")).alias("body"),

@@ -12,6 +12,7 @@ from provenant.operators import metrics
 from provenant.operators.dedup import evolve, first_writer_wins, insert_if_absent, upsert_latest
 from provenant.operators.ordering import with_ordinal
 from provenant.session import new_run_dir
+from provenant.sources import scan
 from provenant.sources.batches import BATCH_SCHEMA, admit, split_events, stream_batches
 from provenant.streaming import collect
 
@@ -222,3 +223,11 @@ def test_no_file_of_the_collector_holds_the_personal_data(spark):
         path = files.next().getPath().toUri().getPath()
         with open(path, "rb") as f:
             assert b"someone.here@mailbox" not in f.read(), path
+
+
+def test_rows_of_one_group_are_dealt_over_tasks(spark, monkeypatch):
+    path = new_run_dir(spark, "group")
+    spark.range(2000).coalesce(1).write.parquet(path)
+    monkeypatch.setattr(scan, "ROWS_PER_TASK", 100)
+    sizes = [r["count"] for r in scan.dealt(spark.read.parquet(path), "id").groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 2000 and len(sizes) == 20 and max(sizes) < 200
