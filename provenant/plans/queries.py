@@ -18,7 +18,7 @@ from provenant.sources import batches as batch_source
 from provenant.sources import derived
 from provenant.sources.derived import REGISTRY
 from provenant.sources.files import exists
-from provenant.sources.scan import spread
+from provenant.sources.scan import spread, tasks_for
 from provenant.streaming import collect, daily
 
 NOW = "2024-02-10T00:00:00Z"
@@ -467,7 +467,9 @@ def stream_collect(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The source table read as a stream, collected into ledgers, and the accepted one read back."""
     schema = derived.table(spark, sf_dir, "events").schema
     source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    posts = _posts(derived.raw_events(source))
+    # The tasks of a file stream are the splits of its files; parsing needs far more of them.
+    tasks = tasks_for(derived.table(spark, sf_dir, "events"))
+    posts = _posts(derived.raw_events(source.drop("props").repartition(tasks, "event_id")))
     root = new_run_dir(spark, "collect")
     query = collect.start_collect(posts, root, REGISTRY, checkpoint=f"{root}/progress")
     query.awaitTermination()

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamReader
 
 from provenant import contract
 from provenant.functions.jsonsplit import split_beyond
-from provenant.functions.jsontypes import once, tag
+from provenant.functions.jsontypes import once
 
 REFUSED = "INVALID_BATCH_FORMAT"
 BATCH_SCHEMA = "batch_id bigint, body string, received_at timestamp"
@@ -42,22 +42,34 @@ def admit(batches: DataFrame) -> DataFrame:
     return parsed.withColumn("error", F.when(refused, F.lit(REFUSED)))
 
 
+def _nested(value: Column) -> Column:
+    """True for an object or array. Reading one member, or none, spares spelling out the type of the whole element."""
+    opened = (F.try_variant_get(value, "$", kind) for kind in ("struct<event_type:variant>", "array<variant>"))
+    return next(opened).isNotNull() | next(opened).isNotNull()
+
+
 def split_events(admitted: DataFrame) -> DataFrame:
-    """One row per event of the admitted batches, in order, all with the batch's receipt time.
+    """One row per event of the admitted batches, in order, all with the batch's receipt time; see :func:`split_batches`."""
+    return split_batches(admitted).filter("error is null").drop("error", "n_events")
+
+
+def split_batches(admitted: DataFrame) -> DataFrame:
+    """The events of the admitted batches, and one row without ``pos`` and ``raw`` for each refused batch.
 
-    ``raw`` keeps the members of an object in the order they were sent, which decides the first
+    Both come out of one parse of the bodies. ``raw`` keeps the members of an object in the order they were sent, which decides the first
     personal-data hit. A string element needs its quotes back to remain JSON.
     """
     texts = F.from_json("body", "array<string>")
     beyond = F.expr("transform(beyond, t -> named_struct('value', cast(null as variant), 'text', t))")
+    listed = F.coalesce(F.arrays_zip(F.col("elements").alias("value"), texts.alias("text")), beyond)
     return (
-        admitted.filter("error is null")
-        .select("batch_id", "received_at", F.posexplode(F.coalesce(F.arrays_zip(
-            F.col("elements").alias("value"), texts.alias("text")
-        ), beyond)).alias("pos", "element"))
+        admitted.select("batch_id", "received_at", "error", "n_events", F.posexplode_outer(
+            F.when(F.col("error").isNull(), listed)).alias("pos", "element"))
+        # An admitted batch may hold no event.
+        .filter("pos is not null or error is not null")
         .select(
-            "batch_id", "pos", "received_at",
-            F.when(F.col("element.value").isNull() | tag(F.col("element.value")).rlike("^(OBJECT|ARRAY)"), F.col("element.text"))
+            "batch_id", "pos", "received_at", "error", "n_events",
+            F.when(F.col("element.value").isNull() | _nested(F.col("element.value")), F.col("element.text"))
             .otherwise(F.to_json("element.value")).alias("raw"),
         )
     )

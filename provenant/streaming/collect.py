@@ -32,9 +32,8 @@ from provenant.operators.sinks import append_epoch
 from provenant.operators.validate import validate_events
 from provenant.schemas import ACCEPTED, REFUSED_BATCHES, REJECTED
 from provenant.session import new_run_dir
-from provenant.sources.batches import admit, split_events
+from provenant.sources.batches import admit, split_batches
 from provenant.sources.files import exists, listed, remove, write_small
-from provenant.sources.scan import spread
 
 ID_BITS = 40
 DAY = "received_date"
@@ -134,21 +133,27 @@ def known_keys(spark: SparkSession, root: str, brought: DataFrame, epoch: int) -
 
 
 def collect_epoch(batches: DataFrame, epoch: int, root: str, registry: Registry) -> None:
-    """Store one micro-batch as ``epoch``; running it again leaves the same tables."""
+    """Store one micro-batch as ``epoch``; running it again leaves the same tables.
+
+    The batches are judged in the tasks in which they arrive: a caller whose source has few splits deals them out.
+    """
     spark = batches.sparkSession
     staged = new_run_dir(spark, f"epoch-{epoch}")
-    admission = admit(spread(batches, "batch_id"))
-    judged = validate_events(split_events(admission), registry)
+    # One pass over the batches for all three ledgers: a body is parsed once, whatever becomes of it.
+    outcome = F.when(F.col("error").isNotNull(), "refused").when(F.col("accepted"), "accepted").otherwise("rejected")
     stored = F.when(F.col("pii_rejected"), redacted(F.col("raw"))).otherwise(F.col("raw"))
-    judged.withColumn("raw", stored).write.partitionBy("accepted").parquet(f"{staged}/judged")
-    judged = spark.read.schema(judged.schema).parquet(f"{staged}/judged")
+    judged = validate_events(split_batches(admit(batches)), registry).withColumns({"raw": stored, "outcome": outcome})
+    judged.write.partitionBy("outcome").parquet(f"{staged}/judged")
+    taken = spark.read.schema(judged.schema).parquet(f"{staged}/judged")
+    judged, batches_refused = taken.filter("outcome <> 'refused'"), taken.filter("outcome = 'refused'")
+    passed, failed = taken.filter("outcome = 'accepted'"), taken.filter("outcome = 'rejected'")
 
     fresh = first_writer_wins(
-        accepted_rows(judged.withColumn("event_id", F.lit(None).cast("bigint")), registry),
+        accepted_rows(passed.withColumn("event_id", F.lit(None).cast("bigint")), registry),
         LEDGER_KEY, ARRIVAL,
     )
     keys = list(LEDGER_KEY)
-    brought = judged.filter("accepted and client_event_id is not null").select(*keys).distinct()
+    brought = passed.filter("client_event_id is not null").select(*keys).distinct()
     known = known_keys(spark, root, brought, epoch)
     appended = with_ordinal(fresh.join(known, keys, "left_anti"), ARRIVAL, "_n")
     # Ids rise with the epoch and with arrival inside it.
@@ -159,9 +164,9 @@ def collect_epoch(batches: DataFrame, epoch: int, root: str, registry: Registry)
     own_keys = numbered.dropna(subset=keys).select(*keys).withColumn("bucket", key_bucket())
     append_epoch(own_keys.repartition("bucket"), f"{root}/keys", epoch, "bucket")
     # Ranges of arrival time, so that a task writes few dates, as the numbered rows already do.
-    rejected = rejected_rows(judged, registry).repartitionByRange(*ARRIVAL)
+    rejected = rejected_rows(failed, registry).repartitionByRange(*ARRIVAL)
     append_epoch(rejected, f"{root}/rejected", epoch, DAY)
-    refused = admission.filter("error is not null").select(
+    refused = batches_refused.select(
         "batch_id", "error", "n_events", "received_at", F.to_date("received_at").alias("received_date")
     )
     append_epoch(refused, f"{root}/refused", epoch, DAY)

@@ -225,6 +225,25 @@ def test_no_file_of_the_collector_holds_the_personal_data(spark):
             assert b"someone.here@mailbox" not in f.read(), path
 
 
+def test_an_epoch_reads_its_batches_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(parts):
+        for part in parts:
+            read.add(part.num_rows)
+            yield part
+
+    one = json.dumps(event("page_view"))
+    bodies = [f"[{one}]", "{}", "[]", f"[{','.join([one] * 51)}]", f'[{one}, "a", 7]']
+    root = new_run_dir(spark, "once")
+    collect.collect_epoch(_batches(spark, bodies).mapInArrow(counted, BATCH_SCHEMA), 0, root, REGISTRY)
+    assert read.value == len(bodies)
+    accepted, rejected, refused = _ledgers(spark, root)
+    assert {(b, p) for b, p, _ in accepted} == {(0, 0)} and {(b, p) for b, p, _ in rejected} == {(4, 1), (4, 2)}
+    assert {(r.batch_id, r.n_events) for r in collect.refused_table(spark, root).collect()} == {(1, None), (3, 51)}
+    assert len(refused) == 2
+
+
 def test_rows_of_one_group_are_dealt_over_tasks(spark, monkeypatch):
     path = new_run_dir(spark, "group")
     spark.range(2000).coalesce(1).write.parquet(path)
