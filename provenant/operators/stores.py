@@ -34,7 +34,8 @@ def append_captures(captures: DataFrame, path: str, epoch: int) -> None:
     """
     spark = captures.sparkSession
     added = new_captures(stored_captures(spark, path, epoch), captures)
-    append_epoch(added.withColumn(DUE, F.to_date("purge_after")), path, epoch, DUE)
+    # A day's rows meet in few tasks, else every task would write a file for every day; Spark splits a busy day.
+    append_epoch(added.withColumn(DUE, F.to_date("purge_after")).hint("rebalance", DUE), path, epoch, DUE)
 
 
 def purge_captures(spark: SparkSession, path: str, now: str) -> int:

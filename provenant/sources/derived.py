@@ -266,7 +266,7 @@ def _flat(df: DataFrame, columns: dict[str, str]) -> DataFrame:
 
 def capture_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(capture_id, body, captured_at): one JSON capture per customer."""
-    flat = _flat(table(spark, sf_dir, "customer"), CAPTURE_COLUMNS)
+    flat = _flat(dealt(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey"), CAPTURE_COLUMNS)
     members = [n for n in CAPTURE_COLUMNS if n not in ("capture_id", "captured_ms")]
     return flat.select(
         "capture_id", F.to_json(F.struct(*members)).alias("body"),
@@ -293,7 +293,7 @@ def stored_configs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def asked_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One site per customer; most have no stored configuration."""
-    return table(spark, sf_dir, "customer").select(
+    return dealt(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey").select(
         F.concat(F.lit("site_"), F.col("c_custkey").cast("string")).alias("site_id")
     )
 

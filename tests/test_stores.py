@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from events import NOW, NOW_MS, REGISTRY, event
 from provenant.operators import metrics, monitors, replay, sketches, stores
 from provenant.session import new_run_dir
+from provenant.sources import derived, scan
 from provenant.sources.batches import BATCH_SCHEMA
 from provenant.sources.files import listed, remove
 from provenant.streaming import collect, daily
@@ -276,3 +277,23 @@ def test_trust_rows_have_every_default(spark):
     row = monitors.trust_rows(spark.createDataFrame([("x", None)], "subject_id string, trust_score int"), _computed()).first()
     assert (row.domain, row.trust_score, row.trust_band, row.probation_state, row.recovery_state) == ("", 50, "standard", "none", "none")
     assert row.reason_codes == [] and row.last_decision_at is None and row.updated_at is not None
+
+
+def test_a_day_of_captures_is_written_by_few_tasks(spark):
+    path, days = new_run_dir(spark, "captures"), range(1, 31)
+    rows = _captures(spark, [(100 * day + n, _at(day, n)) for day in days for n in range(8)]).repartition(8)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        stores.append_captures(rows, path, 0)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    stored = stores.stored_captures(spark, path)
+    assert stored.count() == 240
+    assert len(stored.inputFiles()) == len(days)
+
+
+def test_sites_and_captures_are_dealt_by_rows(spark, monkeypatch):
+    monkeypatch.setattr(scan, "ROWS_PER_TASK", 10)
+    for made in (derived.asked_sites, derived.capture_bodies):
+        rows = made(spark, "/root/testdata/sf0.001")
+        assert rows.rdd.getNumPartitions() == -(-rows.count() // 10) > 8
