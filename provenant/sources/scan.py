@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 
-#: Rows that one task parses and judges: about ten seconds of work.
-ROWS_PER_TASK = 50_000
+#: Rows that one task parses and judges: a second or two of work.
+ROWS_PER_TASK = 10_000
 
 
 def tasks_for(df: DataFrame) -> int:

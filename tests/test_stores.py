@@ -297,3 +297,9 @@ def test_sites_and_captures_are_dealt_by_rows(spark, monkeypatch):
     for made in (derived.asked_sites, derived.capture_bodies):
         rows = made(spark, "/root/testdata/sf0.001")
         assert rows.rdd.getNumPartitions() == -(-rows.count() // 10) > 8
+
+
+def test_a_task_judges_few_rows_of_a_large_table(spark):
+    rows = scan.dealt(spark.range(400_000).withColumnRenamed("id", "event_id"), "event_id")
+    sizes = rows.groupBy(F.spark_partition_id()).count().agg(F.max("count"), F.sum("count")).first()
+    assert sizes[0] < 12_000 and sizes[1] == 400_000
