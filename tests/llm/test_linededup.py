@@ -53,6 +53,23 @@ def test_texts_equal_brute_force(spark):
                    if r.text is not None and r.n_removed < r.n_lines)
 
 
+def test_short_and_long_lists(spark, monkeypatch):
+    rows = _rows(4)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for few in (1, 4, 10_000):
+        monkeypatch.setattr(d, "SHORT", few)
+        got = {r.id: r.text for r in d.deduplicated(docs).collect()}
+        assert [got[i] for i, _ in rows] == _brute(rows)
+
+
+def test_rare_words_come_first_in_a_large_vocabulary(spark):
+    # Every line has a word of its own beside words that many share: prefixes stay off the lists of those.
+    rows = [(i, " ".join([f"own{i}", f"few{i // 2}", *(f"w{(i * k) % 40_000}" for k in range(3, 9)), "often"])) for i in range(20_000)]
+    docs = d._versions(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text")
+    sets = d._sets(docs).select(F.explode("prefix").alias("word")).groupBy("word").count()
+    assert sets.agg(F.max("count")).first()[0] < 40
+
+
 def test_common_lines_null_ids_and_repeated_rows(spark):
     rows = [(i, f"the common line of all\nown words number {i} here {i * 7}") for i in range(1500)]
     rows += [(None, "the common line of all\nno id here"), (3, "another text of id three"), (3, "another text of id three")]
