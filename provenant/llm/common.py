@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 import numpy as np
@@ -9,6 +13,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from provenant.session import configure, new_run_dir
+from provenant.sources.files import remove
+
+#: With this setting Spark drops a query's shuffle files when the query ends, not when the driver collects garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_folders: ContextVar[tuple[list[str], ...]] = ContextVar("folders", default=())
 
 
 def prepared(spark: SparkSession) -> SparkSession:
@@ -24,11 +33,48 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepared(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """The rows as a table in the shared folder: computed once, and safe when executors go."""
-    path = new_run_dir(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables staged inside are deleted at the end, but for those staged with ``keep``, which are left to the scope around."""
+    scopes = _folders.get()
+    mark = _folders.set((*scopes, []))
+    try:
+        yield
+    finally:
+        for path in _folders.get()[-1]:
+            remove(spark, path)
+        _folders.reset(mark)
+
+
+def staged(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
+    """The rows as a table in the shared folder: computed once, and safe when executors go.
+
+    The shuffle files of the computation go with its end.
+    """
+    spark = df.sparkSession
+    path = new_run_dir(spark, label)
+    if scopes := _folders.get()[: -1 if keep else None]:
+        scopes[-1].append(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def dealt(df: DataFrame, label: str, key: str) -> DataFrame:
+    """Like ``staged``, in buckets by ``key``: what gathers the rows by it later does not move them once more."""
+    spark = df.sparkSession
+    path, name = new_run_dir(spark, label), f"dealt_{uuid.uuid4().hex}"
+    if scopes := _folders.get():
+        scopes[-1].append(path)
+    writer = df.write.option("compression", "zstd").option("path", path)
+    writer.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).saveAsTable(name)
+    rows = spark.table(name)
+    spark.sql(f"drop table {name}")  # of the catalogue: the files stay
+    return rows
 
 
 def tokenizer_file(name: str) -> str:

@@ -28,21 +28,23 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from provenant.llm.common import fold_of, staged
+from provenant.llm.common import dealt, fold_of, scratch, staged
 
 ORDER = 5
 SPANS = (1, 3, 12)
 #: Characters of text after which a chunk is closed.
-CHUNK_CHARS = 16_000_000
+CHUNK_CHARS = 32_000_000
 CALIBRATION_ROWS = 20_000
 REMEMBERED = 200_000
 FLOOR = 1.0 / 2**16
@@ -241,30 +243,43 @@ def leads_of(counts: DataFrame, grams: DataFrame) -> DataFrame:
     return rows.select("gram", F.when(F.expr("toxic_total + ordinary_total > 0"), toxic - ordinary).otherwise(0.0).alias("lead"))
 
 
-PACKED = "chunk long, rows binary, words binary, grams array<string>"
+PACKED = "chunk long, rows binary, numbers binary, words binary, grams array<string>"
+
+
+def _squeezed(numbers: np.ndarray) -> bytes:
+    """Numbers of words by planes, first all lowest bytes: high planes are almost constant and take next to no room."""
+    planes = np.ascontiguousarray(numbers.astype("<i4").view(np.uint8).reshape(-1, 4).T)
+    return b"" if not len(numbers) else pa.Codec("zstd", 6).compress(planes.tobytes(), asbytes=True)
+
+
+def _unsqueezed(packed: bytes, n: int) -> np.ndarray:
+    if not n:
+        return np.zeros(0, np.int32)
+    planes = np.frombuffer(pa.Codec("zstd").decompress(packed, 4 * n, asbytes=True), np.uint8).reshape(4, n)
+    return np.ascontiguousarray(planes.T).view("<i4").ravel()
 
 
 def _pack(docs: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
     """Chunks of documents: batches of rows with their texts as numbers of words, then the chunk's words and sequences."""
     def task(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("chunk", pa.int64()), ("rows", pa.binary()), ("words", pa.binary()), ("grams", pa.list_(pa.string()))])
+        schema = pa.schema([("chunk", pa.int64()), ("rows", pa.binary()), ("numbers", pa.binary()), ("words", pa.binary()), ("grams", pa.list_(pa.string()))])
         chunk, size, numbers = TaskContext.get().partitionId() << 32, 0, {}
 
         def closed() -> pa.RecordBatch:
             grams = {g for word in numbers for g in _grams(word)}
             words = zlib.compress("\n".join(numbers).encode(), 1)
-            return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((chunk, None, words, list(grams)), schema)], schema=schema)
+            return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((chunk, None, None, words, list(grams)), schema)], schema=schema)
 
         for frame in frames:
             texts = frame.column(0).to_pylist()
-            rows = pa.RecordBatch.from_arrays([*frame.columns[1:], pa.array(
-                [[numbers.setdefault(w, len(numbers)) for w in _words(t)] for t in texts], pa.list_(pa.int32()))],
-                [*keep, "_numbers"])
+            found = [[numbers.setdefault(w, len(numbers)) for w in _words(t)] for t in texts]
+            rows = pa.RecordBatch.from_arrays([*frame.columns[1:], pa.array(map(len, found), pa.int32())], [*keep, "_words"])
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
                 out.write_batch(rows)
             yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(
-                (chunk, sink.getvalue().to_pybytes(), None, None), schema)], schema=schema)
+                (chunk, sink.getvalue().to_pybytes(), _squeezed(np.fromiter(chain.from_iterable(found), np.int32)), None, None), schema)],
+                schema=schema)
             size += sum(len(t) for t in texts if t)
             if size >= CHUNK_CHARS:
                 yield closed()
@@ -278,7 +293,7 @@ def _pack(docs: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
 
 def featured(docs: DataFrame, counts: DataFrame, text_col: str, keep: list[str], out_col: str, out_type: T.DataType, finish) -> DataFrame:
     """The kept columns of every document and ``finish`` of its features by the model of all counts."""
-    packed = staged(_pack(docs, text_col, keep), "toxicity-chunks")
+    packed = dealt(_pack(docs, text_col, keep), "toxicity-chunks", "chunk")
     uses = packed.where("grams is not null").select("chunk", F.explode("grams").alias("gram"))
     leads = leads_of(counts, staged(uses.select("gram").distinct(), "toxicity-sequences"))
     leads = uses.join(leads, "gram").select(F.col("chunk").alias("of"), "gram", "lead")
@@ -290,15 +305,16 @@ def featured(docs: DataFrame, counts: DataFrame, text_col: str, keep: list[str],
         words = "".join(zlib.decompress(w).decode() for w in chunk.column("words").to_pylist() if w).split()
         of = np.array([sum([lead[g] for g in _grams(w)]) for w in words], np.float64)
         parts = []
-        for packed_rows in chunk.column("rows").drop_null():
+        batches = chunk.select(["rows", "numbers"]).filter(pc.is_valid(chunk.column("rows")))
+        for packed_rows, numbers in zip(*batches.columns, strict=True):
             rows = pa.ipc.open_stream(packed_rows.as_buffer()).read_all().combine_chunks()
-            numbers = rows.column("_numbers").combine_chunks()
-            ends, flat = numbers.offsets.to_numpy(), numbers.values.to_numpy(zero_copy_only=False)
+            ends = np.concatenate([[0], np.cumsum(rows.column("_words").to_numpy())]).astype(np.int64)
+            flat = _unsqueezed(numbers.as_py(), int(ends[-1]))
             out = finish([_features(of[flat[a:b]]) for a, b in zip(ends[:-1], ends[1:], strict=True)])
-            parts.append(rows.drop_columns(["_numbers"]).append_column(out_col, out))
+            parts.append(rows.drop_columns(["_words"]).append_column(out_col, out))
         return pa.concat_tables(parts)
 
-    return packed.select("chunk", "rows", "words").groupBy("chunk").cogroup(leads.groupBy("of")).applyInArrow(scored, schema)
+    return packed.select("chunk", "rows", "numbers", "words").groupBy("chunk").cogroup(leads.groupBy("of")).applyInArrow(scored, schema)
 
 
 @dataclass
@@ -331,6 +347,11 @@ def fit(labelled: DataFrame) -> Scorer:
     Fold 3 calibrates, or the next lower one with both classes in it and in the others. Labels too rare for that
     calibrate on the rows which also gave the counts.
     """
+    with scratch(labelled.sparkSession):
+        return _fit(labelled)
+
+
+def _fit(labelled: DataFrame) -> Scorer:
     labelled = staged(labelled, "toxicity-rows")
     sizes = {(r["fold"], r["toxic"]): r["count"] for r in labelled.groupBy("fold", F.col("toxic").cast("int").alias("toxic")).count().collect()}
     if {c for _, c in sizes} != {0, 1}:
@@ -350,11 +371,11 @@ def fit(labelled: DataFrame) -> Scorer:
     weight = np.array(n, np.float64)[toxic] / np.bincount(toxic, minlength=2)[toxic]
     logistic = _logistic(np.array(rows["f"].tolist()), toxic.astype(np.float64), weight)
     if fold is None:
-        return Scorer(counts, logistic)
+        return Scorer(staged(counts, "toxicity-counts", keep=True), logistic)
     # The final model has the counts of the calibration rows too.
     more = counts.unionByName(count_sequences(rest)).groupBy("gram").agg(
         F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
-    return Scorer(staged(more, "toxicity-counts"), logistic)
+    return Scorer(staged(more, "toxicity-counts", keep=True), logistic)
 
 
 def score(docs: DataFrame, scorer: Scorer, text_col: str = "text", out_col: str = "score", keep: list[str] | None = None) -> DataFrame:

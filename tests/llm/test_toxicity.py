@@ -1,11 +1,14 @@
 import math
 import random
 import zlib
+from pathlib import Path
 
+import numpy as np
 import pytest
 
 from provenant.llm import toxicity
 from provenant.llm.queries import op8_toxicity
+from provenant.session import shared_dir
 
 DIR = "/root/testdata/sf0.01"
 
@@ -117,3 +120,22 @@ def test_toxic_rows_of_the_given_tables_are_found(spark):
     toxic, called = got["toxic"] == 1, got["predicted"] == 1
     assert toxic.sum() > 50
     assert (toxic & called).sum() / toxic.sum() > 0.6 and (toxic & called).sum() / called.sum() > 0.8
+
+
+def test_what_is_staged_goes_and_chunks_move_once(spark, scored):
+    scorer, rows, docs = scored
+    folder = Path(shared_dir(spark).removeprefix("file:"))
+    before = set(folder.iterdir())
+    toxicity.fit(docs.join(spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"), "doc_id").select(
+        "doc_id", "text", "toxic", (docs.doc_id % 4).cast("int").alias("fold")))
+    assert [p.name.rsplit("-", 1)[0] for p in set(folder.iterdir()) - before] == ["provenant-toxicity-counts"]
+    plan = toxicity.score(docs, scorer)._jdf.queryExecution().executedPlan().toString()
+    cogroup = plan[plan.index("FlatMapCoGroupsInArrow"):].splitlines()
+    first = next(line for line in cogroup[1:] if "Exchange" in line or "Scan" in line)
+    assert "FileScan parquet" in first and "Bucketed: true" in first
+
+
+def test_numbers_of_words_come_back():
+    for numbers in ([], [0], [3, 70_000, 2**31 - 1, 5]):
+        x = np.array(numbers, np.int32)
+        assert toxicity._unsqueezed(toxicity._squeezed(x), len(x)).tolist() == numbers
