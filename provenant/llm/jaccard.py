@@ -16,8 +16,8 @@ The boundary is the size at which the total of subset and list rows, by the hist
 least.
 
 Only links between different texts matter: exact copies of a set are one node. To lose no link and yet
-not compare all pairs of a large group, each list is first compared with its smallest member, then its
-largest, and only members that are not connected by then are compared with each other. Every
+not compare all pairs of a large group, each set is first compared with one of the smallest members of its lists,
+then with one of the largest, and only members that are not connected by then are compared with each other. Every
 candidate passes size and position filters and a bound by bit maps of the sets, and is then verified on the whole sets.
 
 Defined results: null, empty and wordless texts have an empty set and link with nothing. A null id gets a
@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provenant.llm.common import staged
+from provenant.llm.common import scratch, staged
 from provenant.llm.components import components
 from provenant.llm.words import BASE, mix, run_hashes, word_hashes
 
@@ -46,6 +46,8 @@ SLICES = 16
 #: The map of a set, whose differences bound the difference of two sets from below, has at least so
 #: many bits for each element, a power of two in all. A larger map folds onto a smaller one.
 MAP_BITS = 4
+#: Words of 64 bits in the parities of a set, which travel with the members of lists that are compared in full.
+PARITY_WORDS = 8
 #: Largest set for which subsets are considered at all; their number grows fast.
 MOST_SMALL = 12
 #: Rows that a list entry costs beside itself: it is counted, then joined with its list.
@@ -68,6 +70,12 @@ def bit_map(found: np.ndarray) -> bytes:
     return np.packbits(taken).tobytes()
 
 
+def parities(found: np.ndarray) -> list[int]:
+    """By bit, whether an odd number of elements fall on it: the parities of a difference are the difference of the parities."""
+    odd = np.bincount(((found >> np.uint64(40)) % np.uint64(64 * PARITY_WORDS)).astype(np.int64), minlength=64 * PARITY_WORDS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+
+
 def differing(x: bytes, y: bytes) -> int:
     """Bits in which two maps differ, the larger one folded onto the smaller."""
     a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
@@ -122,12 +130,12 @@ def keys(found: np.ndarray, counts: np.ndarray, small: int) -> tuple[np.ndarray,
 
 
 def _summaries(docs: DataFrame) -> DataFrame:
-    """A row (id, n, sig_a, sig_b, bits) for each document, and rows (slice, counts) of each task."""
+    """A row (id, n, sig_a, sig_b, bits, odd) for each document, and rows (slice, counts) of each task."""
     def task(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(BUCKETS, np.int64)
-        names = ["id", "n", "sig_a", "sig_b", "bits", "slice", "counts"]
+        names = ["id", "n", "sig_a", "sig_b", "bits", "odd", "slice", "counts"]
         for frame in frames:
-            sizes, first, second, seen, maps = [], [], [], [], []
+            sizes, first, second, seen, maps, odd = [], [], [], [], [], []
             for text in frame.column(1).to_pylist():
                 found = shingles(text)
                 mixed = mix(found + BASE)
@@ -136,20 +144,21 @@ def _summaries(docs: DataFrame) -> DataFrame:
                 second.append(mix(mixed).sum(dtype=np.uint64))
                 seen.append((found & np.uint64(BUCKETS - 1)).astype(np.int64))
                 maps.append(bit_map(found))
+                odd.append(parities(found))
             if seen:
                 counts += np.bincount(np.concatenate(seen), minlength=BUCKETS)
             n = len(sizes)
             yield pa.RecordBatch.from_arrays([
                 frame.column(0), pa.array(sizes, pa.int32()),
                 pa.array(np.array(first, np.uint64).view(np.int64)), pa.array(np.array(second, np.uint64).view(np.int64)),
-                pa.array(maps, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
+                pa.array(maps, pa.binary()), pa.array(odd, pa.list_(pa.int64())), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
         part = BUCKETS // SLICES
         yield pa.RecordBatch.from_arrays([
             pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.int32()), pa.nulls(SLICES, pa.int64()),
-            pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.binary()), pa.array(range(SLICES), pa.int32()),
+            pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.binary()), pa.nulls(SLICES, pa.list_(pa.int64())), pa.array(range(SLICES), pa.int32()),
             pa.array([counts[k * part : (k + 1) * part].tobytes() for k in range(SLICES)], pa.binary())], names)
 
-    return docs.mapInArrow(task, "id long, n int, sig_a long, sig_b long, bits binary, slice int, counts binary")
+    return docs.mapInArrow(task, "id long, n int, sig_a long, sig_b long, bits binary, odd array<long>, slice int, counts binary")
 
 
 def _counts(summaries: DataFrame) -> np.ndarray:
@@ -242,8 +251,18 @@ def _possible(a: str, b: str):
         i + j <= n + m - 2 * F.ceil((n + m) * PERCENT / (100 + PERCENT)))
 
 
-def _candidates(entries: DataFrame, labels: DataFrame | None, step: str) -> DataFrame:
-    """Pairs on one list whose components differ: with its smallest or largest member, or all of them."""
+def _near(a: str, b: str):
+    """Whether the parities of two sets leave it possible that they link; unlike places, they tell most others apart."""
+    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
+    apart = sum(F.bit_count(F.col(f"{a}.odd")[k].bitwiseXOR(F.col(f"{b}.odd")[k])) for k in range(PARITY_WORDS))
+    return apart <= n + m - 2 * F.ceil((n + m) * PERCENT / (100 + PERCENT))
+
+
+def _candidates(entries: DataFrame, parities: DataFrame, labels: DataFrame | None, step: str) -> DataFrame:
+    """Pairs on one list whose components differ: all of them, or for each set the one with the first pivot of its lists.
+
+    The pivot of a list is its smallest or largest member, and the first is the smallest or largest again.
+    """
     if labels is not None:
         entries = entries.join(labels, "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
     else:
@@ -254,47 +273,54 @@ def _candidates(entries: DataFrame, labels: DataFrame | None, step: str) -> Data
         (F.max if step == "largest" else F.min)(member).alias("pivot")).where("low < high")
     rows = entries.select("key", member.alias("m")).join(lists.select("key", "pivot"), "key")
     if step != "all":
-        pairs = rows.where(_possible("m", "pivot") & (F.col("m.label") != F.col("pivot.label"))).select(
-            F.col("m.id").alias("x"), F.col("pivot.id").alias("y"))
+        pairs = rows.where(_possible("m", "pivot") & (F.col("m.label") != F.col("pivot.label"))).groupBy(F.col("m.id").alias("x")).agg(
+            (F.max if step == "largest" else F.min)("pivot.id").alias("y"))
     else:
-        rows = rows.select("key", "m")
+        rows = rows.join(parities, F.col("m.id") == F.col("of")).select("key", F.col("m").withField("odd", F.col("odd")).alias("m"))
         pairs = rows.alias("p").join(rows.select("key", F.col("m").alias("o")), "key").where(
-            (F.col("m.label") < F.col("o.label")) & _possible("m", "o")).select(
+            (F.col("m.label") < F.col("o.label")) & _possible("m", "o") & _near("m", "o")).select(
             F.col("m.id").alias("x"), F.col("o.id").alias("y"))
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (id, n_shingles, component_id): one for each row of ``docs``."""
+    with scratch(docs.sparkSession):
+        return staged(_linked(docs, id_col, text_col), "linked", keep=True)
+
+
+def _linked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     summaries = staged(_summaries(docs), "sets")
     counts = spark.sparkContext.broadcast(_counts(summaries))
-    rows = summaries.where("slice is null").select("id", "n", "sig_a", "sig_b", "bits")
+    rows = summaries.where("slice is null").select("id", "n", "sig_a", "sig_b", "bits", "odd")
     small = boundary({r["n"]: r["count"] for r in rows.where(f"n between 1 and {2 * MOST_SMALL}").groupBy("n").count().collect()})
 
     # One node for all exact copies of a set: its smallest id. An id on rows with different sets is a node of its own.
-    known = rows.where("n > 0 and id is not null").drop("bits")
+    known = rows.where("n > 0 and id is not null").drop("bits", "odd")
     nodes = known.groupBy("sig_a", "sig_b", "n").agg(F.min("id").alias("node"), F.count("*").alias("m"))
     copies = staged(known.join(nodes.where("m > 1"), ["sig_a", "sig_b", "n"]).where("id != node").select("id", "node").distinct(), "copies")
     repeated = rows.where("id is not null").groupBy("id").count().where("count > 1").select("id")
     merged = copies.join(repeated, "id", "left_anti").withColumnRenamed("id", "copy")
 
     named = docs.where("id is not null")
-    shared = _entries(named, counts, small).groupBy("key").count().where("count > 1")
-    lists = _entries(named, counts, small).join(shared.select("key"), "key")
+    shared = staged(_entries(named, counts, small).groupBy("key").count().where("count > 1").select("key"), "shared-keys")
+    lists = _entries(named, counts, small).join(shared, "key")
     lists = staged(lists.join(merged, F.col("id") == F.col("copy"), "left").select(
         "key", F.coalesce("node", "id").alias("id"), F.shiftright("size", 32).cast("int").alias("n"),
         F.col("size").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int").alias("place")).distinct(), "lists")
     links = copies.select(F.col("id").alias("a"), F.col("node").alias("b"))
+    # Rows of one id with different texts are each other's stand-ins, as in ``_close``.
+    odd = rows.where("n > 0 and id is not null").select(F.col("id").alias("of"), "odd").distinct()
     labels = None
     for step in ("smallest", "largest", "all"):
-        pairs = staged(_close(_candidates(lists, labels, step), rows), "pairs")
-        members = staged(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "members")
-        texts = staged(named.join(members, "id", "left_semi"), "member-texts")
-        found = staged(_verified(pairs, texts), "verified")
-        links = links.unionByName(found)
-        labels = staged(components(links), "components")
+        with scratch(spark):
+            pairs = staged(_close(_candidates(lists, odd, labels, step), rows), "pairs")
+            members = staged(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "members")
+            texts = staged(named.join(members, "id", "left_semi"), "member-texts")
+            links = links.unionByName(staged(_verified(pairs, texts), "verified", keep=True))
+            labels = staged(components(links), "components", keep=True)
     return rows.select("id", "n").join(labels.withColumnRenamed("component", "reached"), "id", "left").select(
         F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"),
         F.coalesce("reached", "id").alias("component_id"))
@@ -302,5 +328,6 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 def representatives(docs: DataFrame) -> DataFrame:
     """One document of each component, the one of the smallest id, with all columns; null ids stay."""
-    dropped = staged(linked(docs).where("component_id < doc_id").select("doc_id").distinct(), "dropped")
+    with scratch(docs.sparkSession):
+        dropped = staged(linked(docs).where("component_id < doc_id").select("doc_id").distinct(), "dropped", keep=True)
     return docs.join(dropped.hint("merge"), "doc_id", "left_anti").select([F.col(f"`{c}`") for c in docs.columns])

@@ -105,3 +105,13 @@ def test_components_of_paths_and_stars(spark):
     rng.shuffle(links)
     got = {r.id: r.component for r in components(spark.createDataFrame(links, "x long, y long")).collect()}
     assert got == {**{i: 0 for i in range(61)}, **{i: 100 for i in range(100, 160)}, 200: 200, 201: 200}
+
+
+def test_far_sets_on_one_list_make_no_pairs(spark):
+    rng = np.random.default_rng(3)
+    sets = [rng.integers(0, 2**63, 100, np.uint64) for _ in range(40)]
+    sets.append(np.concatenate([sets[0][:90], rng.integers(0, 2**63, 10, np.uint64)]))
+    entries = spark.createDataFrame([(1, i, 100, 0) for i in range(len(sets))], "key long, id long, n int, place int")
+    odd = spark.createDataFrame([(i, jaccard.parities(x)) for i, x in enumerate(sets)], "of long, odd array<long>")
+    assert [tuple(r) for r in jaccard._candidates(entries, odd, None, "all").collect()] == [(0, 40)]
+    assert jaccard._candidates(entries, odd, None, "smallest").count() == 40
