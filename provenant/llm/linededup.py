@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from provenant.llm.common import staged
+from provenant.llm.common import scratch, staged
 
 PERCENT = 80
 BUCKETS = 1 << 18
@@ -73,7 +73,7 @@ def _rarity(docs: DataFrame) -> Column:
     classes = counts.groupBy(F.floor(F.col("b") / ROW).cast("int").alias("k")).agg(F.collect_list(F.struct(
         (F.col("b") % ROW).alias("b"), F.floor(2 * F.log2("count")).cast("int").alias("c"))).alias("found"))
     known = ["0"] * BUCKETS
-    for row in classes.toLocalIterator():
+    for row in classes.collect():
         for b, c in row["found"]:
             known[row["k"] * ROW + b] = str(c)
     return F.split(F.lit(",".join(known)), ",").cast("array<tinyint>")
@@ -145,6 +145,11 @@ def _possible(a: str, b: str) -> Column:
 
 def _verified(candidates: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The pairs (x, y) of numbers of sets whose whole sets are alike."""
+    with scratch(docs.sparkSession):
+        return staged(_checked(candidates, docs, nodes), "alike-lines", keep=True)
+
+
+def _checked(candidates: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
     candidates = staged(candidates.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "line-candidates")
     # What two sets share lies in both prefixes or behind the one that ends first. This tells long lines apart.
     ends = nodes.select("sig", "n", "prefix")
@@ -166,7 +171,7 @@ def _verified(candidates: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataF
         sets.select(F.col("sig").alias("y"), F.col("words").alias("right")), "y").withColumn(
         "common", F.size(F.array_intersect("left", "right")))
     alike = F.col("common") * 100 >= (F.size("left") + F.size("right") - F.col("common")) * PERCENT
-    return staged(both.where(alike).select("x", "y"), "alike-lines")
+    return both.where(alike).select("x", "y")
 
 
 def _later(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -218,11 +223,17 @@ def later_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def _gone(docs: DataFrame) -> DataFrame:
     """Rows (i, v, gone): the numbers of the lines that a document, by id and version, loses."""
+    with scratch(docs.sparkSession):
+        return staged(_removed(docs), "gone", keep=True)
+
+
+def _removed(docs: DataFrame) -> DataFrame:
     lines = staged(_sets(docs), "lines")
     nodes = staged(lines.groupBy("hash").agg(
         F.min("at").alias("first"), F.min("n").alias("n"), F.min("bits").alias("bits"), F.min("prefix").alias("prefix")).withColumn(
         "sig", F.monotonically_increasing_id()), "line-sets")
-    later = later_sets(docs, nodes)
+    with scratch(docs.sparkSession):
+        later = staged(later_sets(docs, nodes), "later-lines", keep=True)
     kept = nodes.join(later, "sig", "left_anti").select(F.col("hash").alias("h"), "first")
     removed = lines.select("hash", "at").distinct().join(
         kept.hint("merge"), (F.col("hash") == F.col("h")) & (F.col("at") == F.col("first")), "left_anti")

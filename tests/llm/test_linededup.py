@@ -1,9 +1,11 @@
 import random
+from pathlib import Path
 import re
 
 from pyspark.sql import functions as F
 
 from provenant.llm import linededup as d
+from provenant.session import shared_dir
 
 SPACE = re.compile("[ \t\n\x0b\f\r]+")
 
@@ -93,3 +95,11 @@ def test_bit_table(spark):
     bits = d._bits(values)
     probe = spark.createDataFrame([(x,) for x in (5, -7, 64, 6, 70)], "v long")
     assert [r[0] for r in probe.select(d._bit(F.col("v"), bits)).collect()] == [True, True, True, False, False]
+
+
+def test_what_is_staged_goes(spark):
+    folder = Path(shared_dir(spark).removeprefix("file:"))
+    before = set(folder.iterdir())
+    docs = spark.createDataFrame([(i, "one two three four five six\n" + t) for i, t in enumerate("abc")], "doc_id long, text string")
+    assert sorted(r.n_removed for r in linededup.deduplicated(docs).collect()) == [0, 1, 1]
+    assert [p.name.rsplit("-", 1)[0] for p in set(folder.iterdir()) - before] == ["provenant-gone"]
