@@ -1,6 +1,6 @@
 import random
-from pathlib import Path
 import re
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
@@ -101,5 +101,5 @@ def test_what_is_staged_goes(spark):
     folder = Path(shared_dir(spark).removeprefix("file:"))
     before = set(folder.iterdir())
     docs = spark.createDataFrame([(i, "one two three four five six\n" + t) for i, t in enumerate("abc")], "doc_id long, text string")
-    assert sorted(r.n_removed for r in linededup.deduplicated(docs).collect()) == [0, 1, 1]
+    assert sorted(r.n_removed for r in d.deduplicated(docs).collect()) == [0, 1, 1]
     assert [p.name.rsplit("-", 1)[0] for p in set(folder.iterdir()) - before] == ["provenant-gone"]
