@@ -48,5 +48,5 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_run_dir(spark: SparkSession, label: str) -> str:
-    """A fresh folder below the shared one; nothing is ever reused or cleared."""
+    """A fresh folder below the shared one; none is ever reused."""
     return f"{shared_dir(spark).rstrip('/')}/provenant-{label}-{uuid.uuid4().hex}"
