@@ -180,7 +180,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
     leaves = max(1, sum(len(t.leaves) for t in forest.value.trees))
     shelved = few.select("id", "v").mapInArrow(route, "tree int, leaf int, id long, v array<double>")
     probes = asked.where(F.size("v") == width).distinct().mapInArrow(probe, "tree int, leaf int, id long, v array<double>")
-    met = blocks(probes, asked.count() * forest.value.looked_into / leaves, "asked").join(
+    # Spark sizes the probes by the queries they come from, hundreds of times too low: left to itself it broadcasts them.
+    met = blocks(probes, asked.count() * forest.value.looked_into / leaves, "asked").hint("merge").join(
         blocks(shelved, total * TREES / leaves, "rows"), ["tree", "leaf"]).select("asked", "rows")
     close = met.mapInArrow(measure, "query_id long, vec_id long, score double")
     best = close.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))

@@ -55,3 +55,14 @@ def test_empty_tables(spark):
     assert neighbours.nearest(none, none).count() == 0
     one = spark.createDataFrame([(1, [1.0])], "vec_id long, embedding array<float>")
     assert neighbours.nearest(one, one).count() == 0
+
+
+def test_probes_are_not_broadcast(spark):
+    """Spark sizes them by the few queries, but each stands there once for every leaf it looks into."""
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in rng.normal(size=16)]) for i in range(3000)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = neighbours.nearest(table, table.where("vec_id % 100 = 0"))
+    assert len(found.collect()) == 300
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
