@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from provenant.llm import neighbours
 from provenant.llm.queries import op9_neighbours
@@ -66,3 +67,45 @@ def test_probes_are_not_broadcast(spark):
     assert len(found.collect()) == 300
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_sample_is_bounded_though_ids_repeat(spark, monkeypatch):
+    """The driver takes a bounded sample, also of a table whose only id has many vectors, drawn or not."""
+    taken, grow = [], neighbours.Forest.__init__
+
+    def counted(self, sample):
+        taken.append(len(sample))
+        grow(self, sample)
+
+    monkeypatch.setattr(neighbours, "SAMPLE", 100)
+    monkeypatch.setattr(neighbours.Forest, "__init__", counted)
+    lots = [r.id for r in spark.range(100_000).orderBy(F.pmod(F.xxhash64("id"), F.lit(1 << 20))).collect()]
+    for only, most in (lots[0], 200), (lots[-1], 100):
+        table = spark.range(5000).select(F.lit(only).alias("vec_id"), F.array(F.randn(1), F.randn(2)).alias("embedding"))
+        found = neighbours.nearest(table, table.limit(1).withColumn("vec_id", F.lit(-1)))
+        assert taken.pop() == most and [(r.query_id, r.vec_id) for r in found.collect()] == [(-1, only)]
+
+
+@pytest.mark.parametrize("kept", [20_000, 1])
+def test_distances_are_exact_whatever_is_passed_over(spark, monkeypatch, kept):
+    """Ids with several vectors, copies, and squares beyond double precision; in one tree of one leaf all are compared."""
+    monkeypatch.setattr(neighbours, "KEPT", kept, raising=False)
+    monkeypatch.setattr(neighbours, "PROBED", 1.0)
+    monkeypatch.setattr(neighbours, "BLOCK", 16)
+    rng = np.random.default_rng(6)
+    rows = [(i % 120, [float(x) for x in rng.normal(size=3)]) for i in range(300)]
+    rows += [(500 + i, [float(x) for x in rng.normal(size=3) * 10.0 ** e]) for i, e in enumerate([150, 153, 154, 155, -150, -160, -170] * 3)]
+    rows += [(600 + i, rows[3][1]) for i in range(20)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in neighbours.nearest(table, table.where("vec_id % 3 = 0")).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.score, r.vec_id))
+    want = {}
+    for q in {i for i, _ in rows if i % 3 == 0}:
+        near = {}
+        for v in (v for i, v in rows if i == q):
+            for i, d in zip([i for i, _ in rows], np.sqrt(((np.array([w for _, w in rows]) - v) ** 2).sum(1))):
+                if i != q:
+                    near[i] = min(float(d), near.get(i, np.inf))
+        want[q] = sorted((d, i) for i, d in near.items())[:10]
+    assert got == want
